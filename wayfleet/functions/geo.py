@@ -20,8 +20,9 @@ ON_ROUTE_KM = 0.050
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = EARTH_KM) -> str:
-    return (f"{2 * radius}D * asin(least(1D, sqrt(power(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
-            f"cos(radians({lat1})) * cos(radians({lat2})) * power(sin((radians({lon2}) - radians({lon1})) / 2), 2))))")
+    # Rounding can push the root of opposite points past 1; least() would do, but it skips NULLs.
+    return (f"{2 * radius}D * nanvl(asin(sqrt(power(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
+            f"cos(radians({lat1})) * cos(radians({lat2})) * power(sin((radians({lon2}) - radians({lon1})) / 2), 2))), pi() / 2)")
 
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
@@ -49,7 +50,7 @@ def along_sql(start: str, end: str, share: str) -> str:
 
 
 def clamp(value: str, low: float, high: float) -> Column:
-    return F.expr(f"greatest({low}, least({high}, {value}))")
+    return F.expr(f"CASE WHEN {value} IS NOT NULL THEN greatest({low}, least({high}, {value})) END")
 
 
 def non_negative(value: str) -> Column:

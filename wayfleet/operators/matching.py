@@ -241,11 +241,12 @@ def dead_reckon(positions: DataFrame, network: Network, seconds: float = 5.0) ->
                   F.max("polyline_km").alias("_total")))
     df = lookup_join(positions, lines, ["route", "polyline_idx"], small=network.small)
     metres = (f"coalesce(nullif(predicted_kmh, 0D) * {MPH_PER_KMH}D, speed_mph) * {MPS_PER_MPH}D * {float(seconds)}D")
-    df = df.withColumn("_at", F.expr(f"greatest(0D, least(dist_from_start + {metres} / 1000, _total))"))
+    df = df.withColumn("_at", F.expr(
+        f"CASE WHEN dist_from_start + {metres} IS NOT NULL THEN greatest(0D, least(dist_from_start + {metres} / 1000, _total)) END"))
     df = df.withColumn("_seg", F.expr(
-        "coalesce(get(filter(_line, s -> _at <= s.cum_end), 0), element_at(_line, -1))"))
+        "CASE WHEN _at IS NOT NULL THEN coalesce(get(filter(_line, s -> _at <= s.cum_end), 0), element_at(_line, -1)) END"))
     df = df.withColumn("_share", F.expr(
-        "CASE WHEN _seg.seg_km > 0 THEN least(1D, (_at - _seg.cum_start) / _seg.seg_km) ELSE 0D END"))
+        "CASE WHEN _seg.seg_km > 0 THEN least(1D, (_at - _seg.cum_start) / _seg.seg_km) WHEN _at IS NOT NULL THEN 0D END"))
     return df.withColumns({"target_km": F.col("_at"), "target_segment": F.col("_seg.segment_idx"),
                            "target_lat": F.expr(along_sql("_seg.lat1", "_seg.lat2", "_share")),
                            "target_lon": F.expr(along_sql("_seg.lon1", "_seg.lon2", "_share"))}

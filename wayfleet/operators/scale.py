@@ -41,11 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later passes scan it instead of redoing it."""
+def cut(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFrame:
+    """Write ``df`` and read it back, so later passes scan it instead of redoing it.
+
+    Without ``folder`` it goes to a new place in the shared folder; with one, ``folder/name`` is
+    replaced, which keeps long-running streams from piling up files.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder}/{name}" if folder else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,22 +23,22 @@ def repair_missed_stops(df: DataFrame, network: Network, by: Sequence[str] = TRI
     """Record the stop that was passed unseen when a vehicle moved on to the next polyline.
 
     If neither of the two rows is at a stop, the stop of the new polyline goes to the row that is
-    closer to the route; on a tie to the later one.
+    closer to the route; on a tie to the later one. Distances equal to a micrometre are a tie.
     """
     require(df, *by, *ORDER, "route", "polyline_idx", "stop_name", "dist_to_route")
     w = Window.partitionBy(*by).orderBy(*ORDER)
     prev = lambda c: F.lag(c).over(w)
-    df = polyline_stop_lookup(df, network)
+    df = polyline_stop_lookup(df, network).withColumn("_km", F.round("dist_to_route", 9))
     passed = ((F.col("route") == prev("route")) & (F.col("polyline_idx") == prev("polyline_idx") + 1)
               & F.col("stop_name").isNull() & prev("stop_name").isNull()
               & F.col("dist_to_route").isNotNull() & prev("dist_to_route").isNotNull())
     df = df.withColumns({"_passed": F.coalesce(passed, F.lit(False)),
-                         "_earlier": F.coalesce(prev("dist_to_route") < F.col("dist_to_route"), F.lit(False))})
+                         "_earlier": F.coalesce(prev("_km") < F.col("_km"), F.lit(False))})
     mine = F.when(F.col("_passed") & ~F.col("_earlier"), F.col("polyline_stop"))
     handed_back = F.when(F.col("_passed") & F.col("_earlier"), F.col("polyline_stop"))
     df = df.withColumn("_from_next", F.lead(handed_back).over(w))
     return df.withColumn("stop_name", F.coalesce("_from_next", mine, "stop_name")).drop(
-        "polyline_stop", "_passed", "_earlier", "_from_next")
+        "polyline_stop", "_km", "_passed", "_earlier", "_from_next")
 
 
 def trim_after_last_stop(df: DataFrame, by: Sequence[str] = TRIP) -> DataFrame:

@@ -92,7 +92,7 @@ TAIL = ("vehicle_id", "ping_id", "t_us", "latitude", "longitude", *matching.MATC
 
 def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_gap: float = enrich.TRIP_GAP_SECONDS,
                  max_dist: float = enrich.TRIP_DIST_KM, late_after: float = LATE_AFTER_SECONDS,
-                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 work: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(enriched rows, next tail, late rows) of one micro-batch.
 
     The tail holds each vehicle's matched rows of the last ``late_after`` seconds and as many gaps
@@ -109,12 +109,12 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
     else:
         seen = tail.groupBy("vehicle_id").agg(F.max("t_us").alias("_seen"))
         marked = cut(new.join(seen, "vehicle_id", "left").withColumn(
-            "_late", F.coalesce(F.col("t_us") < F.col("_seen") - late_us, F.lit(False))), "batch")
+            "_late", F.coalesce(F.col("t_us") < F.col("_seen") - late_us, F.lit(False))), "marked", work)
         late = marked.filter("_late").drop("_late", "_seen")
         new = marked.filter(~F.col("_late")).drop("_late", "_seen")
         known = tail.join(new.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
         rows = upkeep.merge_keep_last(known.drop("segment_no"), new)
-    rows = cut(rows, "batch")
+    rows = cut(rows, "rows", work)
     done = enrich.segment(rows, network, max_gap, max_dist, enrich.LIVE_MIN_TRIP_ROWS)
     if known is not None:
         first = known.groupBy("vehicle_id").agg(F.min_by(F.struct("segment_no", "t_us", "ping_id"),
@@ -124,7 +124,7 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
                             F.col("_f.ping_id").alias("ping_id")).join(local, ["vehicle_id", "t_us", "ping_id"])
         done = done.join(base.select("vehicle_id", (F.col("_no") - F.col("_local")).alias("_base")), "vehicle_id", "left")
         done = done.withColumn("segment_no", F.col("segment_no") + F.coalesce("_base", F.lit(0))).drop("_base")
-    done = cut(enrich.find_stops(done, network, max_gap), "batch")
+    done = cut(enrich.find_stops(done, network, max_gap), "done", work)
     numbers = done.select("vehicle_id", "t_us", "segment_no")
     newest_us = rows.groupBy("vehicle_id").agg(F.max("t_us").alias("_max"))
     kept = (rows.join(newest_us, "vehicle_id").filter(F.col("t_us") >= F.col("_max") - late_us - reach_us).drop("_max")
@@ -144,7 +144,7 @@ def incremental_enrich(pings: DataFrame, network: Network, path: str, checkpoint
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tail = spark.read.parquet(f"{path}/tail/{batch_id - 1}") if batch_id else None
-        done, kept, late = enrich_batch(tail, batch, network, max_gap, max_dist, late_after)
+        done, kept, late = enrich_batch(tail, batch, network, max_gap, max_dist, late_after, f"{path}/work")
         done.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
         kept.write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
