@@ -93,19 +93,18 @@ TAIL = ("vehicle_id", "ping_id", "t_us", "latitude", "longitude", *matching.MATC
 def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_gap: float = enrich.TRIP_GAP_SECONDS,
                  max_dist: float = enrich.TRIP_DIST_KM, late_after: float = LATE_AFTER_SECONDS,
                  work: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(enriched rows, next tail, late rows) of one micro-batch.
+    """(changed rows, next tail, late rows) of one micro-batch.
 
-    The tail holds each vehicle's matched rows of the last ``late_after`` seconds and as many gaps
-    before as the vote can reach, with their trip numbers. New rows join it, the vehicle's tail is cut
-    and voted again, and numbering goes on from the tail's first row. Rows older than ``late_after``
-    behind the vehicle's newest one come back as late instead of vanishing.
+    The tail holds each vehicle's matched rows of the last ``late_after`` seconds with as much before
+    them as a vote can reach twice, and one older row, the anchor, from whose trip number the
+    numbering goes on. New rows join the tail and it is cut and voted again; the rows a new one can
+    have changed are returned. Rows more than ``late_after`` behind the vehicle's newest one come back
+    as late instead of vanishing.
     """
     new = matching.match_route(ping_frame(new), network).select(*TAIL)
-    late_us, reach_us = int(late_after * 1e6), int((2 * enrich.VOTE_WINDOW + 4) * max_gap * 1e6)
+    late_us, reach_us = int(late_after * 1e6), int((enrich.VOTE_WINDOW + 2) * max_gap * 1e6)
     if tail is None:
-        late = new.limit(0)
-        rows = new
-        known = None
+        late, rows = new.limit(0), new
     else:
         seen = tail.groupBy("vehicle_id").agg(F.max("t_us").alias("_seen"))
         marked = cut(new.join(seen, "vehicle_id", "left").withColumn(
@@ -113,25 +112,27 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
         late = marked.filter("_late").drop("_late", "_seen")
         new = marked.filter(~F.col("_late")).drop("_late", "_seen")
         known = tail.join(new.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
-        rows = upkeep.merge_keep_last(known.drop("segment_no"), new)
+        rows = upkeep.merge_keep_last(known.drop("segment_no", "anchor"), new)
     rows = cut(rows, "rows", work)
     done = enrich.segment(rows, network, max_gap, max_dist, enrich.LIVE_MIN_TRIP_ROWS)
-    if known is not None:
-        first = known.groupBy("vehicle_id").agg(F.min_by(F.struct("segment_no", "t_us", "ping_id"),
-                                                         F.struct("t_us", "ping_id")).alias("_f"))
-        local = done.select("vehicle_id", "t_us", "ping_id", F.col("segment_no").alias("_local"))
-        base = first.select("vehicle_id", F.col("_f.segment_no").alias("_no"), F.col("_f.t_us").alias("t_us"),
-                            F.col("_f.ping_id").alias("ping_id")).join(local, ["vehicle_id", "t_us", "ping_id"])
-        done = done.join(base.select("vehicle_id", (F.col("_no") - F.col("_local")).alias("_base")), "vehicle_id", "left")
-        done = done.withColumn("segment_no", F.col("segment_no") + F.coalesce("_base", F.lit(0))).drop("_base")
+    if tail is not None:
+        key = ["vehicle_id", "t_us", "ping_id"]
+        anchors = known.filter("anchor").select(*key, F.col("segment_no").alias("_no"))
+        base = anchors.join(done.select(*key, "segment_no"), key).select(
+            "vehicle_id", (F.col("_no") - F.col("segment_no")).alias("_base"))
+        done = done.join(base, "vehicle_id", "left").withColumn(
+            "segment_no", F.col("segment_no") + F.coalesce("_base", F.lit(0))).drop("_base")
     done = cut(enrich.find_stops(done, network, max_gap), "done", work)
-    numbers = done.select("vehicle_id", "t_us", "segment_no")
-    newest_us = rows.groupBy("vehicle_id").agg(F.max("t_us").alias("_max"))
-    kept = (rows.join(newest_us, "vehicle_id").filter(F.col("t_us") >= F.col("_max") - late_us - reach_us).drop("_max")
-                .join(numbers, ["vehicle_id", "t_us"]))
+    since = new.groupBy("vehicle_id").agg(F.min("t_us").alias("_since"))
+    changed = done.join(since, "vehicle_id").filter(F.col("t_us") >= F.col("_since") - reach_us).drop("_since")
+    horizon = rows.groupBy("vehicle_id").agg((F.max("t_us") - late_us - 2 * reach_us).alias("_from"))
+    numbered = rows.join(done.select("vehicle_id", "t_us", "segment_no"), ["vehicle_id", "t_us"]).join(horizon, "vehicle_id")
+    recent = numbered.filter(F.col("t_us") >= F.col("_from")).drop("_from").withColumn("anchor", F.lit(False))
+    older = numbered.filter(F.col("t_us") < F.col("_from")).drop("_from")
+    kept = recent.unionByName(upkeep.keep_last(older, ["t_us", "ping_id"], ["vehicle_id"]).withColumn("anchor", F.lit(True)))
     if tail is not None:
-        kept = kept.unionByName(tail.join(rows.select("vehicle_id").distinct(), "vehicle_id", "left_anti"))
-    return done, kept, late
+        kept = kept.unionByName(tail.join(new.select("vehicle_id").distinct(), "vehicle_id", "left_anti"))
+    return changed, kept, late
 
 
 def incremental_enrich(pings: DataFrame, network: Network, path: str, checkpoint: str, cadence: str | None = CADENCE,
@@ -155,20 +156,21 @@ def incremental_enrich(pings: DataFrame, network: Network, path: str, checkpoint
 
 
 def predictions(enriched: DataFrame, models: DataFrame, travel_times: DataFrame, network: Network, at: Column,
-                order: tuple[int, int, int] = (3, 0, 2)) -> tuple[DataFrame, DataFrame]:
+                n: int = forecast.SEQUENCE_LENGTH, order: tuple[int, int, int] = (3, 0, 2)) -> tuple[DataFrame, DataFrame]:
     """(ETA documents, predicted speeds) from the newest enriched rows of the vehicles."""
     newest_first = Window.partitionBy("vehicle_id").orderBy(F.col("t_us").desc(), F.col("ping_id").desc())
     latest = (enriched.withColumn("_r", F.row_number().over(newest_first)).filter("_r = 1")
                       .select("vehicle_id", "route", "polyline_idx", "stop_name"))
-    etas = forecast.predict_eta(enriched, models).select("vehicle_id", "eta_us")
+    etas = forecast.predict_eta(enriched, models, n).select("vehicle_id", "eta_us")
     times = stops.project_stop_times(latest, stops.last_visit_per_stop(enriched), etas, travel_times, network)
     return upkeep.eta_documents(times, at), forecast.forecast_speed(enriched, *order)
 
 
-def write_predictions(path: str, models: DataFrame, travel_times: DataFrame, network: Network) -> Callable:
+def write_predictions(path: str, models: DataFrame, travel_times: DataFrame, network: Network,
+                      n: int = forecast.SEQUENCE_LENGTH) -> Callable:
     """``on_batch`` for ``incremental_enrich``: append both kinds of predictions per tick."""
     def on_batch(done: DataFrame, batch_id: int) -> None:
-        etas, speeds = predictions(done, models, travel_times, network, F.current_timestamp())
+        etas, speeds = predictions(done, models, travel_times, network, F.current_timestamp(), n)
         etas.write.mode("overwrite").parquet(f"{path}/etas/batch={batch_id}")
         speeds.write.mode("overwrite").parquet(f"{path}/speeds/batch={batch_id}")
     return on_batch
