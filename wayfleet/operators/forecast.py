@@ -170,7 +170,7 @@ def forecast_speed(df: DataFrame, p: int = 3, d: int = 0, q: int = 2) -> DataFra
     """
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < MIN_FORECAST_ROWS:
-            return pd.DataFrame({"vehicle_id": [], "speed_kmh": []})
+            return rows[["vehicle_id", "speed_kmh"]].iloc[:0]
         y = rows.sort_values("_rank", ascending=False)["speed_kmh"].fillna(0.0).to_numpy(dtype=float)
         return pd.DataFrame({"vehicle_id": [rows["vehicle_id"].iloc[0]],
                              "speed_kmh": [max(0.0, one_step_forecast(y, p, d, q))]})
@@ -242,7 +242,8 @@ def expanding_forecasts(df: DataFrame, orders: Sequence[tuple[int, int, int]], m
     """One-step forecasts of every value from position ``min_len`` on, fitted on the trip's earlier values.
 
     All (p, d, q) share their sums of products: per ``d`` one pass forms them for the largest ``p`` and
-    ``q`` and each order takes its part. Shocks are the errors of an expanding autoregression.
+    ``q`` and each order takes its part, so the orders compare on equal rows, those where the largest
+    has all its lags. Shocks are the errors of an expanding autoregression.
     """
     by = list(by)
     base = numbered_values(df, value, by, slice_seconds)
