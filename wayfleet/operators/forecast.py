@@ -101,7 +101,7 @@ def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Se
     sizes = (df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_hash", shuffled)
                .withColumns({"_range": F.substring("_hash", 1, 3), "_all": F.lit(1)}))
     total = sizes.groupBy("_all").agg(F.floor(F.sum("_n") * F.lit(test_ratio)).alias("_target"))
-    running = prefix_sums(sizes, ["_all"], "_range", ["_hash", *by], {"_upto": F.col("_n")}).join(total, "_all")
+    running = prefix_sums(sizes, ["_all"], "_range", ["_hash", *by], {"_upto": F.col("_n")}).join(F.broadcast(total), "_all")
     before = F.col("_upto") - F.col("_n")
     chosen = running.select(*by, ((before < F.col("_target")) | (before == 0)).alias("is_test"))
     return df.join(chosen, list(by))
@@ -352,22 +352,27 @@ def grid_search(df: DataFrame, orders: Sequence[tuple[int, int, int]], n_trips:
 MODEL_KEY = ["route", "polyline_idx"]
 
 
-def polyline_moments(sequences: DataFrame, n_inputs: int) -> DataFrame:
+def polyline_moments(sequences: DataFrame, keys_held: int = 512) -> DataFrame:
     """Sums of products per polyline, ``(route, polyline_idx, i, s)`` for the flattened matrix.
 
-    Each Arrow batch is reduced where it lies; what is shuffled is one small matrix per batch and polyline.
+    Every task adds its Arrow batches up and hands on one small matrix per polyline it met (or
+    whenever it holds ``keys_held`` of them), so the shuffle does not grow with the rows.
     """
-    k = n_inputs + 1
+    def flushed(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(r, line, m.ravel().tolist()) for (r, line), m in held.items()], columns=[*MODEL_KEY, "m"])
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for rows in batches:
-            out = []
             for (route, line), g in rows.groupby(MODEL_KEY, sort=False):
-                x = np.column_stack([np.ones(len(g)), np.stack(g["sequence"].to_numpy()).astype(float)])
-                full = np.column_stack([x, g["target"].to_numpy(dtype=float)])
-                out.append((route, int(line), (full.T @ full).ravel().tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=[*MODEL_KEY, "m"])
+                full = np.column_stack([np.ones(len(g)), np.stack(g["sequence"].to_numpy()).astype(float),
+                                        g["target"].to_numpy(dtype=float)])
+                held[(route, int(line))] = held.get((route, int(line)), 0.0) + full.T @ full
+            if len(held) >= keys_held:
+                yield flushed(held)
+                held = {}
+        if held:
+            yield flushed(held)
 
     parts = sequences.filter(F.col("target").isNotNull()).select(*MODEL_KEY, "sequence", "target").mapInPandas(
         reduce, "route string, polyline_idx int, m array<double>")
@@ -404,7 +409,7 @@ def train_eta(eta_rows: DataFrame, n: int = SEQUENCE_LENGTH, features: Sequence[
     rows = rows.join(enough, MODEL_KEY, "left_semi").dropna(subset=["eta_seconds"])
     split = split_by_trip(rows, test_ratio, seed)
     made = training_sequences(split, n, features, by=[*TRIP, *MODEL_KEY], slice_seconds=slice_seconds)
-    models = fit_polylines(polyline_moments(made.filter(~F.col("is_test")), n * len(features)), n * len(features), ridges)
+    models = fit_polylines(polyline_moments(made.filter(~F.col("is_test"))), n * len(features), ridges)
     return models, made.filter("is_test")
 
 

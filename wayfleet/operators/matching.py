@@ -3,8 +3,9 @@
 The network is indexed by square cells at a few sizes. A cell holds every item that comes within the
 level's radius of it, so a position finds its candidates with one equi-join on its cell. A result is
 final when the best distance (plus the ambiguity margin) is inside that radius: nothing outside the
-cell's list can matter then. Positions that are not settled try the next, coarser level, and the
-last list holds the whole network, so the answer is always that of an exhaustive search. The
+cell's list can matter then. Positions that are not settled try the next, coarser level. What is
+left, far from everything, compares itself with the blocks of the whole network and measures the
+items of those that can matter, so the answer is always that of an exhaustive search. The
 candidates sit in an array next to the position: no rows are multiplied and positions never shuffle
 while the index is small enough to broadcast.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wayfleet.functions.geo import (MPH_PER_KMH, MPS_PER_MPH, along_sql, haversine_km, haversine_sql,
                                     segment_position_sql)
-from wayfleet.operators.scale import BROADCAST_ROWS, cut, fits, lookup_join, require
+from wayfleet.operators.scale import cut, lookup_join, may_broadcast, require
 from wayfleet.sources.network import Network
 
 # The results depend on these defaults.
@@ -29,6 +30,7 @@ LEVELS = ((0.002, 0.1), (0.064, 3.2))
 SEGMENT_COLUMNS = ("route", "polyline_idx", "segment_idx", "lat1", "lon1", "lat2", "lon2")
 KM_PER_DEGREE = 111.0
 TIE_DECIMALS = 9
+BLOCKS_PER_SIDE = 32
 CELL_LAT_LIMIT = 70.0
 CELL_LON_LIMIT = 170.0
 MATCHED = ("dist_to_route", "closest_lat", "closest_lon", "route", "polyline_idx", "segment_idx")
@@ -43,8 +45,7 @@ def _cell_key(level, cx: str, cy: str) -> str:
 def cell_index(items: DataFrame, levels: Sequence[tuple[float, float]] = LEVELS) -> DataFrame:
     """``(cell, items)`` for segments given as ``lat1, lon1, lat2, lon2`` plus any payload columns.
 
-    Long segments are laid out piece by piece, so a diagonal does not fill its bounding box. The
-    last level lists everything under one cell.
+    Long segments are laid out piece by piece, so a diagonal does not fill its bounding box.
     """
     item = F.struct(*items.columns).alias("item")
     sizes = ", ".join(f"struct({i} AS no, {size}D AS size, {radius}D AS radius)" for i, (size, radius) in enumerate(levels))
@@ -62,17 +63,47 @@ def cell_index(items: DataFrame, levels: Sequence[tuple[float, float]] = LEVELS)
              .withColumn("cx", F.expr("explode(sequence(floor((least(a_lon, b_lon) - pad_lon) / size), "
                                       "floor((greatest(a_lon, b_lon) + pad_lon) / size)))"))
              .select(F.expr(_cell_key("no", "cx", "cy")).alias("cell"), "item"))
-    whole = items.select(F.expr(_cell_key(len(levels), "0", "0")).alias("cell"), item)
-    return cells.unionByName(whole).groupBy("cell").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return cells.groupBy("cell").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _stored_index(network: Network, kind: str, levels: tuple) -> tuple[DataFrame, bool]:
-    """The network's cell index for these levels, with the checked answer to whether it may be broadcast."""
+def block_list(items: DataFrame, per_side: int = BLOCKS_PER_SIDE) -> DataFrame:
+    """The whole network as one row: ``blocks`` with a centre, a radius that covers them, and their items.
+
+    The distance to any item of a block differs from that to its centre by at most the radius, which
+    lets a far position skip every block that cannot hold its nearest item.
+    """
+    edge = items.agg(F.min("lat1"), F.max("lat1"), F.min("lon1"), F.max("lon1")).first()
+    low_lat, high_lat, low_lon, high_lon = (v or 0.0 for v in edge)
+    step = lambda low, high: max((high - low) / per_side, 1e-6)
+    placed = items.select(
+        F.struct(*items.columns).alias("item"), "lat1", "lon1", "lat2", "lon2",
+        F.expr(f"floor((lat1 - {low_lat}D) / {step(low_lat, high_lat)}D)").alias("by"),
+        F.expr(f"floor((lon1 - {low_lon}D) / {step(low_lon, high_lon)}D)").alias("bx"))
+    centred = placed.join(placed.groupBy("by", "bx").agg(F.avg("lat1").alias("lat"), F.avg("lon1").alias("lon")), ["by", "bx"])
+    reach = F.expr(f"greatest({haversine_sql('lat', 'lon', 'lat1', 'lon1')}, {haversine_sql('lat', 'lon', 'lat2', 'lon2')}) "
+                   f"+ {KM_PER_DEGREE + 1}D * (abs(lat2 - lat1) + abs(lon2 - lon1)) / 2 + 0.001D")
+    blocks = centred.groupBy("by", "bx").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.max(reach).alias("radius"),
+                                             F.collect_list("item").alias("items"))
+    return blocks.agg(F.collect_list(F.struct("lat", "lon", "radius", "items")).alias("blocks")).withColumn("_cell", F.lit(0).cast("long"))
+
+
+def _worth_measuring(lat: str, lon: str, margin_km: float) -> str:
+    """Items of the blocks that may hold the nearest one, or one within the margin of it."""
+    far = f"transform(blocks, b -> struct({haversine_sql(lat, lon, 'b.lat', 'b.lon')} AS km, b.radius, b.items))"
+    bounded = f"transform(array({far}), f -> struct(f, array_min(transform(f, b -> b.km + b.radius)) AS most))"
+    return (f"element_at(transform({bounded}, z -> flatten(transform("
+            f"filter(z.f, b -> b.km - b.radius <= z.most + {margin_km}D), b -> b.items))), 1)")
+
+
+def _stored_index(network: Network, kind: str, levels: tuple) -> tuple[DataFrame, DataFrame, bool]:
+    """The network's cells and blocks, and the checked answer to whether they may be broadcast."""
     key = (kind, levels)
     if key not in network.tables:
         items = network.segments.select(*SEGMENT_COLUMNS) if kind == "segments" else _stop_items(network.stops)
-        index = cut(cell_index(items, levels), "cells").withColumnRenamed("cell", "_cell")
-        network.tables[key] = index, network.small and fits(index, BROADCAST_ROWS)
+        cells = cut(cell_index(items, levels), "cells")
+        blocks = cut(block_list(items), "blocks")
+        small = network.small and may_broadcast(cells) and may_broadcast(blocks)
+        network.tables[key] = cells.withColumnRenamed("cell", "_cell"), blocks, small
     return network.tables[key]
 
 
@@ -86,23 +117,22 @@ def _with_hits(df: DataFrame, network: Network, kind: str, lat: str, lon: str, m
         levels = tuple((s, r) for s, r in LEVELS if r > 2 * margin_km)
     else:
         levels = ((max(0.002, within_km / KM_PER_DEGREE), within_km * 1.01),)
-    index, small = _stored_index(network, kind, levels)
+    cells, blocks, small = _stored_index(network, kind, levels)
     measure = (_measure_segments if kind == "segments" else _measure_points)(lat, lon)
     inside = f"(abs({lat}) <= {CELL_LAT_LIMIT} AND abs({lon}) <= {CELL_LON_LIMIT})"
     df = df.withColumn("_open", wanted & F.expr(f"{lat} IS NOT NULL AND {lon} IS NOT NULL"))
-    for no, (size, radius) in enumerate([*levels, (None, None)]):
-        if size is None:
-            key = f"CASE WHEN _open THEN {_cell_key(no, '0', '0')} END"
-        else:
-            cell = _cell_key(no, f"floor({lon} / {size}D)", f"floor({lat} / {size}D)")
-            key = f"CASE WHEN _open AND {inside} THEN {cell} END"
-        df = lookup_join(df.withColumn("_cell", F.expr(key)), index, ["_cell"], small=small)
+    for no, (size, radius) in enumerate(levels):
+        cell = _cell_key(no, f"floor({lon} / {size}D)", f"floor({lat} / {size}D)")
+        df = lookup_join(df.withColumn("_cell", F.expr(f"CASE WHEN _open AND {inside} THEN {cell} END")), cells,
+                         ["_cell"], small=small)
         got = F.when(F.col("_open"), measure)
         df = df.withColumn("_hits", got if no == 0 else got.otherwise(F.col("_hits"))).drop("_cell", "items")
-        if size is not None:
-            settled = inside if within_km is not None else f"coalesce(array_min(_hits).km + {margin_km}D <= {radius}D, false)"
-            df = df.withColumn("_open", F.expr(f"_open AND NOT {settled}"))
-    return df.drop("_open")
+        settled = inside if within_km is not None else f"coalesce(array_min(_hits).km + {margin_km}D <= {radius}D, false)"
+        df = df.withColumn("_open", F.expr(f"_open AND NOT {settled}"))
+    df = lookup_join(df.withColumn("_cell", F.expr("CASE WHEN _open THEN 0L END")), blocks, ["_cell"], small=small)
+    df = df.withColumn("items", F.expr(f"CASE WHEN _open THEN {_worth_measuring(lat, lon, margin_km)} END")).drop("blocks", "_cell")
+    rest = F.when(F.col("_open"), measure)
+    return df.withColumn("_hits", rest.otherwise(F.col("_hits")) if levels else rest).drop("_open", "items")
 
 
 def _measure_segments(lat: str, lon: str, items: str = "items") -> Column:

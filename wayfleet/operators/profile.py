@@ -117,7 +117,7 @@ def size_cdf(sizes: DataFrame, bucket: int = 1000) -> DataFrame:
         {"_all": F.lit(1), "_range": F.floor(F.col("n_rows") / bucket)})
     total = counts.groupBy("_all").agg(F.sum("n").alias("_total"))
     upto = prefix_sums(counts, ["_all"], "_range", ["n_rows"], {"upto": F.col("n")})
-    return upto.join(total, "_all").select("n_rows", "n", "upto", (F.col("upto") / F.col("_total")).alias("share"))
+    return upto.join(F.broadcast(total), "_all").select("n_rows", "n", "upto", (F.col("upto") / F.col("_total")).alias("share"))
 
 
 def row_counts_since(pings: DataFrame, events: DataFrame, day_start: Column) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 SLICE_SECONDS = 3600
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
@@ -53,10 +54,20 @@ def cut(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table that was read back, as Spark's own statistics have it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def may_broadcast(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table is small enough in rows and in bytes."""
+    return stored_bytes(stored) <= BROADCAST_BYTES and fits(stored, max_rows)
+
+
 def _salt(df: DataFrame) -> Column:
     plain = [f.name for f in df.schema.fields
              if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
@@ -64,15 +75,16 @@ def _salt(df: DataFrame) -> Column:
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left",
-                max_rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+                small: bool | None = None) -> DataFrame:
     """Equi-join a large table to a dimension.
 
-    The dimension is broadcast when it has at most ``max_rows`` rows (``small`` carries a check that
-    was already made). Otherwise both sides shuffle on the key plus a salt, so one hot key, or the
-    rows without any key, spread over many tasks.
+    The dimension is broadcast when its stored size allows it (``small`` carries a check that was
+    already made). Otherwise both sides shuffle on the key plus a salt, so one hot key, or the rows
+    without any key, spread over many tasks.
     """
     if small is None:
-        small = fits(dim, max_rows)
+        dim = cut(dim, "dim")
+        small = may_broadcast(dim)
     if small:
         return df.join(F.broadcast(dim), list(keys), how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -137,13 +149,14 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
     Equal values are counted before the shuffle and ranked within value ranges of ``width``, so no
     task sorts a whole group.
     """
-    if not group:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, width).drop("_all")
+    whole = not group
+    if whole:
+        df, group = df.withColumn("_all", F.lit(1)), ["_all"]
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
                 .withColumn("_range", F.floor(F.col(value) / width)))
     ranked = prefix_sums(counts, group, "_range", [value], {"_upto": F.col("_n")})
     sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    ranked = ranked.join(sizes, list(group))
+    ranked = ranked.join(F.broadcast(sizes) if whole else sizes, list(group))
     picks = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_size") - 1)
@@ -152,5 +165,5 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
                   F.max(F.when(holds(F.ceil(at)), F.col(value))).alias(f"_hi_{name}"),
                   F.max(at - F.floor(at)).alias(f"_w_{name}")]
     got = ranked.groupBy(*group).agg(*picks)
-    return got.select(*group, *[
+    return got.select(*([] if whole else group), *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in probs])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfleet.functions.clock import CAMPUS_TZ, clock_text, day_name, departure_order, service_day_start
 from wayfleet.operators.matching import AT_STOP_KM, match_stop
-from wayfleet.operators.scale import BROADCAST_ROWS, SALTS, fits, lookup_join, require
+from wayfleet.operators.scale import SALTS, lookup_join, require
 from wayfleet.sources.feeds import pings_window
 from wayfleet.sources.network import Network
 
@@ -136,7 +136,7 @@ def assign_buses(costs: DataFrame) -> DataFrame:
     their pairs cost 1) stay unassigned.
     """
     per_day = costs.groupBy("service_day").agg(F.count_distinct("bus").alias("_buses"))
-    near = costs.join(F.broadcast(per_day), "service_day") if fits(per_day, BROADCAST_ROWS) else costs.join(per_day, "service_day")
+    near = lookup_join(costs, per_day, ["service_day"], how="inner")
     near = near.withColumn("_part", F.pmod(F.xxhash64("vehicle_id"), F.lit(SALTS)))
     for key in (["service_day", "bus", "_part"], ["service_day", "bus"]):
         rank = Window.partitionBy(*key).orderBy("cost", "vehicle_id")

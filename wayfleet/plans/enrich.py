@@ -59,10 +59,15 @@ def segment(matched: DataFrame, network: Network, max_gap: float = TRIP_GAP_SECO
 
 
 def find_stops(trips_df: DataFrame, network: Network, max_gap: float = STOPS_GAP_SECONDS,
-               threshold: float = matching.AT_STOP_KM, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Stop names, progress along the polyline, missed stops repaired."""
+               threshold: float = matching.AT_STOP_KM, slice_seconds: int = SLICE_SECONDS,
+               rematch: bool = False) -> DataFrame:
+    """Stop names, progress along the polyline, missed stops repaired.
+
+    A row that ``segment`` left without a polyline was ambiguous when it was matched, so matching it
+    again cannot place it; ``rematch`` is for rows whose match was lost on some other way.
+    """
     df = matching.match_stop(trips_df, network, threshold)
-    df = matching.polyline_progress(df, network)
+    df = matching.polyline_progress(df, network, rematch)
     df = with_halo(df, max_gap, max_gap, slice_seconds)
     return drop_halo(stops.repair_missed_stops(df, network, (*BY_SLICE, "segment_no"))).drop("_slice")
 
