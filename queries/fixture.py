@@ -11,6 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfleet.operators.scale import prefix_sums
 from wayfleet.sources.network import Network
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -110,7 +111,19 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, "pings").withColumn("timestamp", F.timestamp_micros("t_us"))
+    """The pings of ``PINGS``; the row numbers per user are counted hour by hour, so a user with very
+    many events is not sorted in one task."""
+    e = events(spark, sf_dir).withColumns({"_us": F.unix_micros("ts"), "_hour": F.floor(F.unix_micros("ts") / 3_600_000_000)})
+    numbered = prefix_sums(e.select("event_id", "user_id", "_us", "_hour"), ["user_id"], "_hour", ["_us", "event_id"], {"rn": F.lit(1)})
+    placed = numbered.filter("NOT (event_id % 4 = 0 AND rn % 18 = 0)").selectExpr(
+        "user_id", "event_id AS ping_id", "(_us - 1704067200000000) DIV 3600 + 1704067200000000 AS t_us", "_us AS day_us",
+        "(rn % 6) / 6.0D AS f", "CASE WHEN user_id % 2 = 0 THEN 'NORTH' ELSE 'WEST' END AS route",
+        "CAST((rn DIV 6) % 12 AS INT) AS slot",
+        "CASE WHEN event_id % 37 = 0 THEN 0.001D ELSE ((event_id % 7) - 3) * 0.00001D END AS nz")
+    lines = derive(spark, sf_dir, "segments").withColumn("slot", F.col("polyline_idx") * 3 + F.col("segment_idx"))
+    return placed.join(F.broadcast(lines), ["route", "slot"]).selectExpr(
+        "CAST(user_id AS STRING) AS vehicle_id", "ping_id", "t_us", "day_us", "lat1 + (lat2 - lat1) * f + nz AS latitude",
+        "lon1 + (lon2 - lon1) * f AS longitude", "timestamp_micros(t_us) AS timestamp")
 
 
 @lru_cache(maxsize=8)
