@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, drop_halo, prefix_sums, require, time_slice
+from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, prefix_sums, require, time_slice
 from wayfleet.operators.trips import ORDER, TRIP
 
 # The results depend on these defaults.
@@ -98,8 +98,8 @@ def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Se
     if not 0 <= test_ratio <= 1:
         raise ValueError("test_ratio must be between 0 and 1")
     shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]))
-    sizes = (df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_hash", shuffled)
-               .withColumns({"_range": F.substring("_hash", 1, 3), "_all": F.lit(1)}))
+    sizes = cut(df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_hash", shuffled)
+                  .withColumns({"_range": F.substring("_hash", 1, 3), "_all": F.lit(1)}), "sizes")
     total = sizes.groupBy("_all").agg(F.floor(F.sum("_n") * F.lit(test_ratio)).alias("_target"))
     running = prefix_sums(sizes, ["_all"], "_range", ["_hash", *by], {"_upto": F.col("_n")}).join(F.broadcast(total), "_all")
     before = F.col("_upto") - F.col("_n")
@@ -243,10 +243,11 @@ def expanding_forecasts(df: DataFrame, orders: Sequence[tuple[int, int, int]], m
 
     All (p, d, q) share their sums of products: per ``d`` one pass forms them for the largest ``p`` and
     ``q`` and each order takes its part, so the orders compare on equal rows, those where the largest
-    has all its lags. Shocks are the errors of an expanding autoregression.
+    has all its lags. Shocks are the errors of an expanding autoregression. Running sums read their
+    input twice, so what feeds them is stored in between.
     """
     by = list(by)
-    base = numbered_values(df, value, by, slice_seconds)
+    base = cut(numbered_values(df, value, by, slice_seconds), "numbered")
     parts = []
     for d in sorted({o[1] for o in orders}):
         mine = [o for o in orders if o[1] == d]
@@ -266,8 +267,8 @@ def expanding_forecasts(df: DataFrame, orders: Sequence[tuple[int, int, int]], m
             fitted = _expanding_moments(lagged, by, xs, "z").withColumn(
                 "_p", _predictions([list(range(long + 1))], long + 1)(
                     "_xtx", "_xty", F.array(F.lit(1.0), *xs)))
-            rows = fitted.select(*by, *ORDER, "pos", "value", "z", "back",
-                                 F.coalesce(F.col("z") - F.col("_p")[0], F.lit(0.0)).alias("e"))
+            rows = cut(fitted.select(*by, *ORDER, "pos", "value", "z", "back",
+                                     F.coalesce(F.col("z") - F.col("_p")[0], F.lit(0.0)).alias("e")), "shocks")
             lagged = _with_lags(rows, by, {**({"z": p_max} if p_max else {}), "e": q_max}, rows_per_slice)
         else:
             lagged = _with_lags(rows, by, {"z": p_max}, rows_per_slice)
@@ -289,7 +290,7 @@ def expanding_ar1(df: DataFrame, min_len: int, value: str = "speed_kmh", by: Seq
                   slice_seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """First-order case in closed form: slope and intercept over the trip's earlier (previous, current) pairs."""
     by = list(by)
-    rows = _with_lags(numbered_values(df, value, by, slice_seconds), by, {"y": 1}, rows_per_slice)
+    rows = _with_lags(cut(numbered_values(df, value, by, slice_seconds), "numbered"), by, {"y": 1}, rows_per_slice)
     x, y, pair = F.col("y_1"), F.col("y"), F.col("y_1").isNotNull()
     part = {"n": F.when(pair, 1.0), "sx": x, "sy": F.when(pair, y), "sxx": x * x, "sxy": x * y}
     part = {k: F.coalesce(v, F.lit(0.0)) for k, v in part.items()}
@@ -407,8 +408,8 @@ def train_eta(eta_rows: DataFrame, n: int = SEQUENCE_LENGTH, features: Sequence[
     rows = eta_rows.filter(F.col("route").isNotNull() & F.col("polyline_idx").isNotNull())
     enough = rows.groupBy(*MODEL_KEY).agg(F.count_distinct(*TRIP).alias("_t")).filter("_t >= 2").select(*MODEL_KEY)
     rows = rows.join(enough, MODEL_KEY, "left_semi").dropna(subset=["eta_seconds"])
-    split = split_by_trip(rows, test_ratio, seed)
-    made = training_sequences(split, n, features, by=[*TRIP, *MODEL_KEY], slice_seconds=slice_seconds)
+    split = cut(split_by_trip(rows, test_ratio, seed), "split")
+    made = cut(training_sequences(split, n, features, by=[*TRIP, *MODEL_KEY], slice_seconds=slice_seconds), "sequences")
     models = fit_polylines(polyline_moments(made.filter(~F.col("is_test"))), n * len(features), ridges)
     return models, made.filter("is_test")
 

@@ -38,10 +38,11 @@ def only_vehicles(df: DataFrame, vehicle_ids: DataFrame) -> DataFrame:
 def vehicles_in_geofence(events: DataFrame, day_start: Column) -> DataFrame:
     """Vehicles whose latest event since ``day_start`` is an entry (any of them, if several tie)."""
     require(events, "vehicle_id", "event_type", "event_time")
-    entry = (F.col("event_type") == "geofenceEntry").cast("int")
+    # Time and kind in one number: the largest is an entry if any event of the last instant is one.
+    entry = (F.col("event_type") == "geofenceEntry").cast("long")
     last = (events.filter(F.col("event_time") >= day_start).groupBy("vehicle_id")
-                  .agg(F.max(F.struct("event_time", entry.alias("entry"))).alias("_l")))
-    return last.filter(F.col("_l.entry") == 1).select("vehicle_id")
+                  .agg(F.max(F.unix_micros("event_time") * 2 + entry).alias("_last")))
+    return last.filter(F.pmod("_last", F.lit(2)) == 1).select("vehicle_id")
 
 
 LOCATION = ["ping_id", "t_us", "latitude", "longitude"]

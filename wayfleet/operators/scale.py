@@ -147,13 +147,13 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
     Equal values are counted before the shuffle and ranked within value ranges of ``width``, so no
-    task sorts a whole group.
+    task sorts a whole group. The counts are stored because three passes read them.
     """
     whole = not group
     if whole:
         df, group = df.withColumn("_all", F.lit(1)), ["_all"]
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-                .withColumn("_range", F.floor(F.col(value) / width)))
+    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+                   .withColumn("_range", F.floor(F.col(value) / width)), "counts")
     ranked = prefix_sums(counts, group, "_range", [value], {"_upto": F.col("_n")})
     sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
     ranked = ranked.join(F.broadcast(sizes) if whole else sizes, list(group))
