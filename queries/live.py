@@ -205,13 +205,14 @@ SERVICE_DAY = "epoch_us((date_trunc('day', ({ts} AT TIME ZONE 'UTC') AT TIME ZON
 
 @query("g4_daily_tracks", sql("pings geofence_events", f"""
 SELECT p.vehicle_id, p.day AS service_day_us, p.chunk, p.track, epoch_us(m.entry) AS entry_us, epoch_us(m.exit_) AS exit_us
-FROM (SELECT vehicle_id, {SERVICE_DAY.format(ts='make_timestamp(day_us)')} AS day, day_us // 3600000000 AS chunk,
-             string_agg(CAST(ping_id AS VARCHAR), ',' ORDER BY day_us, ping_id) AS track FROM pings GROUP BY 1, 2, 3) p
+FROM (SELECT vehicle_id, day, (rn - 1) // 2 AS chunk, string_agg(CAST(ping_id AS VARCHAR), ',' ORDER BY day_us, ping_id) AS track
+      FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, day ORDER BY day_us, ping_id) AS rn
+            FROM (SELECT *, {SERVICE_DAY.format(ts='make_timestamp(day_us)')} AS day FROM pings) a) b GROUP BY 1, 2, 3) p
 LEFT JOIN (SELECT vehicle_id, {SERVICE_DAY.format(ts='event_time')} AS day, min(CASE WHEN event_type = 'geofenceEntry' THEN event_time END) AS entry,
                   max(CASE WHEN event_type = 'geofenceExit' THEN event_time END) AS exit_ FROM geofence_events GROUP BY 1, 2) m ON m.vehicle_id = p.vehicle_id AND m.day = p.day"""),
     "entry_us exit_us")
 def _(spark, sf):
-    t = live.daily_tracks(daytime_pings(spark, sf), fx.geofence_events(spark, sf))
+    t = live.daily_tracks(daytime_pings(spark, sf), fx.geofence_events(spark, sf), chunk_rows=2)
     return t.select("vehicle_id", F.unix_micros("service_day").alias("service_day_us"), "chunk",
                     F.array_join(F.transform("points", lambda p: p["ping_id"].cast("string")), ",").alias("track"),
                     F.unix_micros("entry").alias("entry_us"), F.unix_micros("exit").alias("exit_us"))

@@ -8,13 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     builder = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g"))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, prefix_sums, require, time_slice
-from wayfleet.operators.trips import ORDER, TRIP
+from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, prefix_sums, require
+from wayfleet.operators.trips import ORDER, TRIP, numbered
 
 # The results depend on these defaults.
 SEQUENCE_LENGTH = 10
@@ -64,12 +64,6 @@ def last_sequence(df: DataFrame, n: int = SEQUENCE_LENGTH, features: Sequence[st
                .withColumn("sequence", F.flatten(F.transform("_s", lambda s: s["x"]))).drop("_s"))
 
 
-def numbered(df: DataFrame, by: Sequence[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Rows of each group with their position ``pos`` 0, 1, 2, … in time order."""
-    sliced = df.withColumn("_slice", time_slice(slice_seconds))
-    return prefix_sums(sliced, by, "_slice", ORDER, {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1).drop("_slice")
-
-
 def with_row_halo(df: DataFrame, before: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Cut numbered rows into blocks of consecutive positions, each with the ``before`` rows ahead of it."""
     at = lambda pos: F.floor(pos / rows_per_slice)

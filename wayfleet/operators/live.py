@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfleet.functions.clock import CAMPUS_TZ, data_age_label, service_day_start
 from wayfleet.functions.geo import route_if_close
 from wayfleet.operators.scale import lookup_join, require
+from wayfleet.operators.trips import numbered
 
 
 def latest_per(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -115,16 +116,15 @@ def data_age(pings: DataFrame, now: Column) -> DataFrame:
     return last.withColumn("age_seconds", age).withColumn("label", data_age_label(F.col("age_seconds")))
 
 
-def daily_tracks(pings: DataFrame, events: DataFrame, tz: str = CAMPUS_TZ, chunk_minutes: int = 60) -> DataFrame:
+def daily_tracks(pings: DataFrame, events: DataFrame, tz: str = CAMPUS_TZ, chunk_rows: int = 1000) -> DataFrame:
     """Each vehicle's track per service day with its first entry and last exit.
 
-    The track comes in chunks of an hour, numbered in order, so one array stays small however many
+    The track comes in numbered chunks of ``chunk_rows`` points, so one array stays small however many
     rows a vehicle has.
     """
     day = lambda ts: service_day_start(F.col(ts), tz)
-    width = chunk_minutes * 60_000_000
-    points = (pings.withColumn("service_day", day("timestamp"))
-              .withColumn("chunk", F.floor(F.col("t_us") / width).cast("long"))
+    placed = numbered(pings.withColumn("service_day", day("timestamp")), ["vehicle_id", "service_day"])
+    points = (placed.withColumn("chunk", F.floor(F.col("pos") / chunk_rows).cast("long"))
               .groupBy("vehicle_id", "service_day", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct("t_us", "ping_id", "latitude", "longitude"))).alias("points")))
     marks = (events.withColumn("service_day", day("event_time")).groupBy("vehicle_id", "service_day")

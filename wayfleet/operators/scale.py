@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="wayfleet-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for stage tables: the cluster's ``spark.checkpoint.dir``; a temporary one only locally."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,9 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="wayfleet-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir()
 
 
 def cut(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFrame:

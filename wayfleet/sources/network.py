@@ -30,7 +30,7 @@ class Network:
     @cached_property
     def small(self) -> bool:
         """Checked once: whether the network may be broadcast."""
-        return fits(self.segments, NETWORK_ROWS) and fits(self.stops, NETWORK_ROWS)
+        return all(fits(t, NETWORK_ROWS) for t in (self.segments, self.stops, self.polyline_stops))
 
     @cached_property
     def measured(self) -> DataFrame:
