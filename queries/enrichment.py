@@ -28,7 +28,7 @@ def match_columns(df):
 
 @query("j1_match_route", sql("l1", MATCH_SQL + "l1"), INDEX)
 def _(spark, sf):
-    return match_columns(matching.match_route(fx.pings(spark, sf), fx.network(spark, sf)))
+    return match_columns(matching.match_route(stage(spark, sf, "pings"), fx.network(spark, sf)))
 
 
 @query("p6_match_missing_only", sql("l1", """
@@ -37,7 +37,7 @@ SELECT ping_id, CASE WHEN ping_id % 2 = 0 THEN 'KEPT' ELSE route END AS route,
        CASE WHEN ping_id % 2 = 0 THEN -1 ELSE segment_idx END AS segment_idx FROM l1"""), INDEX)
 def _(spark, sf):
     even = F.col("ping_id") % 2 == 0
-    old = fx.pings(spark, sf).withColumns({
+    old = stage(spark, sf, "pings").withColumns({
         "route": F.when(even, "KEPT"), "polyline_idx": F.when(even, -1), "segment_idx": F.when(even, -1),
         "dist_to_route": F.when(even, 0.0), "closest_lat": F.when(even, 0.0), "closest_lon": F.when(even, 0.0)})
     out = matching.match_route(old, fx.network(spark, sf), only_missing=True)
@@ -68,7 +68,7 @@ SELECT vehicle_id, ping_id, CAST(sum(s) OVER (PARTITION BY vehicle_id ORDER BY t
 FROM (SELECT *, CASE WHEN coalesce(t_us - lag(t_us) OVER (PARTITION BY vehicle_id ORDER BY t_us, ping_id), 99000000) > 15000000 THEN 1 ELSE 0 END AS s
       FROM pings) x"""))
 def _(spark, sf):
-    return trips.segment_trips(fx.pings(spark, sf), 15.0, slice_seconds=SLICE).select("vehicle_id", "ping_id", "segment_no")
+    return trips.segment_trips(stage(spark, sf, "pings"), 15.0, slice_seconds=SLICE).select("vehicle_id", "ping_id", "segment_no")
 
 
 @query("w2_filter_short_trips", sql("numbered_std", "SELECT ping_id, segment_no FROM numbered_std WHERE trip_rows >= 5"))
@@ -113,7 +113,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ping_id ORDER BY round(km, 9), r
       FROM (SELECT p.ping_id, s.route, s.stop_name, s.stop_ord, {hav('p.latitude', 'p.longitude', 's.lat', 's.lon')} AS km
             FROM pings p CROSS JOIN stops s) a) b WHERE rk = 1"""))
 def _(spark, sf):
-    return matching.match_stop(fx.pings(spark, sf), fx.network(spark, sf)).select("ping_id", "stop_route", "stop_name")
+    return matching.match_stop(stage(spark, sf, "pings"), fx.network(spark, sf)).select("ping_id", "stop_route", "stop_name")
 
 
 @query("j20_nearest_stop", sql("pings stops", f"""
@@ -123,7 +123,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ping_id ORDER BY round(km, 9), r
                    {hav('(p.latitude + (p.ping_id % 9) * 0.02e0)', '(p.longitude - (p.ping_id % 7) * 0.05e0)', 's.lat', 's.lon')} AS km
             FROM pings p CROSS JOIN stops s) a) b WHERE rk = 1"""))
 def _(spark, sf):
-    users = fx.pings(spark, sf).selectExpr("ping_id", "latitude + (ping_id % 9) * 0.02D AS latitude",
+    users = stage(spark, sf, "pings").selectExpr("ping_id", "latitude + (ping_id % 9) * 0.02D AS latitude",
                                            "longitude - (ping_id % 7) * 0.05D AS longitude")
     return rounded(matching.nearest_stop(users, fx.network(spark, sf)), ["nearest_km"]).select(
         "ping_id", "nearest_route", "nearest_stop", "nearest_km")
@@ -219,34 +219,34 @@ L2 = "vehicle_id, ping_id, segment_no, route, polyline_idx, segment_idx"
 
 @query("l1_preprocess", sql("l1", f"SELECT ping_id, round((t_us - 1735689600000000) / 1e6, 6) AS epoch_seconds, route, polyline_idx FROM l1"), "polyline_idx")
 def _(spark, sf):
-    return rounded(enrich.preprocess(fx.pings(spark, sf), fx.network(spark, sf)).select(
+    return rounded(enrich.preprocess(stage(spark, sf, "pings"), fx.network(spark, sf)).select(
         "ping_id", "epoch_seconds", "route", "polyline_idx"), ["epoch_seconds"])
 
 
 @query("l2_segment", sql("l2", f"SELECT {L2}, round(distance_km, 6) AS distance_km, round(speed_kmh, 4) AS speed_kmh FROM l2"), INDEX)
 def _(spark, sf):
-    df = enrich.segment_job(fx.pings(spark, sf), fx.network(spark, sf), slice_seconds=SLICE)
+    df = enrich.segment_job(stage(spark, sf, "pings"), fx.network(spark, sf), slice_seconds=SLICE)
     return rounded(rounded(df.select(*L2.split(", "), "distance_km", "speed_kmh"), ["distance_km"]), ["speed_kmh"], 4)
 
 
 @query("l3_stops", sql("l3", f"SELECT {L2}, stop_name, stop_route, round(dist_from_start, 6) AS dist_from_start, round(dist_to_end, 6) AS dist_to_end FROM l3"), INDEX)
 def _(spark, sf):
-    df = enrich.stops_job(fx.pings(spark, sf), fx.network(spark, sf), slice_seconds=SLICE)
+    df = enrich.stops_job(stage(spark, sf, "pings"), fx.network(spark, sf), slice_seconds=SLICE)
     return rounded(df.select(*L2.split(", "), "stop_name", "stop_route", "dist_from_start", "dist_to_end"), ["dist_from_start", "dist_to_end"])
 
 
 @query("l4_eta", sql("l4", f"SELECT {L2}, stop_name, round(eta_seconds, 6) AS eta_seconds FROM l4"), INDEX)
 def _(spark, sf):
-    df = enrich.eta_job(fx.pings(spark, sf), fx.network(spark, sf), slice_seconds=SLICE)
+    df = enrich.eta_job(stage(spark, sf, "pings"), fx.network(spark, sf), slice_seconds=SLICE)
     return rounded(df.select(*L2.split(", "), "stop_name", "eta_seconds"), ["eta_seconds"])
 
 
 @query("l7_live_enrichment", sql("live", f"SELECT {L2}, stop_name FROM live"), INDEX)
 def _(spark, sf):
-    return enrich.live_job(fx.pings(spark, sf), fx.network(spark, sf), SLICE).select(*L2.split(", "), "stop_name")
+    return enrich.live_job(stage(spark, sf, "pings"), fx.network(spark, sf), SLICE).select(*L2.split(", "), "stop_name")
 
 
 @query("l8_travel_time_job", sql("travel", TRAVEL_SQL + " ORDER BY n DESC, route, polyline_idx LIMIT 10"))
 def _(spark, sf):
-    found = cut(enrich.stops_job(fx.pings(spark, sf), fx.network(spark, sf), slice_seconds=SLICE), "stops")
+    found = cut(enrich.stops_job(stage(spark, sf, "pings"), fx.network(spark, sf), slice_seconds=SLICE), "stops")
     return rounded(profile.top_polylines(stops.polyline_travel_times(found, slice_seconds=SLICE)), TRAVEL)

@@ -56,7 +56,7 @@ def gps_payloads(spark, sf, array_form):
     entry = F.struct(F.when(i % 11 != 0, F.col("vehicle_id")).alias("id"),
                      F.concat(F.lit("Bus "), F.col("vehicle_id")).alias("name"), gps.alias("gps"))
     page = F.struct(F.lit(False).alias("hasNextPage"), F.lit("").alias("endCursor")).alias("pagination")
-    pages = fx.pings(spark, sf).groupBy(F.floor(i / 25).alias("page")).agg(F.collect_list(entry).alias("data"))
+    pages = stage(spark, sf, "pings").groupBy(F.floor(i / 25).alias("page")).agg(F.collect_list(entry).alias("data"))
     return pages.select(F.to_json(F.struct("data", page)).alias("body"))
 
 
@@ -251,7 +251,7 @@ def _(spark, sf):
     path = scratch(spark, "csv")
     form = F.when(F.col("ping_id") % 2 == 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS'+00:00'"))
-    fx.pings(spark, sf).select("vehicle_id", "ping_id", "latitude", form.alias("timestamp")).write.option("header", True).csv(path)
+    stage(spark, sf, "pings").select("vehicle_id", "ping_id", "latitude", form.alias("timestamp")).write.option("header", True).csv(path)
     back = stages.read_stage_csv(spark, path, "vehicle_id string, ping_id long, latitude double, timestamp string")
     return back.withColumn("t_us", F.unix_micros("timestamp")).drop("timestamp")
 

@@ -51,7 +51,7 @@ def _(spark, sf):
 
 @query("p4_only_vehicles", sql("pings", "SELECT vehicle_id, ping_id FROM pings WHERE vehicle_id IN (SELECT vehicle_id FROM ids)", ids=IDS))
 def _(spark, sf):
-    return live.only_vehicles(fx.pings(spark, sf), ids(spark, sf)).select("vehicle_id", "ping_id")
+    return live.only_vehicles(stage(spark, sf, "pings"), ids(spark, sf)).select("vehicle_id", "ping_id")
 
 
 INSIDE = f"""SELECT DISTINCT g.vehicle_id FROM geofence_events g JOIN (SELECT vehicle_id, max(event_time) AS m FROM geofence_events
@@ -75,7 +75,7 @@ def inside(spark, sf):
 
 @query("j6_latest_location", sql("pings geofence_events vehicles", "SELECT * REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude) FROM (" + LAST + ") l", inside=INSIDE))
 def _(spark, sf):
-    return rounded(live.latest_location(fx.pings(spark, sf), inside(spark, sf), fx.vehicles(spark, sf)), PLACE)
+    return rounded(live.latest_location(stage(spark, sf, "pings"), inside(spark, sf), fx.vehicles(spark, sf)), PLACE)
 
 
 def drivers(spark, sf):
@@ -139,7 +139,7 @@ VIEW = "SELECT l.*, d.driver_id, d.driver_name FROM (" + LAST + ") l LEFT JOIN d
 
 
 def locations(spark, sf):
-    return live.live_locations(fx.pings(spark, sf), fx.geofence_events(spark, sf), fx.vehicles(spark, sf), intervals(spark, sf),
+    return live.live_locations(stage(spark, sf, "pings"), fx.geofence_events(spark, sf), fx.vehicles(spark, sf), intervals(spark, sf),
                                drivers(spark, sf), at(DAY))
 
 
@@ -197,7 +197,7 @@ def _(spark, sf):
 
 
 def daytime_pings(spark, sf):
-    return fx.pings(spark, sf).withColumn("t_us", F.col("day_us")).withColumn("timestamp", F.timestamp_micros("t_us"))
+    return stage(spark, sf, "pings").withColumn("t_us", F.col("day_us")).withColumn("timestamp", F.timestamp_micros("t_us"))
 
 
 SERVICE_DAY = "epoch_us((date_trunc('day', ({ts} AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC')"

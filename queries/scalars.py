@@ -29,13 +29,13 @@ def _(spark, sf):
 @query("s2_s3_haversine_km", sql("pings segments", f"""
 SELECT ping_id, round({hav('latitude', 'longitude', '42.7325e0', '-73.676e0')}, 6) AS km FROM pings"""))
 def _(spark, sf):
-    return fx.pings(spark, sf).select("ping_id", F.round(geo.haversine_km("latitude", "longitude", "42.7325D", "-73.676D"), 6).alias("km"))
+    return stage(spark, sf, "pings").select("ping_id", F.round(geo.haversine_km("latitude", "longitude", "42.7325D", "-73.676D"), 6).alias("km"))
 
 
 @query("s4_haversine_m", sql("pings", f"""
 SELECT ping_id, round({hav('latitude', 'longitude', '42.7e0', '-73.6e0', 6371000.0)}, 3) AS m FROM pings"""))
 def _(spark, sf):
-    return fx.pings(spark, sf).select("ping_id", F.round(geo.haversine_m("latitude", "longitude", "42.7D", "-73.6D"), 3).alias("m"))
+    return stage(spark, sf, "pings").select("ping_id", F.round(geo.haversine_m("latitude", "longitude", "42.7D", "-73.6D"), 3).alias("m"))
 
 
 LINE = ["42.730137D", "-73.680291D", "42.741713D", "-73.669877D"]
@@ -47,7 +47,7 @@ FROM (SELECT ping_id, {share('latitude', 'longitude')} AS t
       FROM (SELECT *, 42.730137e0 AS lat1, -73.680291e0 AS lon1, 42.741713e0 AS lat2, -73.669877e0 AS lon2 FROM pings) p) x"""))
 def _(spark, sf):
     t = geo.segment_position("latitude", "longitude", *LINE)
-    df = fx.pings(spark, sf).select("ping_id", t.alias("t"))
+    df = stage(spark, sf, "pings").select("ping_id", t.alias("t"))
     return df.select("ping_id", F.round("t", 6).alias("t"),
                      F.round(F.expr(geo.along_sql(LINE[0], LINE[2], "t")), 6).alias("lat"),
                      F.round(F.expr(geo.along_sql(LINE[1], LINE[3], "t")), 6).alias("lon"))
@@ -124,7 +124,7 @@ SELECT min(t) AS oldest_us, round((1704067925000000 - min(t)) / 1e6, 6) AS age_s
        CASE WHEN (1704067925000000 - min(t)) / 1e6 < 10 THEN 'Live' WHEN (1704067925000000 - min(t)) / 1e6 < 30 THEN 'Delayed' ELSE 'Stale' END AS label
 FROM (SELECT vehicle_id, max(t_us) AS t FROM pings GROUP BY vehicle_id) v"""))
 def _(spark, sf):
-    return rounded(live.data_age(fx.pings(spark, sf), F.timestamp_micros(F.lit(1704067925000000))), ["age_seconds"])
+    return rounded(live.data_age(stage(spark, sf, "pings"), F.timestamp_micros(F.lit(1704067925000000))), ["age_seconds"])
 
 
 @query("s14_age_labels", """
