@@ -4,14 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfleet.llm import packing, simhash
+from wayfleet.llm import langid, packing, pii, quality, simhash
 from wayfleet.llm.common import cut, table
 
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is clear."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents of good quality."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put tags in place of personal data."""
+    return pii.mask(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the documents into token pieces and pack them into sequences."""
+    return packing.packed(docs)
+
+
 STAGES = [
-    ("simhash near-duplicates", lambda spark, docs, sf_dir: simhash.drop_near_duplicates(docs)),
-    ("best-fit packing", lambda spark, docs, sf_dir: packing.packed(docs)),
+    ("language identification", identify_language),
+    ("quality classifier", filter_quality),
+    ("simhash near-duplicates", drop_near_duplicates),
+    ("personal data", mask_personal_data),
+    ("best-fit packing", pack_sequences),
 ]
 
+# Fitted models and hashing of shingles have no counterpart in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
