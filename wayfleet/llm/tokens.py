@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from functools import cache
 
 import public_tokenizers
@@ -15,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 CHUNK = 1 << 16        # characters after which a long text is cut at the next safe place
-MEMO_WORDS = 1 << 18   # words whose ids a worker remembers before it starts anew
+MEMO_WORDS = 1 << 20   # words whose ids a worker remembers before it starts anew
 
 # A space after a visible character and before another one: every match of the pattern that covers
 # such a space starts with it, because only runs of white space have a space inside.
@@ -42,22 +43,50 @@ def safe_parts(text: str, chunk: int = CHUNK) -> list[str]:
     return parts
 
 
+@cache
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(others)}
+
+
 class WordIds(dict):
-    """Ids of a white-space separated word as little-endian 32-bit bytes, remembered up to a bound."""
+    """Ids of a white-space separated word as little-endian 32-bit bytes, remembered up to a bound.
+
+    Punctuation after a letter starts a token of its own, so a word and its closing punctuation are
+    looked up apart. A word of letters only is one token for the model, which it is handed in the
+    spelling that the tokenizer's own normaliser gives it; any other word goes through the whole tokenizer.
+    """
+
+    CLOSING = b'.,*#&$%!?;:|"'
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(self.CLOSING)
+        text = core.decode()
+        if len(core) < len(word) and text and text[-1].isalpha():
+            ids = self[core] + self[word[len(core):]]
+        else:
+            ids = b"".join([i.to_bytes(4, "little") for i in self.encode(word.decode())])
         if len(self) >= MEMO_WORDS:
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def encode(self, word: str) -> list[int]:
+        if word.isalpha() and len(word) <= 64:
+            lower = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+            if lower.isalpha():
+                spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(byte_letters())
+                return [token.id for token in self.tokenizer.model.tokenize(spelled)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
 
 @cache
 def word_bpe(path: str) -> WordIds:
@@ -65,7 +94,7 @@ def word_bpe(path: str) -> WordIds:
 
 
 def word_ids(text: str, path: str) -> bytes:
-    """Ids of ``text``. Its tokenizer drops white space and never joins across it, so words are
-    encoded one by one, most of them from memory."""
+    """Ids of ``text``. Its tokenizer lowers case, drops white space and never joins across it, so
+    words are encoded one by one, most of them from memory."""
     words = word_bpe(path)
-    return b"".join([words[w] for w in re.split(r"[ \n]+", text) if w])
+    return b"".join([words[w] for w in text.encode().lower().split()])
