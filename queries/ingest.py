@@ -402,12 +402,12 @@ CACHE_CUT = 1704067200000000 + 600_000_000
 @query("j24_context_rows", sql("pings", f"""
 SELECT vehicle_id, t_us, ping_id FROM (
   SELECT *, row_number() OVER (PARTITION BY vehicle_id, t_us ORDER BY fresh DESC, ping_id DESC) AS rk FROM (
-    SELECT vehicle_id, t_us, ping_id, 1 AS fresh FROM pings WHERE t_us >= {CACHE_CUT} AND ping_id % 2 = 0
+    SELECT vehicle_id, t_us, ping_id, 1 AS fresh FROM pings WHERE t_us >= {CACHE_CUT}
     UNION ALL SELECT vehicle_id, t_us, ping_id, 0 FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us DESC, ping_id DESC) AS r
-      FROM pings WHERE t_us < {CACHE_CUT}) c WHERE r <= 2 AND vehicle_id IN (SELECT vehicle_id FROM pings WHERE t_us >= {CACHE_CUT} AND ping_id % 2 = 0)) u) k WHERE rk = 1"""))
+      FROM pings WHERE t_us < {CACHE_CUT}) c WHERE r <= 2 AND vehicle_id IN (SELECT vehicle_id FROM pings WHERE t_us >= {CACHE_CUT})) u) k WHERE rk = 1"""))
 def _(spark, sf):
     p = stage(spark, sf, "pings").select("vehicle_id", "t_us", "ping_id")
-    return upkeep.context_rows(p.filter(F.col("t_us") < CACHE_CUT), p.filter((F.col("t_us") >= CACHE_CUT) & (F.col("ping_id") % 2 == 0)))
+    return upkeep.context_rows(p.filter(F.col("t_us") < CACHE_CUT), p.filter(F.col("t_us") >= CACHE_CUT))
 
 
 @query("w20_u1_merge_keep_last", sql("pings", """

@@ -110,7 +110,7 @@ def _(spark, sf):
     models, _ = trained(spark, sf)
     travel = cut(stops.polyline_travel_times(stage(spark, sf, "l3"), slice_seconds=SLICE), "travel")
     # The trained models look at four rows.
-    predict = jobs.write_predictions(out, models, travel, net, 4)
+    predict = jobs.write_predictions(out, f"{out}/rows", models, travel, net, 4)
     replay(spark, sf, lambda pings: jobs.incremental_enrich(pings, net, out, cp, None, on_batch=predict), 2)
     etas = spark.read.parquet(f"{out}/etas").select("batch", "vehicle_id", F.size("etas").alias("n_stops"))
     return etas.groupBy("batch").agg(F.count("*").alias("n_vehicles"), F.sum("n_stops").alias("n_stop_times"))

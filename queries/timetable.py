@@ -64,20 +64,26 @@ def _(spark, sf):
     return t.select("event_id", "stop_name", F.unix_micros("stop_time").alias("stop_us"))
 
 
-VISITS = f"""
+def visits_sql(since: str) -> str:
+    return f"""
 SELECT vehicle_id, day_us, route AS route_name, stop_name FROM (
   SELECT p.vehicle_id, p.day_us, s.route, s.stop_name, {hav('p.latitude', 'p.longitude', 's.lat', 's.lon')} AS km,
          row_number() OVER (PARTITION BY p.ping_id ORDER BY round({hav('p.latitude', 'p.longitude', 's.lat', 's.lon')}, 9), s.route, s.stop_ord) AS rk
-  FROM pings p CROSS JOIN stops s WHERE p.day_us >= epoch_us(TIMESTAMP '2024-01-10 05:00:00')) x WHERE rk = 1 AND km < 0.020"""
+  FROM pings p CROSS JOIN stops s WHERE p.day_us >= epoch_us(TIMESTAMP '{since}')) x WHERE rk = 1 AND km < 0.020"""
 
 
-def visits(spark, sf):
-    return ops.label_stop_visits(daytime_pings(spark, sf), fx.network(spark, sf), F.lit("2024-01-10 05:00:00").cast("timestamp"))
+# The labels are those of one service day; what compares visits with the timetable takes all days.
+ONE_DAY, ALL_DAYS = "2024-01-10 05:00:00", "1970-01-01 00:00:00"
+VISITS = visits_sql(ALL_DAYS)
 
 
-@query("j19_label_stop_visits", sql("pings stops", "SELECT * FROM visits", visits=VISITS))
+def visits(spark, sf, since=ALL_DAYS):
+    return ops.label_stop_visits(daytime_pings(spark, sf), fx.network(spark, sf), F.lit(since).cast("timestamp"))
+
+
+@query("j19_label_stop_visits", sql("pings stops", "SELECT * FROM visits", visits=visits_sql(ONE_DAY)))
 def _(spark, sf):
-    return visits(spark, sf).withColumn("day_us", F.unix_micros("timestamp")).drop("timestamp")
+    return visits(spark, sf, ONE_DAY).withColumn("day_us", F.unix_micros("timestamp")).drop("timestamp")
 
 
 # The same departures run by NORTH and WEST, 24 buses per service.

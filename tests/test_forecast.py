@@ -37,13 +37,13 @@ def test_every_order_is_fitted_on_earlier_rows_only(spark, rows_per_slice):
     assert len(got) == 3 * 28
     for r in got:
         z = np.diff(y[:r.pos], r.d)
-        # Orders with the same d are fitted on the rows where the largest of them has all lags: two here.
-        x = np.column_stack([np.ones(len(z) - 2)] + [z[2 - k: len(z) - k] for k in range(1, r.p + 1)])
-        beta = np.linalg.lstsq(x, z[2:], rcond=None)[0]
+        x = np.column_stack([np.ones(len(z) - r.p)] + [z[r.p - k: len(z) - k] for k in range(1, r.p + 1)])
+        beta = np.linalg.lstsq(x, z[r.p:], rcond=None)[0]
         want = beta @ np.concatenate([[1.0], z[::-1][:r.p]]) + (y[r.pos - 1] if r.d else 0.0)
-        assert r.predicted == pytest.approx(want, rel=2e-3)
+        assert r.predicted == pytest.approx(want, rel=1e-6)
     with_shocks = forecast.expanding_forecasts(series(spark, y), [(1, 0, 1), (2, 0, 2)], 15).collect()
-    assert len(with_shocks) == 50 and all(r.predicted is not None for r in with_shocks)
+    # Shocks exist once the long regression has more rows than coefficients; then the order's own needs the same.
+    assert len(with_shocks) == 50 and all((r.predicted is not None) == (r.q == 1 or r.pos >= 18) for r in with_shocks)
 
 
 def test_one_step_forecast_follows_a_linear_rule():
@@ -53,7 +53,22 @@ def test_one_step_forecast_follows_a_linear_rule():
     y = np.array(y) + np.random.default_rng(0).normal(0, 0.05, len(y))
     assert forecast.one_step_forecast(y, 2, 0, 0) == pytest.approx(y[-1], abs=0.3)
     assert forecast.one_step_forecast(np.arange(30.0), 1, 1, 0) == pytest.approx(30.0, abs=1e-3)
-    assert forecast.one_step_forecast(np.array([3.0, 5.0]), 3, 0, 2) == 4.0
+    assert forecast.one_step_forecast(np.arange(30.0) ** 3, 1, 3, 0) == pytest.approx(27_000.0, rel=1e-6)
+    assert forecast.one_step_forecast(np.full(30, 7.0), 2, 0, 0) == pytest.approx(7.0)
+    assert forecast.one_step_forecast(np.array([3.0, 5.0]), 3, 0, 2) is None
+
+
+def test_an_order_does_not_depend_on_the_others(spark):
+    df = series(spark, walk(30))
+    alone = {r.pos: r.predicted for r in forecast.expanding_forecasts(df, [(1, 0, 0)], 2).collect()}
+    beside = {r.pos: r.predicted for r in forecast.expanding_forecasts(df, [(4, 0, 0), (1, 0, 0), (1, 3, 0)], 2).filter("p = 1 AND d = 0").collect()}
+    assert alone == beside and sum(v is not None for v in alone.values()) == 26
+
+
+def test_a_constant_series_forecasts_itself(spark):
+    df = series(spark, [30.0] * 12)
+    assert all(r.predicted == pytest.approx(30.0) for r in forecast.expanding_ar1(df, 3).collect())
+    assert all(r.predicted == pytest.approx(30.0) for r in forecast.expanding_forecasts(df, [(2, 0, 0)], 6).collect())
 
 
 def test_forecast_speed_needs_five_rows_and_never_goes_below_zero(spark):

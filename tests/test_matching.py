@@ -44,7 +44,7 @@ def places(town):
 
 
 @pytest.mark.parametrize("small", [True, False])
-@pytest.mark.parametrize("threshold", [0.020, 0.5])
+@pytest.mark.parametrize("threshold", [0.020, 0.5, 2.0])
 def test_cells_give_the_exhaustive_answer(spark, town, small, threshold):
     net = make_network(spark, town, [("R0", 0, "S", 42.7, -73.7)])
     net.__dict__["small"] = small

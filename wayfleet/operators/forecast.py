@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import product
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, prefix_sums, require
+from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, lookup_join, prefix_sums, require
 from wayfleet.operators.trips import ORDER, TRIP, numbered
 
 # The results depend on these defaults.
@@ -27,6 +28,7 @@ DEFAULT_STEP_SECONDS = 5.0
 STEP_LIMITS = (1.0, 60.0)
 STEPS_AVERAGED = 4
 RIDGE = 1e-6
+JITTER = 1e-12    # keeps the normal equations of a constant series solvable
 ROWS_PER_SLICE = 4096
 
 
@@ -123,51 +125,58 @@ def next_timestamp(df: DataFrame) -> DataFrame:
                       (F.col("t_us") + F.round(step * 1e6).cast("long")).alias("next_us"))
 
 
+def difference_weights(d: int) -> list[float]:
+    """Weights of a value and its ``d`` predecessors in the ``d``-th difference."""
+    return [float((-1) ** k * comb(d, k)) for k in range(d + 1)]
+
+
 def _lagged(y: np.ndarray, lags: int) -> np.ndarray:
     return np.column_stack([y[lags - k: len(y) - k] for k in range(1, lags + 1)]) if lags else np.empty((len(y), 0))
 
 
 def _solve(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
     scale = np.trace(xtx, axis1=-2, axis2=-1)[..., None, None] / xtx.shape[-1]
-    return np.linalg.solve(xtx + RIDGE * np.maximum(scale, 1e-9) * np.eye(xtx.shape[-1]), xty[..., None])[..., 0]
+    return np.linalg.solve(xtx + JITTER * np.maximum(scale, 1e-9) * np.eye(xtx.shape[-1]), xty[..., None])[..., 0]
+
 
+def one_step_forecast(values: np.ndarray, p: int, d: int, q: int) -> float | None:
+    """Two-stage regression forecast of the value after the last one, None if there are too few.
 
-def one_step_forecast(values: np.ndarray, p: int, d: int, q: int) -> float:
-    """Two-stage regression forecast of the value after the last one: a long autoregression estimates
-    the shocks, then the values are regressed on ``p`` own lags and ``q`` shock lags."""
-    if len(values) < p and len(values) < q + 1:
-        return float(np.mean(values))
-    y = np.diff(values, d)
-    long = min(max(p, q) + 2, max(1, len(y) // 3)) if q else 0
+    The ``d``-th differences are regressed on ``p`` own lags and ``q`` shock lags. The shocks are the errors
+    of an autoregression on two lags more than the longer of both. A regression needs more rows than
+    it has coefficients. Values are counted from the first one, which keeps large ones exact.
+    """
+    first = values[0] if len(values) else 0.0
+    y = np.diff(np.asarray(values, dtype=float) - first, d)
+    long = max(p, q) + 2 if q else 0
+    start = max(p, q) + long
+    if len(y) - start <= 1 + p + q or q and len(y) - long <= 1 + long:
+        return None
     shocks = np.zeros(len(y))
-    if long:
+    if q:
         x = np.column_stack([np.ones(len(y) - long), _lagged(y, long)])
         shocks[long:] = y[long:] - x @ _solve(x.T @ x, x.T @ y[long:])
-    start = max(p, q) + long
-    if len(y) - start < 1:
-        forecast = float(np.mean(y)) if len(y) else 0.0
-    else:
-        own = _lagged(y, p)[start - p:] if p else np.empty((len(y) - start, 0))
-        shock = _lagged(shocks, q)[start - q:] if q else np.empty((len(y) - start, 0))
-        x = np.column_stack([np.ones(len(y) - start), own, shock])
-        beta = _solve(x.T @ x, x.T @ y[start:])
-        forecast = float(np.concatenate([[1.0], y[::-1][:p], shocks[::-1][:q]]) @ beta)
-    for k in range(d, 0, -1):
-        forecast += float(np.diff(values, k - 1)[-1])
-    return forecast
+    own, shock = _lagged(y, p)[start - p:], _lagged(shocks, q)[start - q:]
+    x = np.column_stack([np.ones(len(y) - start), own, shock])
+    beta = _solve(x.T @ x, x.T @ y[start:])
+    forecast = float(np.concatenate([[1.0], y[::-1][:p], shocks[::-1][:q]]) @ beta)
+    back = sum(-w * values[-k] for k, w in enumerate(difference_weights(d)) if k)
+    return forecast + float(back) + (0.0 if d else float(first))
 
 
 def forecast_speed(df: DataFrame, p: int = 3, d: int = 0, q: int = 2) -> DataFrame:
     """Next speed per vehicle from at most its last 200 values (NULL counts as 0), never below 0.
 
-    Vehicles with fewer than five rows are left out. A group has at most 200 rows.
+    Vehicles with fewer than five rows are left out; the speed is NULL where the order needs more rows
+    than there are. A group has at most 200 rows.
     """
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < MIN_FORECAST_ROWS:
             return rows[["vehicle_id", "speed_kmh"]].iloc[:0]
         y = rows.sort_values("_rank", ascending=False)["speed_kmh"].fillna(0.0).to_numpy(dtype=float)
+        made = one_step_forecast(y, p, d, q)
         return pd.DataFrame({"vehicle_id": [rows["vehicle_id"].iloc[0]],
-                             "speed_kmh": [max(0.0, one_step_forecast(y, p, d, q))]})
+                             "speed_kmh": pd.Series([None if made is None else max(0.0, made)], dtype=float)})
 
     rows = last_rows(df, HISTORY).select("vehicle_id", "speed_kmh", "_rank")
     speeds = rows.groupBy("vehicle_id").applyInPandas(fit, "vehicle_id string, speed_kmh double")
@@ -230,59 +239,58 @@ def _predictions(choices: Sequence[Sequence[int]], k: int):
     return solve
 
 
+def _order_forecasts(base: DataFrame, order: tuple[int, int, int], min_len: int, by: list[str], rows_per_slice: int) -> DataFrame:
+    """Forecasts of one order from ``base`` (position and value), fitted on all earlier rows that have this order's lags."""
+    p, d, q = order
+    lagged = lambda df, columns: _with_lags(df, by, columns, rows_per_slice)
+    rows = lagged(base, {"value": d}).drop("_block") if d else base
+    past = list(enumerate(difference_weights(d)))[1:]
+    z = sum((F.col(f"value_{k}") * w for k, w in past), F.col("value"))
+    back = sum((F.col(f"value_{k}") * -w for k, w in past), F.lit(0.0))
+    kept = [*by, *ORDER, "pos", "value", "first", "z", "back"]
+    rows = rows.withColumns({"z": z, "back": back}).select(*kept)
+    if q:
+        long = max(p, q) + 2
+        xs = [f"z_{k}" for k in range(1, long + 1)]
+        fitted = _expanding_moments(lagged(rows, {"z": long}), by, xs, "z").withColumn(
+            "_p", _predictions([list(range(long + 1))], long + 1)("_xtx", "_xty", F.array(F.lit(1.0), *xs)))
+        rows = cut(fitted.select(*kept, (F.col("z") - F.col("_p")[0]).alias("e")), "shocks")
+    xs = [f"z_{k}" for k in range(1, p + 1)] + [f"e_{k}" for k in range(1, q + 1)]
+    solved = _expanding_moments(lagged(rows, {c: n for c, n in (("z", p), ("e", q)) if n}), by, xs, "z").withColumn(
+        "_p", _predictions([list(range(len(xs) + 1))], len(xs) + 1)("_xtx", "_xty", F.array(F.lit(1.0), *xs)))
+    return solved.filter(F.col("pos") >= min_len).select(
+        *by, *ORDER, "pos", (F.col("value") + F.col("first")).alias("actual"), F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"),
+        (F.col("_p")[0] + F.col("back") + F.col("first")).alias("predicted"))
+
+
 def expanding_forecasts(df: DataFrame, orders: Sequence[tuple[int, int, int]], min_len: int, value: str = "speed_kmh",
                         by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS,
                         rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """One-step forecasts of every value from position ``min_len`` on, fitted on the trip's earlier values.
 
-    All (p, d, q) share their sums of products: per ``d`` one pass forms them for the largest ``p`` and
-    ``q`` and each order takes its part, so the orders compare on equal rows, those where the largest
-    has all its lags. Shocks are the errors of an expanding autoregression. Running sums read their
-    input twice, so what feeds them is stored in between.
+    Each (p, d, q) is fitted on its own: on all earlier rows that have its lags, whatever other orders
+    are asked for; with no more rows than coefficients there is no forecast. Shocks are the errors of an
+    expanding autoregression on two lags more than the longer of p and q. Sums of products run over
+    values counted from the trip's first, so that large ones do not cancel.
     """
     by = list(by)
-    base = cut(numbered_values(df, value, by, slice_seconds), "numbered")
-    parts = []
-    for d in sorted({o[1] for o in orders}):
-        mine = [o for o in orders if o[1] == d]
-        p_max, q_max = max(o[0] for o in mine), max(o[2] for o in mine)
-        long = max(p_max, q_max) + 2 if q_max else p_max
-        rows = base.withColumnRenamed("y", "value")
-        diffs = _with_lags(rows, by, {"value": max(d, 1)}, rows_per_slice).drop("_block")
-        # d-th difference and what must be added back to a forecast of it
-        weights = [[1.0], [1.0, -1.0], [1.0, -2.0, 1.0]][d]
-        lag = lambda k: F.col("value") if k == 0 else F.col(f"value_{k}")
-        z = sum((lag(k) * w for k, w in enumerate(weights)), F.lit(0.0))
-        back = sum((-lag(k) * w for k, w in enumerate(weights) if k), F.lit(0.0))
-        rows = diffs.select(*by, *ORDER, "pos", "value", z.alias("z"), back.alias("back"))
-        if q_max:
-            lagged = _with_lags(rows, by, {"z": long}, rows_per_slice)
-            xs = [f"z_{k}" for k in range(1, long + 1)]
-            fitted = _expanding_moments(lagged, by, xs, "z").withColumn(
-                "_p", _predictions([list(range(long + 1))], long + 1)(
-                    "_xtx", "_xty", F.array(F.lit(1.0), *xs)))
-            rows = cut(fitted.select(*by, *ORDER, "pos", "value", "z", "back",
-                                     F.coalesce(F.col("z") - F.col("_p")[0], F.lit(0.0)).alias("e")), "shocks")
-            lagged = _with_lags(rows, by, {**({"z": p_max} if p_max else {}), "e": q_max}, rows_per_slice)
-        else:
-            lagged = _with_lags(rows, by, {"z": p_max}, rows_per_slice)
-        xs = [f"z_{k}" for k in range(1, p_max + 1)] + [f"e_{k}" for k in range(1, q_max + 1)]
-        choices = [[0, *range(1, p + 1), *range(1 + p_max, 1 + p_max + q)] for p, _, q in mine]
-        solved = _expanding_moments(lagged, by, xs, "z").withColumn(
-            "_p", _predictions(choices, len(xs) + 1)("_xtx", "_xty", F.array(F.lit(1.0), *xs)))
-        labels = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(dd).alias("d"), F.lit(q).alias("q")) for p, dd, q in mine])
-        each = solved.filter(F.col("pos") >= min_len).withColumn("_o", F.explode(F.arrays_zip(labels.alias("o"), F.col("_p").alias("f"))))
-        parts.append(each.select(*by, *ORDER, "pos", F.col("value").alias("actual"), "_o.o.p", "_o.o.d", "_o.o.q",
-                                 (F.col("_o.f") + F.col("back")).alias("predicted")))
-    out = parts[0]
-    for more in parts[1:]:
+    numbered = cut(numbered_values(df, value, by, slice_seconds), "numbered")
+    first = numbered.filter("pos = 0").select(*by, F.col("y").alias("first"))
+    centred = lookup_join(numbered, first, by).withColumn("value", F.col("y") - F.col("first"))
+    base = cut(centred.select(*by, *ORDER, "pos", "value", "first"), "centred")
+    made = [_order_forecasts(base, tuple(o), min_len, by, rows_per_slice) for o in orders]
+    out = made[0]
+    for more in made[1:]:
         out = out.unionByName(more)
     return out
 
 
 def expanding_ar1(df: DataFrame, min_len: int, value: str = "speed_kmh", by: Sequence[str] = TRIP,
                   slice_seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """First-order case in closed form: slope and intercept over the trip's earlier (previous, current) pairs."""
+    """First-order case in closed form: slope and intercept over the trip's earlier (previous, current) pairs.
+
+    Where the earlier values do not vary, the slope is 0 and the forecast their mean.
+    """
     by = list(by)
     rows = _with_lags(cut(numbered_values(df, value, by, slice_seconds), "numbered"), by, {"y": 1}, rows_per_slice)
     x, y, pair = F.col("y_1"), F.col("y"), F.col("y_1").isNotNull()
@@ -291,8 +299,9 @@ def expanding_ar1(df: DataFrame, min_len: int, value: str = "speed_kmh", by: Seq
     s = prefix_sums(rows, by, "_block", ["pos"], {f"_{k}": v for k, v in part.items()})
     s = s.withColumns({f"_{k}": F.col(f"_{k}") - v for k, v in part.items()})
     spread = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    s = s.withColumn("slope", F.when((F.col("_n") >= 2) & (spread > 1e-6 * F.col("_n") * F.col("_n")),
-                                     (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread))
+    varies = spread > 1e-6 * F.col("_n") * F.col("_n")
+    s = s.withColumn("slope", F.when(F.col("_n") >= 2, F.when(
+        varies, (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread).otherwise(0.0)))
     s = s.withColumn("intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("_n"))
     return s.filter(F.col("pos") >= min_len).select(
         *by, *ORDER, "pos", F.col("y").alias("actual"), "slope", "intercept",
@@ -333,12 +342,13 @@ def order_grid(p: Sequence[int], d: Sequence[int], q: Sequence[int]) -> list[tup
     return [o for o in product(p, d, q) if o[0] or o[2]]
 
 
-def grid_search(df: DataFrame, orders: Sequence[tuple[int, int, int]], n_trips: int, min_len: int,
+def grid_search(df: DataFrame, orders: Sequence[tuple[int, int, int]], min_len: int, n_trips: int | None = None,
                 by: Sequence[str] = TRIP, **options) -> DataFrame:
-    """Errors of every order on the ``n_trips`` largest trips, rolled up."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), *by).limit(n_trips)
-    rows = df.join(F.broadcast(sizes.select(*by)), list(by), "left_semi")
-    made = expanding_forecasts(rows, orders, min_len, by=by, **options)
+    """Errors of every order, rolled up over all trips, or over the ``n_trips`` largest."""
+    if n_trips is not None:
+        sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), *by).limit(n_trips)
+        df = df.join(sizes.select(*by), list(by), "left_semi")
+    made = expanding_forecasts(df, orders, min_len, by=by, **options)
     return rollup_orders(forecast_errors(made, [*by, "p", "d", "q"]))
 
 
@@ -410,7 +420,7 @@ def train_eta(eta_rows: DataFrame, n: int = SEQUENCE_LENGTH, features: Sequence[
 
 def score(sequences: DataFrame, models: DataFrame) -> DataFrame:
     """Predicted seconds, at least 0; sequences of polylines without a model are left out."""
-    dot = F.aggregate(F.zip_with("sequence", F.slice("coefficients", 2, 1_000_000), lambda x, b: x * b),
+    dot = F.aggregate(F.zip_with("sequence", F.slice("coefficients", F.lit(2), F.size("coefficients") - 1), lambda x, b: x * b),
                       F.element_at("coefficients", 1), lambda acc, v: acc + v)
     return sequences.join(models, MODEL_KEY).withColumn("predicted", F.greatest(F.lit(0.0), dot)).drop("coefficients")
 

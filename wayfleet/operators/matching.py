@@ -100,10 +100,11 @@ def _stored_index(network: Network, kind: str, levels: tuple) -> tuple[DataFrame
     key = (kind, levels)
     if key not in network.tables:
         items = network.segments.select(*SEGMENT_COLUMNS) if kind == "segments" else _stop_items(network.stops)
-        cells = cut(cell_index(items, levels), "cells")
+        # A margin beyond every level leaves none; then blocks alone serve.
+        cells = cut(cell_index(items, levels), "cells").withColumnRenamed("cell", "_cell") if levels else None
         blocks = cut(block_list(items), "blocks")
-        small = network.small and may_broadcast(cells) and may_broadcast(blocks)
-        network.tables[key] = cells.withColumnRenamed("cell", "_cell"), blocks, small
+        small = network.small and (cells is None or may_broadcast(cells)) and may_broadcast(blocks)
+        network.tables[key] = cells, blocks, small
     return network.tables[key]
 
 

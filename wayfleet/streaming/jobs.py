@@ -22,6 +22,7 @@ from wayfleet.sources.network import Network
 # The results depend on these defaults.
 CADENCE = "5 seconds"
 LATE_AFTER_SECONDS = 600
+DAY_SECONDS = 86_400
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -104,7 +105,7 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
     new = matching.match_route(ping_frame(new), network).select(*TAIL)
     late_us, reach_us = int(late_after * 1e6), int((enrich.VOTE_WINDOW + 2) * max_gap * 1e6)
     if tail is None:
-        late, rows = new.limit(0), new
+        late, rows = new.limit(0), upkeep.keep_last(new, ["ping_id"])
     else:
         seen = tail.groupBy("vehicle_id").agg(F.max("t_us").alias("_seen"))
         marked = cut(new.join(seen, "vehicle_id", "left").withColumn(
@@ -126,7 +127,7 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
     since = new.groupBy("vehicle_id").agg(F.min("t_us").alias("_since"))
     changed = done.join(since, "vehicle_id").filter(F.col("t_us") >= F.col("_since") - reach_us).drop("_since")
     horizon = rows.groupBy("vehicle_id").agg((F.max("t_us") - late_us - 2 * reach_us).alias("_from"))
-    numbered = rows.join(done.select("vehicle_id", "t_us", "segment_no"), ["vehicle_id", "t_us"]).join(horizon, "vehicle_id")
+    numbered = rows.join(done.select("vehicle_id", "t_us", "ping_id", "segment_no"), ["vehicle_id", "t_us", "ping_id"]).join(horizon, "vehicle_id")
     recent = numbered.filter(F.col("t_us") >= F.col("_from")).drop("_from").withColumn("anchor", F.lit(False))
     older = numbered.filter(F.col("t_us") < F.col("_from")).drop("_from")
     kept = recent.unionByName(upkeep.keep_last(older, ["t_us", "ping_id"], ["vehicle_id"]).withColumn("anchor", F.lit(True)))
@@ -166,11 +167,23 @@ def predictions(enriched: DataFrame, models: DataFrame, travel_times: DataFrame,
     return upkeep.eta_documents(times, at), forecast.forecast_speed(enriched, *order)
 
 
-def write_predictions(path: str, models: DataFrame, travel_times: DataFrame, network: Network,
-                      n: int = forecast.SEQUENCE_LENGTH) -> Callable:
-    """``on_batch`` for ``incremental_enrich``: append both kinds of predictions per tick."""
+def last_day(stored: DataFrame, changed: DataFrame, seconds: float = DAY_SECONDS) -> DataFrame:
+    """The stored rows of the vehicles among ``changed``, as far back as ``seconds`` before each one's newest."""
+    touched = changed.groupBy("vehicle_id").agg(F.max("t_us").alias("_newest"))
+    rows = stored.join(touched, "vehicle_id")
+    return rows.filter(F.col("t_us") > F.col("_newest") - F.lit(int(seconds * 1e6))).drop("_newest")
+
+
+def write_predictions(path: str, rows: str, models: DataFrame, travel_times: DataFrame, network: Network,
+                      n: int = forecast.SEQUENCE_LENGTH, order: tuple[int, int, int] = (3, 0, 2)) -> Callable:
+    """``on_batch`` for ``incremental_enrich``: append both kinds of predictions per tick.
+
+    They are made from the day that is stored in ``rows`` for the vehicles of the batch, not from the
+    batch's own rows, so stop visits and speeds from before the tick count.
+    """
     def on_batch(done: DataFrame, batch_id: int) -> None:
-        etas, speeds = predictions(done, models, travel_times, network, F.current_timestamp(), n)
+        day = last_day(newest(done.sparkSession, rows, ["vehicle_id", "t_us"]), done)
+        etas, speeds = predictions(day, models, travel_times, network, F.current_timestamp(), n, order)
         etas.write.mode("overwrite").parquet(f"{path}/etas/batch={batch_id}")
         speeds.write.mode("overwrite").parquet(f"{path}/speeds/batch={batch_id}")
     return on_batch
