@@ -32,7 +32,7 @@ ROUNDS = 3
 PART = 40             # letters of a word that are scored together
 FLOOR = 1e-6          # probability of a letter that is no piece, in every language
 SMOOTH = 0.05         # added to each expected count
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -147,27 +147,35 @@ class Model:
     languages: list[str]
     probabilities: np.ndarray
     path: str = VOCABULARY
-    memo: dict = field(default_factory=dict, repr=False)
+    memo: dict = field(default_factory=dict, repr=False)            # word -> its row in ``known``
+    known: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.languages, self.probabilities, self.path
 
     def __setstate__(self, state):
         self.languages, self.probabilities, self.path = state
-        self.memo = {}
+        self.memo, self.known = {}, None
+
+    def remember(self, words: dict[str, None]) -> None:
+        """Score the words that are not known yet; what is known is forgotten when it would get too much."""
+        new = [w for w in words if w not in self.memo]
+        if self.known is None or len(self.memo) + len(new) > len(self.known):
+            self.memo.clear()
+            new = list(words)
+            self.known = np.zeros((max(MEMO_WORDS, len(new)), len(self.languages)))
+        first = len(self.memo)
+        self.known[first:first + len(new)] = word_scores(new, self.probabilities, self.path)
+        self.memo.update(zip(new, range(first, first + len(new))))
 
     def text_scores(self, texts: list[str]) -> np.ndarray:
         """Log probability of each text in each language: the sum over its words."""
         counts = [Counter(words_of(t)) for t in texts]
-        new = list(dict.fromkeys(w for c in counts for w in c if w not in self.memo))
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(dict.fromkeys(w for c in counts for w in c))
-        self.memo.update(zip(new, word_scores(new, self.probabilities, self.path)))
+        self.remember(dict.fromkeys(w for c in counts for w in c))
         out = np.zeros((len(texts), len(self.languages)))
         for i, c in enumerate(counts):
-            if c:
-                out[i] = np.array(list(c.values())) @ np.array([self.memo[w] for w in c])
+            rows = np.fromiter(map(self.memo.__getitem__, c), np.int64, len(c))
+            out[i] = np.fromiter(c.values(), float, len(c)) @ self.known[rows]
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
