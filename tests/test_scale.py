@@ -27,6 +27,14 @@ def test_exact_quantiles(spark, group):
             assert r[n] == pytest.approx(np.quantile(mine, p), abs=1e-12)
 
 
+def test_quantiles_of_values_within_one_unit(spark):
+    rnd = random.Random(3)
+    values = [rnd.random() / 1000 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = scale.exact_quantiles(df, [], "v", {"q10": 0.1, "q99": 0.99}).first()
+    assert (got["q10"], got["q99"]) == pytest.approx(tuple(np.quantile(values, [0.1, 0.99])), abs=1e-15)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_lookup_join_keeps_rows_without_a_key(spark, small):
     left = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(300)], "id long, k int")

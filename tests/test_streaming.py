@@ -60,3 +60,10 @@ def test_a_stream_can_be_paced_or_drained(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_a_first_batch_delivered_twice_counts_once(spark, pings, whole):
+    narrow = pings.select("vehicle_id", "ping_id", "t_us", "latitude", "longitude")
+    done, tail, _ = jobs.enrich_batch(None, narrow.union(narrow), fx.network(spark, SF), late_after=10_000.0)
+    assert rows(done) == whole
+    assert tail.count() == tail.select("vehicle_id", "t_us").distinct().count()

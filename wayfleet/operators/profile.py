@@ -14,12 +14,12 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 OUTLIER_KMH = 120.0
 
 
-def describe(df: DataFrame, value: str, group: Sequence[str] = (), width: float = 1.0) -> DataFrame:
+def describe(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles, max of one column."""
     basics = df.groupBy(*group).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    quartiles = exact_quantiles(df, group, value, QUARTILES, width)
+    quartiles = exact_quantiles(df, group, value, QUARTILES)
     if group:
         return basics.join(quartiles, list(group), "left")
     one = F.lit(1)
@@ -67,7 +67,7 @@ def at_stop_share(df: DataFrame) -> DataFrame:
 
 def eta_distribution(df: DataFrame) -> DataFrame:
     """Time to the next stop in seconds and minutes, and the share of rows without one."""
-    spread = describe(df, "eta_seconds", width=60.0)
+    spread = describe(df, "eta_seconds")
     nulls = df.agg((F.count_if(F.col("eta_seconds").isNull()) / F.count("*") * 100).alias("null_percent"))
     one = F.lit(1)
     both = spread.withColumn("_k", one).join(nulls.withColumn("_k", one), "_k").drop("_k")

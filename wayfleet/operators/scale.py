@@ -22,6 +22,7 @@ SLICE_SECONDS = 3600
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
+RANGES = 128
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -146,18 +147,21 @@ def previous_from_earlier(df: DataFrame, group: Sequence[str], slice_col: str, l
     return per_slice.select(*group, slice_col, F.last("_last", ignorenulls=True).over(earlier).alias(name))
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float],
-                    width: float = 1.0) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Equal values are counted before the shuffle and ranked within value ranges of ``width``, so no
-    task sorts a whole group. The counts are stored because three passes read them.
+    Equal values are counted before the shuffle and ranked within value ranges, so no task sorts a
+    whole group. The ranges part each group's distinct values about evenly, wherever they lie. The
+    counts are stored because three passes read them.
     """
     whole = not group
     if whole:
         df, group = df.withColumn("_all", F.lit(1)), ["_all"]
-    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-                   .withColumn("_range", F.floor(F.col(value) / width)), "counts")
+    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n")), "counts")
+    parts = [i / ranges for i in range(1, ranges)]
+    bounds = counts.groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, parts, 20 * ranges)).alias("_bounds"))
+    counts = cut(lookup_join(counts, bounds, group).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+                 .drop("_bounds"), "counts")
     ranked = prefix_sums(counts, group, "_range", [value], {"_upto": F.col("_n")})
     sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
     ranked = ranked.join(F.broadcast(sizes) if whole else sizes, list(group))
