@@ -28,9 +28,14 @@ def keep_last(df: DataFrame, order: Sequence[str], key: Sequence[str] = ("vehicl
 
 
 def new_pings(batch: DataFrame, target: DataFrame, order: Sequence[str] = ("ping_id",)) -> DataFrame:
-    """Rows of a batch to append: one per (vehicle, time), none that the target already has."""
+    """Rows of a batch to append: one per (vehicle, time), none that the target already has.
+
+    Only the target's rows within the batch's time span can be equal, so only those are read.
+    """
     key = ["vehicle_id", "t_us"]
-    return first_per_key(batch, key, order).join(target.select(*key), key, "left_anti")
+    low, high = batch.agg(F.min("t_us"), F.max("t_us")).first()
+    known = target.select(*key).filter(F.col("t_us").between(low, high)) if low is not None else target.select(*key).limit(0)
+    return first_per_key(batch, key, order).join(known, key, "left_anti")
 
 
 def updated_vehicles(appended: DataFrame) -> DataFrame:
