@@ -6,6 +6,7 @@ import os
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +32,7 @@ def awkward():
     long = " ".join(f"wort{i % 700}" for i in range(6000))
     return [(1, "hello there my dear friend", "en", "a"), (1, "hello there my dear friend", "en", "a"), (2, "Hello There my dear friend", "en", None),
             (3, None, "en", "a"), (4, "", None, "b"), (None, "jo@x.example.com wrote +1 (437) 555-0689", None, None), (5, None, None, None),
-            (6, long, "de", "b"), (7, long + " ende", "de", "b"), (8, "!!! ??? 123", "fr", "c"), (9, "x" * 5000, "fr", "c"),
+            (6, long, "de", "b"), (7, long + " ende", "de", "b"), (8, "!!! ??? 123 ½ ²", "fr", "c"), (9, "x" * 5000, "fr", "c"),
             (10, "été\u0301 naïve 漢字 <|endoftext|> <s>\t\n\x0b ok", "fr", "c"), (11, "4111 1111 1111 1111, 10.0.0.1, 300.1.1.1", "en", "a")]
 
 
@@ -119,6 +120,30 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
         assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
+def test_large_cells_are_refined_where_that_saves_pairs(spark, monkeypatch):
+    """Fingerprints that agree in two bands and are spread elsewhere are refined; those alike everywhere are not."""
+    rng = random.Random(5)
+    first, second = simhash.bands()[:2]
+    near = lambda f, n: {f ^ (1 << rng.randrange(64)) for _ in range(n)}
+    base = rng.getrandbits(64)
+    spread = {(base & (first | second)) | (rng.getrandbits(64) & ~(first | second)) for _ in range(150)}
+    prints = spread | set().union(*(near(f, 2) for f in sorted(spread)[:40])) | near(rng.getrandbits(64), 60)
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    original = simhash.blocks
+    made = original(simhash.grid_cells(df), 16).toPandas()
+    assert (made["sub"] != 0).any() and (made.groupby(["grid", "cell", "sub", "block"]).size() <= 3 * 16).all()
+    monkeypatch.setattr(simhash, "blocks", lambda cells: original(cells, 16))
+    root = {r["node"]: r["root"] for r in connected(simhash.links(df)).collect()}
+    label = components([p % (1 << 64) for p in signed])
+    groups = {}
+    for p, c in zip(signed, label):
+        groups.setdefault(c, set()).add(root.get(p, p))
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+    for a, b in combinations(simhash.bands(), 2):
+        assert sum(simhash.finer_bands(a | b)) == (1 << 64) - 1 - (a | b)
+
+
 def test_bound_never_exceeds_the_hamming_distance():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 2**63, 2000, dtype=np.uint64) for _ in range(2))

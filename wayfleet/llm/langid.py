@@ -140,6 +140,11 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits of other forms, such as superscripts, are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     """Piece probabilities by language; ``languages`` in natural order."""
@@ -185,7 +190,7 @@ class Model:
         scores = self.text_scores(texts)
         top = scores.argmax(1)
         posterior = 1 / np.exp(scores - scores.max(1)[:, None]).sum(1)
-        known = [LETTERS.search(t) is not None for t in texts]
+        known = [has_letter(t) for t in texts]
         return ([self.languages[b] if k else UNKNOWN for b, k in zip(top, known)],
                 [float(p) if k else 0.0 for p, k in zip(posterior, known)])
 
@@ -279,7 +284,7 @@ def _keep_batches(model: Model, column: int, least: float, batches: Iterator[pa.
         for i in range(0, len(texts), 256):
             part = [t or "" for t in texts[i:i + 256]]
             langs, scores = model.predict(part)
-            keep += [LETTERS.search(t) is not None if not model.languages else lang != UNKNOWN and s >= least
+            keep += [has_letter(t) if not model.languages else lang != UNKNOWN and s >= least
                      for t, lang, s in zip(part, langs, scores)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -4,8 +4,10 @@ A 64-bit fingerprint is cut into 32 segments of two bits; the vector of their bi
 embedding. Flipping a bit changes one count by one, so the Manhattan distance of two embeddings never
 exceeds the Hamming distance of the fingerprints. The grid join uses this: the 32 coordinates are
 split into ``BITS + 2`` bands, and embeddings within ``BITS`` of each other agree in at least two whole
-bands, so every pair of bands is one grid whose cells are joined by equality. Inside a cell the
-Manhattan distance over all coordinates rejects most pairs, and the rest are verified bit by bit.
+bands, so every pair of bands is one grid whose cells are joined by equality. A cell that grows too
+large is split along its other coordinates in the same way: of ``BITS + 1`` bands of those, embeddings
+within ``BITS`` of each other agree in at least one. Inside a cell the Manhattan distance over all
+coordinates rejects most pairs, and the rest are verified bit by bit.
 """
 
 from __future__ import annotations
@@ -112,21 +114,48 @@ def grid_cells(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.inline(F.array(*cells))).select("grid", "cell", "fp")
 
 
+def finer_bands(mask: int, count: int = BITS + 1) -> list[int]:
+    """Masks that split the segments outside ``mask`` into ``count`` bands."""
+    rest = [3 << (2 * s) for s in range(32) if not mask >> (2 * s) & 1]
+    edges = [round(len(rest) * i / count) for i in range(count + 1)]
+    return [sum(rest[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def finer_keys(fp: Column, grid: Column) -> Column:
+    """For each band of the segments that the grid leaves out, a key of the counts there: a hash, and the
+    band's number in the lowest bits. Two values that share a hash only make a cell larger."""
+    masks = F.array(*[F.array(*[F.lit(_signed(m)) for m in finer_bands(a | b)]) for a, b in combinations(bands(), 2)])
+    return F.transform(F.get(masks, grid.cast("int")),
+                       lambda m, i: F.shiftleft(F.xxhash64(embedding(fp).bitwiseAND(m)), 3).bitwiseOR(i.cast("long") + 1))
+
+
 def blocks(cells: DataFrame, limit: int = CELL_ROWS) -> DataFrame:
-    """Add ``block``: cells of at most ``limit`` rows stay whole; the rows of a larger one are dealt into
-    parts, and each pair of parts is a block, so that no task gets a whole large cell and every pair of
-    its rows still meets."""
-    large = cut(cells.groupBy("grid", "cell").count().filter(F.col("count") > limit)
-                     .select("grid", "cell", F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("parts")), "large_cells")
-    if large.isEmpty():
-        return cells.withColumn("block", F.lit(0).cast("long"))
-    part = F.pmod(F.xxhash64("fp", "grid"), F.col("parts")).cast("long")
-    dealt = cells.join(large, ["grid", "cell"], "left").withColumn("part", part)
-    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long")))
-                       .otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    """``(grid, cell, sub, block, fp)``: the rows that are compared with each other, as blocks of bounded size.
+
+    Cells of at most ``limit`` rows stay whole. A larger one is refined where that leaves fewer pairs to
+    compare than before. The rows of a cell that is still too large are dealt into parts, and each pair of
+    parts is a block, so that no task gets a whole large cell and every pair of its rows still meets.
+    """
+    cell, none = ["grid", "cell"], F.lit(0).cast("long")
+    sizes = cut(cells.groupBy(*cell).count().filter(F.col("count") > limit), "large_cells")
+    if sizes.isEmpty():
+        return cells.select(*cell, none.alias("sub"), none.alias("block"), "fp")
+    keys = finer_keys(F.col("fp"), F.col("grid"))
+    finer = cells.join(sizes.select(*cell), cell, "left_semi").select(*cell, F.explode(keys).alias("sub"))
+    finer = cut(finer.groupBy(*cell, "sub").count(), "finer_cells")
+    pairs = finer.groupBy(*cell).agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
+    gain = F.col("pairs") < F.col("count").cast("double") * F.col("count")
+    sizes = cut(sizes.join(pairs, cell).select(*cell, "count", gain.alias("refine")), "refined_cells")
+    left = (sizes.filter("NOT refine").select(*cell, none.alias("sub"), "count")
+                 .unionByName(finer.filter(F.col("count") > limit).join(sizes.filter("refine").select(*cell), cell, "left_semi")))
+    left = cut(left.select(*cell, "sub", F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("parts")), "dealt_cells")
+    rows = cells.join(sizes.select(*cell, "refine"), cell, "left")
+    rows = rows.select(*cell, "fp", F.explode(F.when(F.col("refine"), keys).otherwise(F.array(none))).alias("sub"))
+    dealt = rows.join(left, [*cell, "sub"], "left").withColumn("part", F.pmod(F.xxhash64("fp", "grid"), F.col("parts")).cast("long"))
+    other = F.explode(F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.sequence(none, F.col("parts").cast("long") - 1)))
     pair = F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")
     return (dealt.withColumn("other", other)
-                 .select("grid", "cell", "fp", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(pair + 1).alias("block")))
+                 .select(*cell, "sub", F.when(F.col("parts").isNull(), none).otherwise(pair + 1).alias("block"), "fp"))
 
 
 def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,9 +218,9 @@ def _cell_links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by cell; a cell that a batch may have cut waits for the next batch."""
-    kept = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+    kept = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("grid", "cell", "block")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("grid", "cell", "sub", "block")]
         cells = np.concatenate([kept[0], np.stack(cols, axis=1)])
         prints = np.concatenate([kept[1], batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
         if not len(cells):
@@ -206,7 +235,8 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(prints: DataFrame) -> DataFrame:
     """``(a, b)`` between distinct fingerprints, enough of the pairs within ``BITS`` bits to connect all of them."""
     cells = blocks(grid_cells(prints))
-    sorted_cells = cells.repartition("grid", "cell", "block").sortWithinPartitions("grid", "cell", "block")
+    key = ["grid", "cell", "sub", "block"]
+    sorted_cells = cells.repartition(*key).sortWithinPartitions(*key)
     return sorted_cells.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
