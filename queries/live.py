@@ -63,7 +63,18 @@ def _(spark, sf):
     return live.vehicles_in_geofence(fx.geofence_events(spark, sf), at(DAY))
 
 
-LAST = """SELECT p.vehicle_id, p.ping_id, p.t_us, p.latitude, p.longitude, v.name, v.asset_type, v.license_plate
+# What the fixture's vehicles report besides their position.
+REPORTED = {"heading_degrees": "CAST(ping_id * 7 % 360 AS DOUBLE)", "speed_mph": "CAST(ping_id % 50 AS DOUBLE)", "is_ecu_speed": "ping_id % 2 = 0",
+            "formatted_location": "concat('Street ', CAST(ping_id % 20 AS {str}))", "address_id": "CASE WHEN ping_id % 5 = 0 THEN CAST(ping_id % 11 AS {str}) END",
+            "address_name": "CASE WHEN ping_id % 5 = 0 THEN concat('Yard ', CAST(ping_id % 11 AS {str})) END"}
+READINGS = ", ".join(f"{e.format(str='VARCHAR')} AS {c}" for c, e in REPORTED.items())
+
+
+def readings(pings):
+    return pings.withColumns({c: F.expr(e.format(str="STRING")) for c, e in REPORTED.items()})
+
+
+LAST = f"""SELECT p.vehicle_id, p.ping_id, p.t_us, p.latitude, p.longitude, {READINGS}, v.name, v.asset_type, v.license_plate
 FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us DESC, ping_id DESC) AS rk FROM pings) p
 JOIN vehicles v ON v.id = p.vehicle_id WHERE p.rk = 1 AND p.vehicle_id IN (SELECT vehicle_id FROM inside)"""
 PLACE = ["latitude", "longitude"]
@@ -75,7 +86,7 @@ def inside(spark, sf):
 
 @query("j6_latest_location", sql("pings geofence_events vehicles", "SELECT * REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude) FROM (" + LAST + ") l", inside=INSIDE))
 def _(spark, sf):
-    return rounded(live.latest_location(stage(spark, sf, "pings"), inside(spark, sf), fx.vehicles(spark, sf)), PLACE)
+    return rounded(live.latest_location(readings(stage(spark, sf, "pings")), inside(spark, sf), fx.vehicles(spark, sf)), PLACE)
 
 
 def drivers(spark, sf):
@@ -139,7 +150,7 @@ VIEW = "SELECT l.*, d.driver_id, d.driver_name FROM (" + LAST + ") l LEFT JOIN d
 
 
 def locations(spark, sf):
-    return live.live_locations(stage(spark, sf, "pings"), fx.geofence_events(spark, sf), fx.vehicles(spark, sf), intervals(spark, sf),
+    return live.live_locations(readings(stage(spark, sf, "pings")), fx.geofence_events(spark, sf), fx.vehicles(spark, sf), intervals(spark, sf),
                                drivers(spark, sf), at(DAY))
 
 
@@ -165,12 +176,12 @@ def _(spark, sf):
 
 
 @query("j13_combined_live_view", sql("pings live geofence_events vehicles", """
-SELECT v.vehicle_id, v.name, v.driver_id, c.route_name, c.current_stop, CASE WHEN c.speed_kmh IS NOT NULL AND c.at_us IS NOT NULL THEN c.speed_kmh END AS predicted_kmh
+SELECT v.vehicle_id, v.name, v.speed_mph, v.heading_degrees, v.address_name, v.driver_id, c.route_name, c.current_stop, CASE WHEN c.speed_kmh IS NOT NULL AND c.at_us IS NOT NULL THEN c.speed_kmh END AS predicted_kmh
 FROM view_ v LEFT JOIN velocity c ON c.vehicle_id = v.vehicle_id""", inside=INSIDE, history=HISTORY, intervals=INTERVALS, driver=DRIVER, view_=VIEW,
     speed=SPEED, match=LATEST.format(ids="inside"), velocity=VELOCITY))
 def _(spark, sf):
     return live.combined_view(locations(spark, sf), velocities(spark, sf)).select(
-        "vehicle_id", "name", "driver_id", "route_name", "current_stop", F.col("predicted_location.speed_kmh").alias("predicted_kmh"))
+        "vehicle_id", "name", "speed_mph", "heading_degrees", "address_name", "driver_id", "route_name", "current_stop", F.col("predicted_location.speed_kmh").alias("predicted_kmh"))
 
 
 @query("j22_dead_reckon", sql("l3 measured", """
@@ -205,14 +216,27 @@ SERVICE_DAY = "epoch_us((date_trunc('day', ({ts} AT TIME ZONE 'UTC') AT TIME ZON
 
 @query("g4_daily_tracks", sql("pings geofence_events", f"""
 SELECT p.vehicle_id, p.day AS service_day_us, p.chunk, p.track, epoch_us(m.entry) AS entry_us, epoch_us(m.exit_) AS exit_us
-FROM (SELECT vehicle_id, day, (rn - 1) // 2 AS chunk, string_agg(CAST(ping_id AS VARCHAR), ',' ORDER BY day_us, ping_id) AS track
+FROM (SELECT vehicle_id, day, (rn - 1) // 2 AS chunk, string_agg(concat(CAST(ping_id AS VARCHAR), '@', CAST(CAST(speed_mph AS INT) AS VARCHAR), '/', CAST(CAST(heading_degrees AS INT) AS VARCHAR), '/', coalesce(address_id, '')), ',' ORDER BY day_us, ping_id) AS track
       FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, day ORDER BY day_us, ping_id) AS rn
-            FROM (SELECT *, {SERVICE_DAY.format(ts='make_timestamp(day_us)')} AS day FROM pings) a) b GROUP BY 1, 2, 3) p
+            FROM (SELECT *, {READINGS}, {SERVICE_DAY.format(ts='make_timestamp(day_us)')} AS day FROM pings) a) b GROUP BY 1, 2, 3) p
 LEFT JOIN (SELECT vehicle_id, {SERVICE_DAY.format(ts='event_time')} AS day, min(CASE WHEN event_type = 'geofenceEntry' THEN event_time END) AS entry,
                   max(CASE WHEN event_type = 'geofenceExit' THEN event_time END) AS exit_ FROM geofence_events GROUP BY 1, 2) m ON m.vehicle_id = p.vehicle_id AND m.day = p.day"""),
     "entry_us exit_us")
 def _(spark, sf):
-    t = live.daily_tracks(daytime_pings(spark, sf), fx.geofence_events(spark, sf), chunk_rows=2)
+    t = live.daily_tracks(readings(daytime_pings(spark, sf)), fx.geofence_events(spark, sf), chunk_rows=2)
     return t.select("vehicle_id", F.unix_micros("service_day").alias("service_day_us"), "chunk",
-                    F.array_join(F.transform("points", lambda p: p["ping_id"].cast("string")), ",").alias("track"),
+                    F.array_join(F.transform("points", lambda p: F.concat(p["ping_id"].cast("string"), F.lit("@"), p["speed_mph"].cast("int").cast("string"), F.lit("/"),
+                        p["heading_degrees"].cast("int").cast("string"), F.lit("/"), F.coalesce(p["address_id"], F.lit("")))), ",").alias("track"),
                     F.unix_micros("entry").alias("entry_us"), F.unix_micros("exit").alias("exit_us"))
+
+
+FROM_FOUR = """epoch_us((date_trunc('day', ({ts} AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' - INTERVAL 4 HOUR) + INTERVAL 4 HOUR)
+AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC')"""
+
+
+@query("g4_tracks_from_four", sql("pings", f"""
+SELECT vehicle_id, {FROM_FOUR.format(ts='make_timestamp(day_us)')} AS service_day_us, count(*) AS n_points FROM pings GROUP BY 1, 2"""))
+def _(spark, sf):
+    t = live.daily_tracks(daytime_pings(spark, sf), fx.geofence_events(spark, sf), start_seconds=4 * 3600)
+    return (t.groupBy("vehicle_id", F.unix_micros("service_day").alias("service_day_us"))
+             .agg(F.sum(F.size("points")).alias("n_points")))

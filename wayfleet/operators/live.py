@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.functions.clock import CAMPUS_TZ, data_age_label, service_day_start
+from wayfleet.functions.clock import CAMPUS_TZ, DAY_START_SECONDS, data_age_label, service_day_start
 from wayfleet.functions.geo import route_if_close
 from wayfleet.operators.scale import lookup_join, require
 from wayfleet.operators.trips import numbered
@@ -47,11 +47,17 @@ def vehicles_in_geofence(events: DataFrame, day_start: Column) -> DataFrame:
 
 
 LOCATION = ["ping_id", "t_us", "latitude", "longitude"]
+# What a reading may say besides; sources without it have none of these columns.
+READING = ["heading_degrees", "speed_mph", "is_ecu_speed", "formatted_location", "address_id", "address_name"]
+
+
+def reported(pings: DataFrame, columns: list[str] = READING) -> list[str]:
+    return [c for c in columns if c in pings.columns]
 
 
 def latest_location(pings: DataFrame, inside: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Last position of the vehicles inside, with their attributes."""
-    last = latest_per(pings.join(inside, "vehicle_id", "left_semi"), "vehicle_id", ["t_us", "ping_id"], LOCATION)
+    """Last position of the vehicles inside, with what was reported there and the vehicles' attributes."""
+    last = latest_per(pings.join(inside, "vehicle_id", "left_semi"), "vehicle_id", ["t_us", "ping_id"], LOCATION + reported(pings))
     return lookup_join(last, vehicles.withColumnRenamed("id", "vehicle_id"), ["vehicle_id"], how="inner")
 
 
@@ -116,17 +122,20 @@ def data_age(pings: DataFrame, now: Column) -> DataFrame:
     return last.withColumn("age_seconds", age).withColumn("label", data_age_label(F.col("age_seconds")))
 
 
-def daily_tracks(pings: DataFrame, events: DataFrame, tz: str = CAMPUS_TZ, chunk_rows: int = 1000) -> DataFrame:
+def daily_tracks(pings: DataFrame, events: DataFrame, tz: str = CAMPUS_TZ, chunk_rows: int = 1000,
+                 start_seconds: int = DAY_START_SECONDS) -> DataFrame:
     """Each vehicle's track per service day with its first entry and last exit.
 
-    The track comes in numbered chunks of ``chunk_rows`` points, so one array stays small however many
+    A day begins ``start_seconds`` after local midnight. Points have the reported speed, heading and
+    address where the pings do. The track comes in numbered chunks of ``chunk_rows`` points, so one array stays small however many
     rows a vehicle has.
     """
-    day = lambda ts: service_day_start(F.col(ts), tz)
+    day = lambda ts: service_day_start(F.col(ts), tz, start_seconds)
+    point = ["t_us", "ping_id", "latitude", "longitude", *reported(pings, ["speed_mph", "heading_degrees", "address_id"])]
     placed = numbered(pings.withColumn("service_day", day("timestamp")), ["vehicle_id", "service_day"])
     points = (placed.withColumn("chunk", F.floor(F.col("pos") / chunk_rows).cast("long"))
               .groupBy("vehicle_id", "service_day", "chunk")
-              .agg(F.array_sort(F.collect_list(F.struct("t_us", "ping_id", "latitude", "longitude"))).alias("points")))
+              .agg(F.array_sort(F.collect_list(F.struct(*point))).alias("points")))
     marks = (events.withColumn("service_day", day("event_time")).groupBy("vehicle_id", "service_day")
              .agg(F.min(F.when(F.col("event_type") == "geofenceEntry", F.col("event_time"))).alias("entry"),
                   F.max(F.when(F.col("event_type") == "geofenceExit", F.col("event_time"))).alias("exit")))

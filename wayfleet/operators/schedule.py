@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.functions.clock import CAMPUS_TZ, clock_text, day_name, departure_order, service_day_start
+from wayfleet.functions.clock import CAMPUS_TZ, DAY_START_SECONDS, clock_text, day_name, departure_order, service_day_start
 from wayfleet.operators.matching import AT_STOP_KM, match_stop
 from wayfleet.operators.scale import SALTS, lookup_join, require
 from wayfleet.sources.feeds import pings_window
@@ -63,7 +63,8 @@ def label_stop_visits(pings: DataFrame, network: Network, day_start: Column, thr
         "vehicle_id", "timestamp", F.col("stop_route").alias("route_name"), "stop_name")
 
 
-def schedule_overlap(visits: DataFrame, departures: DataFrame, calendar: DataFrame, tz: str = CAMPUS_TZ) -> DataFrame:
+def schedule_overlap(visits: DataFrame, departures: DataFrame, calendar: DataFrame, tz: str = CAMPUS_TZ,
+                     start_seconds: int = DAY_START_SECONDS) -> DataFrame:
     """How well each vehicle's visits of a day fit each bus: ``cost = 1 - matches / slots``.
 
     Only pairs with at least one match are rows; every other pair costs 1. Matches are distinct
@@ -71,7 +72,7 @@ def schedule_overlap(visits: DataFrame, departures: DataFrame, calendar: DataFra
     """
     local = F.from_utc_timestamp(F.col("timestamp"), tz)
     pairs = visits.select(
-        "vehicle_id", F.to_date(F.from_utc_timestamp(service_day_start("timestamp", tz), tz)).alias("service_day"),
+        "vehicle_id", F.to_date(F.from_utc_timestamp(service_day_start("timestamp", tz, start_seconds), tz)).alias("service_day"),
         day_name(local).alias("day"), F.col("route_name").alias("route"),
         (F.hour(local) * 60 + F.minute(local)).alias("minute")).distinct()
     pairs = lookup_join(pairs, calendar.select("day", "service"), ["day"], how="inner")

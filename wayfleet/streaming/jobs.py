@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from wayfleet.functions.clock import CAMPUS_TZ
+from wayfleet.functions.clock import CAMPUS_TZ, DAY_START_SECONDS
 from wayfleet.operators import forecast, matching, stops, upkeep
 from wayfleet.operators.scale import cut
 from wayfleet.operators.trips import ping_frame
@@ -45,12 +45,12 @@ def deduplicated(pings: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return pings.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["vehicle_id", "timestamp"])
 
 
-def inside_state(events: DataFrame, tz: str = CAMPUS_TZ, delay: str = "6 hours") -> DataFrame:
-    """Latest event kind per vehicle and service day; local time is the event time, so a day ends at
-    local midnight and its state is dropped ``delay`` later."""
+def inside_state(events: DataFrame, tz: str = CAMPUS_TZ, delay: str = "6 hours", start_seconds: int = DAY_START_SECONDS) -> DataFrame:
+    """Latest event kind per vehicle and service day; local time is the event time, so a day begins
+    ``start_seconds`` after local midnight, ends a day later, and its state is dropped ``delay`` after that."""
     entry = (F.col("event_type") == "geofenceEntry").cast("int").alias("entry")
     local = events.withColumn("local_time", F.from_utc_timestamp("event_time", tz)).withWatermark("local_time", delay)
-    last = local.groupBy(F.window("local_time", "1 day"), "vehicle_id").agg(F.max(F.struct("event_time", entry)).alias("l"))
+    last = local.groupBy(F.window("local_time", "1 day", startTime=f"{start_seconds} seconds"), "vehicle_id").agg(F.max(F.struct("event_time", entry)).alias("l"))
     return last.select("vehicle_id", F.to_date("window.start").alias("service_day"),
                        F.col("l.event_time").alias("event_time"), (F.col("l.entry") == 1).alias("inside"))
 
