@@ -105,7 +105,7 @@ def test_split_keeps_trips_whole(spark):
         forecast.split_by_trip(df, 1.5)
 
 
-def test_models_recover_a_linear_rule(spark):
+def test_models_recover_a_linear_rule(spark, tmp_path):
     rnd = random.Random(6)
     rows = []
     for trip in range(12):
@@ -124,3 +124,11 @@ def test_models_recover_a_linear_rule(spark):
     assert sorted(r.polyline_idx for r in errors) == [0, 1] and all(r.rmse < 0.05 and r.success_rate == 1 for r in errors)
     best = forecast.search_eta(forecast.evaluate_eta(test, forecast.train_eta(df, 2, ["a"], 0.3, ridges=(1e-8, 10.0))[0])).collect()
     assert all(r.ridge == 1e-8 for r in best)
+    path = str(tmp_path / "models")
+    forecast.store_models(models, path, 2)
+    again = {r.polyline_idx: r for r in forecast.load_models(spark, path).collect()}
+    assert {k: r.coefficients for k, r in again.items()} == coefs and {r.window for r in again.values()} == {2}
+    asked = spark.createDataFrame([("N", 1), ("N", 1), ("N", 9)], "route string, polyline_idx int")
+    assert [r.polyline_idx for r in forecast.load_models(spark, path, asked).collect()] == [1]
+    assert {r.polyline_idx: r.rmse for r in forecast.evaluate_eta(test, forecast.load_models(spark, path)).collect()} == {
+        r.polyline_idx: pytest.approx(r.rmse) for r in errors}
