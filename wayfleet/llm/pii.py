@@ -199,16 +199,18 @@ def _masked(text: Column, kind: str, pattern: str) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with a tag in place of every identifier; a null text stays null, other columns as they are.
 
-    Added spans are taken out first, by their text, which masks every occurrence of it in the document.
+    Added spans are taken out first, where they were found, from the last to the first, so that the
+    positions before them still hold.
     """
     row, found = unused(docs, "row"), unused(docs, "found")
-    text = docs["text"]
     keyed = docs.withColumn(row, row_key(docs["doc_id"], text_or_empty(docs)))
     joined = keyed.join(discovered(docs).select(F.col("row").alias(row), F.col("added").alias(found)), row, "left")
-    values = F.transform(F.array_sort(found), lambda s: F.struct(F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"), s["kind"].alias("kind")))
     tags = F.array(*[F.lit(TAGS[k]) for k in KINDS])
+    by_place = F.array_sort(F.transform(_apart(F.col(found), F.array().cast(SPAN)),
+                                        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     out = F.when(F.col(found).isNull(), F.col("text")).otherwise(
-        F.aggregate(F.array_distinct(values), F.col("text"), lambda acc, v: F.replace(acc, v["value"], F.get(tags, v["kind"]))))
+        F.aggregate(F.reverse(by_place), F.col("text"), lambda acc, s: F.concat(
+            F.substr(acc, F.lit(1), s["start"]), F.get(tags, s["kind"]), F.substr(acc, s["end"] + 1))))
     joined = joined.withColumn("text", out)
     for kind, pattern in PATTERNS.items():
         joined = joined.withColumn("text", _masked(F.col("text"), kind, pattern))
