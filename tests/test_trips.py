@@ -90,3 +90,19 @@ def test_distance_and_speed(spark):
 def test_running_distance_crosses_slices(spark, slice_seconds):
     df = pings_df(spark, [("1", 10 * i, float(i)) for i in range(30)], "distance_km double").withColumn("segment_no", F.lit(1))
     assert by_id(trips.cumulative_distance(df, slice_seconds), "trip_km") == [i * (i + 1) / 2 for i in range(30)]
+
+
+def test_one_endless_trip_in_blocks_equals_the_whole_trip(spark):
+    rows = [(i, "v1", 1, i * 7_200_000_000, "A" if i % 5 < 2 else "B" if i % 5 == 3 else None, 0 if i % 5 != 4 else None,
+             42.0 + (i * i % 17) / 1000, -73.0) for i in range(23)]
+    df = spark.createDataFrame(rows, "ping_id long, vehicle_id string, segment_no long, t_us long, route string, polyline_idx int, "
+                                     "closest_lat double, closest_lon double")
+    jobs = [(3, 3, lambda d, by: trips.vote_route(d, 3, by), ("route", "polyline_idx")),
+            (1, 0, lambda d, by: trips.distance_delta(d, by), ("distance_km",)),
+            (1, 0, lambda d, by: trips.speed(d.withColumn("distance_km", F.col("closest_lat")), by), ("speed_kmh",))]
+    for before, after, work, columns in jobs:
+        whole = by_id(work(df, trips.TRIP), *columns)
+        for size in (1, 2, 4, 100):
+            cut = trips.in_blocks(df, before, after, lambda d: work(d, trips.BY_BLOCK), size)
+            assert by_id(cut, *columns) == whole
+        assert by_id(work(df, None), *columns) == whole

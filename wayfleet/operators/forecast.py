@@ -100,7 +100,7 @@ def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Se
     running = prefix_sums(sizes, ["_all"], "_range", ["_hash", *by], {"_upto": F.col("_n")}).join(F.broadcast(total), "_all")
     before = F.col("_upto") - F.col("_n")
     chosen = running.select(*by, ((before < F.col("_target")) | (before == 0)).alias("is_test"))
-    return df.join(chosen, list(by))
+    return lookup_join(df, chosen, by, "inner")
 
 
 def scaler(sequences: DataFrame, n_features: int) -> DataFrame:

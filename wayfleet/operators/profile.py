@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import exact_quantiles, prefix_sums, require, time_slice
+from wayfleet.operators.scale import exact_quantiles, over_slices, prefix_sums, require, time_slice
 from wayfleet.operators.trips import ORDER, TRIP
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -160,18 +160,22 @@ def fastest_row(df: DataFrame) -> DataFrame:
         F.round("speed_kmh", 6).desc(), *ORDER, "vehicle_id").limit(1)
 
 
+def fastest_place(*at: str) -> Column:
+    """Least on a trip's fastest row, the first of equally fast ones; NULL without a speed."""
+    return F.when(F.col("speed_kmh").isNotNull(), F.struct((-F.round("speed_kmh", 6)).alias("s"), *at))
+
+
 def around_fastest(df: DataFrame, seconds: float = 300.0, by: Sequence[str] = TRIP) -> DataFrame:
     """The trip's rows within so many seconds of its fastest row, with their time offset."""
-    fast = (df.filter(F.col("speed_kmh").isNotNull()).groupBy(*by)
-              .agg(F.min_by("t_us", F.struct((-F.round("speed_kmh", 6)).alias("s"), *ORDER)).alias("_at")))
-    near = df.join(fast, list(by)).withColumn("offset_s", (F.col("t_us") - F.col("_at")) / F.lit(1e6))
-    return near.filter(F.abs("offset_s") <= seconds).drop("_at")
+    sliced = df.withColumn("_slice", time_slice())
+    fast = over_slices(sliced, by, "_slice", "_at", F.min(fastest_place(*ORDER)), F.min)
+    near = sliced.join(fast, [*by, "_slice"]).withColumn("offset_s", (F.col("t_us") - F.col("_at.t_us")) / F.lit(1e6))
+    return near.filter(F.abs("offset_s") <= seconds).drop("_at", "_slice")
 
 
 def rows_around_fastest(df: DataFrame, rows: int = 5, by: Sequence[str] = TRIP) -> DataFrame:
     """The rows up to ``rows`` places before and after each trip's fastest row."""
-    ranked = prefix_sums(df.withColumn("_slice", time_slice()), by, "_slice", ORDER, {"_pos": F.lit(1)}).drop("_slice")
-    fast = (ranked.filter(F.col("speed_kmh").isNotNull()).groupBy(*by)
-            .agg(F.min_by("_pos", F.struct((-F.round("speed_kmh", 6)).alias("s"), *ORDER)).alias("_at")))
-    near = ranked.join(fast, list(by)).withColumn("row_offset", F.col("_pos") - F.col("_at"))
-    return near.filter(F.abs("row_offset") <= rows).drop("_pos", "_at")
+    ranked = prefix_sums(df.withColumn("_slice", time_slice()), by, "_slice", ORDER, {"_pos": F.lit(1)})
+    fast = over_slices(ranked, by, "_slice", "_at", F.min(fastest_place(*ORDER, "_pos")), F.min)
+    near = ranked.join(fast, [*by, "_slice"]).withColumn("row_offset", F.col("_pos") - F.col("_at._pos"))
+    return near.filter(F.abs("row_offset") <= rows).drop("_pos", "_at", "_slice")

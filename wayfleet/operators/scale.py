@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +23,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 RANGES = 128
+BLOCK_ROWS = 4096
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -133,6 +134,26 @@ def prefix_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequ
         *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
+def row_blocks(df: DataFrame, group: Sequence[str], order: Sequence[str], before: int, after: int,
+               rows: int = BLOCK_ROWS, seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Give every row its ``_block`` of ``rows`` consecutive ones of its group, and copy it to the blocks near it.
+
+    A block gets the ``before`` rows ahead of its first and the ``after`` rows past its last, however far
+    away in time they are. ``drop_halo`` removes the copies; rows without a group or a time are left out.
+    """
+    placed = prefix_sums(df.withColumn("_slice", time_slice(seconds)), group, "_slice", order, {"_pos": F.lit(1)})
+    block_of = lambda shift: F.floor((F.col("_pos") + F.lit(shift)) / F.lit(rows)).cast("long")
+    return (placed.withColumn("_block", F.explode(F.sequence(block_of(-after), block_of(before))))
+                  .withColumn("_home", F.col("_block") == block_of(0)).drop("_slice", "_pos"))
+
+
+def over_slices(df: DataFrame, group: Sequence[str], slice_col: str, name: str, per_slice: Column,
+                merge: Callable[[str], Column]) -> DataFrame:
+    """One aggregate per group, on a row per ``(group, slice)``: joined on both, a hot group spreads over its slices."""
+    parts = df.groupBy(*group, slice_col).agg(per_slice.alias(name))
+    return parts.withColumn(name, merge(name).over(Window.partitionBy(*group)))
+
+
 def next_from_later(df: DataFrame, group: Sequence[str], slice_col: str, first: Column, name: str) -> DataFrame:
     """Per ``(group, slice)``: the first non-null ``first`` (an aggregate) among the later slices."""
     per_slice = df.groupBy(*group, slice_col).agg(first.alias("_first"))
@@ -163,8 +184,8 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
     counts = cut(lookup_join(counts, bounds, group).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
                  .drop("_bounds"), "counts")
     ranked = prefix_sums(counts, group, "_range", [value], {"_upto": F.col("_n")})
-    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    ranked = ranked.join(F.broadcast(sizes) if whole else sizes, list(group))
+    sizes = over_slices(counts, group, "_range", "_size", F.sum("_n"), F.sum)
+    ranked = ranked.join(sizes, [*group, "_range"])
     picks = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_size") - 1)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, lookup_join, next_from_later, require, time_slice
-from wayfleet.operators.trips import ORDER, TRIP
+from wayfleet.operators.scale import SLICE_SECONDS, lookup_join, next_from_later, over_slices, require, time_slice
+from wayfleet.operators.trips import BY_BLOCK, ORDER, TRIP, in_blocks
 from wayfleet.sources.network import Network
 
 
@@ -19,12 +19,14 @@ def polyline_stop_lookup(df: DataFrame, network: Network) -> DataFrame:
     return lookup_join(df, dim, ["route", "polyline_idx"], small=network.small)
 
 
-def repair_missed_stops(df: DataFrame, network: Network, by: Sequence[str] = TRIP) -> DataFrame:
+def repair_missed_stops(df: DataFrame, network: Network, by: Sequence[str] | None = None) -> DataFrame:
     """Record the stop that was passed unseen when a vehicle moved on to the next polyline.
 
     If neither of the two rows is at a stop, the stop of the new polyline goes to the row that is
     closer to the route; on a tie to the later one. Distances equal to a micrometre are a tie.
     """
+    if by is None:
+        return in_blocks(df, 1, 1, lambda rows: repair_missed_stops(rows, network, BY_BLOCK))
     require(df, *by, *ORDER, "route", "polyline_idx", "stop_name", "dist_to_route")
     w = Window.partitionBy(*by).orderBy(*ORDER)
     prev = lambda c: F.lag(c).over(w)
@@ -41,12 +43,12 @@ def repair_missed_stops(df: DataFrame, network: Network, by: Sequence[str] = TRI
         "polyline_stop", "_km", "_passed", "_earlier", "_from_next")
 
 
-def trim_after_last_stop(df: DataFrame, by: Sequence[str] = TRIP) -> DataFrame:
+def trim_after_last_stop(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Keep each trip up to and including its last stop; trips without a stop go."""
     require(df, *by, *ORDER, "stop_name")
-    at = F.struct(*ORDER)
-    last = (df.filter(F.col("stop_name").isNotNull()).groupBy(*by).agg(F.max(at).alias("_last")))
-    return df.join(last, list(by)).filter(at <= F.col("_last")).drop("_last")
+    at, sliced = F.struct(*ORDER), df.withColumn("_slice", time_slice(slice_seconds))
+    last = over_slices(sliced, by, "_slice", "_last", F.max(F.when(F.col("stop_name").isNotNull(), at)), F.max)
+    return sliced.join(last, [*by, "_slice"]).filter(at <= F.col("_last")).drop("_last", "_slice")
 
 
 def eta_to_next_stop(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:

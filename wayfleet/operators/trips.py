@@ -1,23 +1,32 @@
 """Trips: cutting a vehicle's pings into segments, voting on routes, distance and speed.
 
-The window operators take ``by``, the columns whose rows belong together. Given the trip key they
-work on whole trips; ``wayfleet.plans.enrich`` gives them ``(vehicle_id, _slice, _trip)`` on rows
-with halo, which yields the same values without ever sorting a whole vehicle in one task.
+The window operators take ``by``, the columns whose rows belong together. Without it they work on
+trips, cut into blocks of consecutive rows with as many rows of context as they look at;
+``wayfleet.plans.enrich`` gives them ``(vehicle_id, _slice, _trip)`` on rows with halo. Both yield the
+same values as whole trips without ever sorting a whole trip or vehicle in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfleet.functions.clock import micros
 from wayfleet.functions.geo import haversine_km, kmh
-from wayfleet.operators.scale import (SLICE_SECONDS, drop_halo, prefix_sums, require, time_slice, with_halo)
+from wayfleet.operators.scale import (BLOCK_ROWS, SLICE_SECONDS, drop_halo, over_slices, prefix_sums, require, row_blocks,
+                                      time_slice, with_halo)
 
 TRIP = ("vehicle_id", "segment_no")
 ORDER = ("t_us", "ping_id")
+BY_BLOCK = (*TRIP, "_block")
+
+
+def in_blocks(df: DataFrame, before: int, after: int, work: Callable[[DataFrame], DataFrame], rows: int = BLOCK_ROWS) -> DataFrame:
+    """``work``, which looks at so many rows before and after each, on blocks of the trips."""
+    require(df, *TRIP, *ORDER)
+    return drop_halo(work(row_blocks(df, TRIP, ORDER, before, after, rows))).drop("_block")
 
 
 def ping_frame(pings: DataFrame) -> DataFrame:
@@ -62,27 +71,29 @@ def segment_trips(pings: DataFrame, max_gap: float = 15.0, dist_col: str | None
 
 
 def filter_short(df: DataFrame, min_len: int, by: Sequence[str] = TRIP) -> DataFrame:
-    """Keep the trips with at least ``min_len`` rows (sizes are counted before the shuffle)."""
+    """Keep the trips with at least ``min_len`` rows (sizes are counted per slice before the shuffle)."""
     if min_len < 1:
         raise ValueError("min_len must be at least 1")
-    long_enough = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_len)
-    return df.join(long_enough, list(by), "left_semi")
+    sliced = require(df, *by, "t_us").withColumn("_slice", time_slice())
+    long_enough = over_slices(sliced, by, "_slice", "_n", F.count("*"), F.sum).filter(F.col("_n") >= min_len)
+    return sliced.join(long_enough, [*by, "_slice"], "left_semi").drop("_slice")
 
 
-def vote_route(df: DataFrame, window: int = 5, by: Sequence[str] = TRIP) -> DataFrame:
+def vote_route(df: DataFrame, window: int = 5, by: Sequence[str] | None = None) -> DataFrame:
     """Fill a missing route or polyline from the rows around it.
 
     Of the ``window`` rows before and after within the same trip, those with a route vote with their
     (route, polyline) pair; a pair with more than half of the votes is taken over.
     """
+    if by is None:
+        return in_blocks(df, window, window, lambda rows: vote_route(rows, window, BY_BLOCK))
     require(df, *by, *ORDER, "route", "polyline_idx")
     pair = F.when(F.col("route").isNotNull(), F.struct("route", "polyline_idx"))
     w = Window.partitionBy(*by).orderBy(*ORDER)
-    df = df.withColumn("_pair", pair)
-    votes = F.concat(F.collect_list("_pair").over(w.rowsBetween(-window, -1)),
-                     F.collect_list("_pair").over(w.rowsBetween(1, window)))
-    df = df.withColumn("_votes", votes)
+    near = {f"_near_{n}": F.lag("_pair", n).over(w) for n in range(-window, window + 1) if n}
     needed = F.col("route").isNull() | F.col("polyline_idx").isNull()
+    df = df.withColumn("_pair", pair).withColumns(near)
+    df = df.withColumn("_votes", F.when(needed, F.array_compact(F.array(*near)))).drop(*near)
     winner = F.get(F.filter(
         F.array_distinct("_votes"),
         lambda p: F.size(F.filter("_votes", lambda q: q.eqNullSafe(p))) * 2 > F.size("_votes")), F.lit(0))
@@ -94,16 +105,20 @@ def vote_route(df: DataFrame, window: int = 5, by: Sequence[str] = TRIP) -> Data
     }).drop("_pair", "_votes", "_winner")
 
 
-def distance_delta(df: DataFrame, by: Sequence[str] = TRIP) -> DataFrame:
+def distance_delta(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """``distance_km`` from the previous matched point of the trip; NULL on its first row."""
+    if by is None:
+        return in_blocks(df, 1, 0, lambda rows: distance_delta(rows, BY_BLOCK))
     require(df, *by, *ORDER, "closest_lat", "closest_lon")
     w = Window.partitionBy(*by).orderBy(*ORDER)
     return df.withColumns({"_plat": F.lag("closest_lat").over(w), "_plon": F.lag("closest_lon").over(w)}).withColumn(
         "distance_km", haversine_km("_plat", "_plon", "closest_lat", "closest_lon")).drop("_plat", "_plon")
 
 
-def speed(df: DataFrame, by: Sequence[str] = TRIP) -> DataFrame:
+def speed(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """``speed_kmh`` over the step from the previous row; NULL when no time passed."""
+    if by is None:
+        return in_blocks(df, 1, 0, lambda rows: speed(rows, BY_BLOCK))
     require(df, *by, *ORDER, "distance_km")
     w = Window.partitionBy(*by).orderBy(*ORDER)
     return (df.withColumn("_step", (F.col("t_us") - F.lag("t_us").over(w)) / F.lit(1e6))
