@@ -84,6 +84,28 @@ def test_permutation_index_reaches_the_recall(spark):
     assert set(got["query_id"]) == {i for i in held if i % 100 == 0} and hits / total >= 0.9
 
 
+def test_recall_where_one_vector_holds_a_third_of_the_rows(spark):
+    path = next((p for p in ("/root/testdata/sf0.1", SF) if os.path.isdir(p)))
+    made = [(r["vec_id"], [float(v) for v in r["embedding"]]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    first = max(i for i, _ in made) + 1
+    made += [(first + n, made[7][1]) for n in range(len(made) // 2)]
+    ids, x = np.array([i for i, _ in made]), np.array([v for _, v in made])
+    copied = (x == x[7]).all(1)
+    hits = total = 0
+    got = permutation.nearest(vectors(spark, made), every=20).toPandas()
+    for q, found in got.groupby("query_id"):
+        at = int(np.flatnonzero(ids == q)[0])
+        apart = np.sqrt(((x - x[at]) ** 2).sum(1))
+        apart[at] = np.inf
+        want = ids[np.lexsort((ids, apart))[:10]].tolist()
+        found = found.sort_values("rank")["vec_id"].tolist()
+        assert len(found) == 10 and (not copied[at] or found == want)
+        if not copied[at]:
+            hits, total = hits + len(set(want) & set(found)), total + 10
+    print("recall outside the copies", hits / total)
+    assert set(got["query_id"]) == {i for i in ids if i % 20 == 0} and hits / total >= 0.9
+
+
 def test_nearest_of_odd_vectors(spark):
     held = plain_vectors(odd_vectors(), False)
     want = {}

@@ -6,7 +6,9 @@ adds up the footrule distance to every vector posted there: how far the shared p
 two orders, a missing pivot counting as the place after the last. The closest vectors by footrule
 are reranked by their exact distance.
 
-The pivots are a bounded sample, ``PIVOTS`` vectors; the index holds every row.
+Each distinct vector is indexed once and stands for all rows that hold it: copies neither crowd the
+pivots nor fill the part that is reranked. The pivots are a bounded sample, ``PIVOTS`` distinct
+vectors; the index holds every row.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfleet.llm.common import cut
@@ -23,7 +25,8 @@ from wayfleet.llm.vectors import best, block_pairs, matrix, valid_vectors
 
 K, EVERY = 10, 100
 PIVOTS, PREFIX = 256, 64
-SHARE, LEAST = 0.3, 200    # part of a block's vectors that is reranked, and the least number
+SHARE, LEAST = 0.3, 200    # part of a block's distinct vectors that is reranked, and the least number
+PARTS = 16                 # parts in which the rows of one vector are first cut to their least ids
 HIT = "query_id long, vec_id long, score double"
 
 
@@ -54,29 +57,47 @@ class InvertedFiles:
         return total
 
 
+def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    """``(embedding, dim, vec_id, ids)`` per distinct vector: its least id, and its ``k + 1`` least ids in order,
+    which is all that the ``k`` nearest of any row can hold of it. A common vector is cut in every task, then
+    in parts, before its rows meet."""
+    least = Window.partitionBy("embedding", "part").orderBy("vec_id")
+    few = (vectors.withColumn("part", F.spark_partition_id() % PARTS)
+                  .withColumn("place", F.row_number().over(least)).filter(F.col("place") <= k + 1))
+    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
+    return few.groupBy("embedding").agg(F.first("dim").alias("dim"), F.min("vec_id").alias("vec_id"), ids.alias("ids"))
+
+
 def _block(pivots: dict[int, np.ndarray], k: int, share: float, least: int, asked: pa.Table, held: pa.Table) -> pa.Table:
     query_ids, queries = matrix(asked)
     ids, rows = matrix(held)
     out: list[list[np.ndarray]] = [[], [], []]
     if len(query_ids) and len(ids):
+        copies = dict(zip(held.column("vec_id").to_pylist(), held.column("ids").to_pylist()))
+        place = {x.tobytes(): n for n, x in enumerate(rows + 0.0)}   # without the sign of zeros
         among = pivots.get(rows.shape[1])
         count = max(least, int(np.ceil(share * len(ids))))
         if among is not None:
             length = min(PREFIX, len(among))
             files = InvertedFiles(prefixes(rows, among, length), len(among))
             orders = prefixes(queries, among, length)
-        for i, (q, x) in enumerate(zip(query_ids, queries)):
+        for i, (q, x) in enumerate(zip(query_ids, queries + 0.0)):
             near = np.arange(len(ids))
             if among is not None and count < len(ids):
                 near = np.argsort(files.footrule(orders[i]), kind="stable")[:count]
-            near = near[ids[near] != q]
+                own = place.get(x.tobytes())
+                if own is not None and own not in near:
+                    near = np.append(near, own)
             apart = np.sqrt(((rows[near] - x) ** 2).sum(1))
-            first = np.lexsort((ids[near], apart))[:k]
-            for col, values in zip(out, (np.full(len(first), q), ids[near[first]], apart[first])):
-                col.append(values)
+            first = np.lexsort((ids[near], apart))[:k + 1]   # one of them may hold no row but the query's
+            found = [(d, n) for at, d in zip(ids[near[first]], apart[first]) for n in copies[at] if n != q]
+            found = sorted(found)[:k]
+            for col, values in zip(out, ([q] * len(found), [n for _, n in found], [d for d, _ in found])):
+                col.append(np.array(values))
     none = np.zeros(0)
     kinds = (pa.int64(), pa.int64(), pa.float64())
-    return pa.table([pa.array(np.concatenate(c or [none]), t) for c, t in zip(out, kinds)], names=["query_id", "vec_id", "score"])
+    return pa.table([pa.array(np.concatenate(c or [none]).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds)],
+                    names=["query_id", "vec_id", "score"])
 
 
 def pick_pivots(vectors: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
@@ -94,6 +115,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, share: float = SHA
     are not read.
     """
     vectors = cut(valid_vectors(table, zero=False), "vectors")
-    compute = partial(_block, pick_pivots(vectors), k, share, least)
-    hits = block_pairs(vectors, F.col("vec_id") % every == 0, compute, HIT)
+    index = cut(distinct_vectors(vectors, k), "distinct_vectors")
+    compute = partial(_block, pick_pivots(index), k, share, least)
+    hits = block_pairs(index, vectors.filter(F.col("vec_id") % every == 0), compute, HIT)
     return best(hits, k, F.asc("score"), ["vec_id", "score"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfleet.llm.common import cut
@@ -28,15 +28,16 @@ def valid_vectors(table: DataFrame, zero: bool = True) -> DataFrame:
     return kept.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
 
 
-def block_pairs(vectors: DataFrame, is_query, compute: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
+def block_pairs(vectors: DataFrame, queries_in: Column | DataFrame, compute: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
                 rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """``compute(queries, rows)`` for every block of queries with every block of rows of the same dimension.
+    The queries are a table of their own, or the rows of ``vectors`` that a condition picks.
 
     Blocks are dealt by a hash of vec_id and their number follows the counts, so that a task holds
     one block of each side whatever the size of the table.
     """
     vectors = cut(vectors, "vectors")
-    asked = vectors.filter(is_query)
+    asked = vectors.filter(queries_in) if isinstance(queries_in, Column) else queries_in
     row_blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, rows), (asked, queries)))
     deal = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
