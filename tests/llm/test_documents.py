@@ -193,6 +193,18 @@ def test_tree_levels_fill_what_partitions_leave(spark):
     assert got["sequence_id"].nunique() <= 1.1 * sum(lengths) / 100 + 1
 
 
+def test_packing_fills_bins_when_lengths_come_in_runs(spark):
+    rng = random.Random(6)
+    lengths = [rng.randint(1050, 1299) for _ in range(12_000)] + [rng.randint(600, 799) for _ in range(12_000)]
+    items = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE).coalesce(1)
+    got = packing.pack(items, keep=500).toPandas()
+    assert sorted(got["length"]) == sorted(lengths) and got.groupby("sequence_id")["length"].sum().max() <= 2048
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]]
+    print("sequences", got["sequence_id"].nunique())
+    assert got["sequence_id"].nunique() <= 1.02 * 12_000
+
+
 @pytest.mark.parametrize("table", ["docs", "given"])
 def test_byte_bpe_equals_the_library(table, request):
     df = request.getfixturevalue(table)

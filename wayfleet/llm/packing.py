@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Every task packs the pieces of its own partition best-fit, longest first. Bins that are nearly full
-are final. The others move up a tree: each node takes the underfull bins of up to ``FAN_IN`` nodes
-below it, packs them again best-fit with whole bins as items, and again keeps the nearly full ones.
-What the last node leaves is final as it is. A node passes on at most ``PASS`` bins, the emptiest
-ones, which are those that can still be filled; so a task never holds more than ``FAN_IN * PASS`` bins
-however many there are.
+Pieces are dealt at random, so that every task sees all lengths mixed. It packs them best-fit, longest
+first, a batch at a time. Bins that are nearly full are final; up to ``PASS`` others, the emptiest,
+wait for the next batch, and the rest are items of the next level. There, and in all levels above, a
+node takes about ``FAN_IN * PASS`` open bins, whole, and packs them best-fit again; the number of nodes
+follows from the number of open bins, so no task holds more however many there are. In a node at most
+one bin stays half empty, as it would take up any other such bin. These meet in one node of the next
+level. When at most one is left, no two of the others fit together, and all bins are final.
 """
 
 from __future__ import annotations
@@ -82,44 +83,36 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, n
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _settle(fills: np.ndarray, limit: int, full: float, keep: int, last: bool) -> np.ndarray:
-    """Which bins are final: nearly full ones, and the fullest beyond the number that may move up."""
-    done = np.full(len(fills), True) if last else fills >= full * limit
-    open_bins = np.flatnonzero(~done)
-    if len(open_bins) > keep:
-        done[open_bins[np.argsort(fills[open_bins], kind="stable")[keep:]]] = True
-    return done
-
-
 def _pack_partition(limit: int, full: float, keep: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Level 0, one batch of pieces at a time; what stays open after a batch is an item of the next one."""
+    """Level 0, one batch of pieces at a time; the emptiest open bins after a batch are items of the next one."""
     node, made, carried = TaskContext.get().partitionId(), 0, None
     for frame in frames:
-        frame = frame.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
+        frame = frame.drop(columns="deal").sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         frame = frame.assign(node=node, bin=made + np.arange(len(frame)), offset=0, fill=frame["length"], done=False)
         made += len(frame)
-        packed = repack(frame if carried is None else pd.concat([carried, frame]), node, made, limit, full, keep, False)
+        packed = repack(frame if carried is None else pd.concat([carried, frame]), node, made, limit, full)
         made = int(packed["bin"].max()) + 1 if len(packed) else made
-        carried = packed[~packed["done"]]
-        yield packed[packed["done"]]
+        open_bins = packed.loc[~packed["done"], ["bin", "fill"]].drop_duplicates("bin").sort_values(["fill", "bin"])
+        waits = packed["bin"].isin(open_bins["bin"].iloc[:keep])
+        carried = packed[waits]
+        yield packed[~waits]
     if carried is not None:
         yield carried
 
 
-def repack(rows: pd.DataFrame, node: int, first: int, limit: int, full: float, keep: int, last: bool) -> pd.DataFrame:
-    """Pack the bins that ``rows`` lie in into new bins numbered from ``first`` on."""
+def repack(rows: pd.DataFrame, node: int, first: int, limit: int, full: float) -> pd.DataFrame:
+    """Pack the bins that ``rows`` lie in into new bins numbered from ``first`` on; nearly full ones are done."""
     items = rows[["node", "bin", "fill"]].drop_duplicates(["node", "bin"]).sort_values(["node", "bin"])
     bins, offsets, fills = best_fit(items["fill"].to_numpy(), limit)
-    done = _settle(fills, limit, full, keep, last)
+    done = fills >= full * limit
     moved = items[["node", "bin"]].assign(to=first + bins, shift=offsets, now=fills[bins], final=done[bins])
     rows = rows.merge(moved, on=["node", "bin"], how="left", sort=False)
     return rows.assign(node=node, bin=rows["to"], offset=rows["offset"] + rows["shift"], fill=rows["now"],
                        done=rows["final"]).drop(columns=["to", "shift", "now", "final"])
 
 
-def _pack_node(limit: int, full: float, keep: int, last: bool, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop(columns="parent")
-    return repack(rows, int(key[0]), 0, limit, full, keep, last)
+def _pack_node(limit: int, full: float, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return repack(rows.drop(columns="parent"), int(key[0]), 0, limit, full)
 
 
 def pack(items: DataFrame, limit: int = LENGTH, full: float = FULL, fan_in: int = FAN_IN, keep: int = PASS) -> DataFrame:
@@ -129,19 +122,23 @@ def pack(items: DataFrame, limit: int = LENGTH, full: float = FULL, fan_in: int
     A sequence number holds the level, the node and the bin in the node.
     """
     schema = ", ".join(PLACED.split(", "))
-    stored = cut(items, "pieces")
-    level, nodes = 0, max(1, stored.rdd.getNumPartitions())
-    placed = cut(stored.mapInPandas(partial(_pack_partition, limit, full, keep), schema), "packed")
-    out = []
+    stored = cut(items.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
+    mixed = stored.repartition("deal").sortWithinPartitions("deal")
+    placed = cut(mixed.mapInPandas(partial(_pack_partition, limit, full, keep), schema), "packed")
+    out, level, nodes = [], 0, 0
+    half_empty = F.col("fill") <= limit // 2
     while True:
         number = F.lit(level << 54) + F.col("node") * F.lit(1 << 32) + F.col("bin")
-        out.append(placed.filter("done").select(*[c.split()[0] for c in PIECE.split(", ")], number.alias("sequence_id"), "offset"))
+        part = placed.select(*[c.split()[0] for c in PIECE.split(", ")], number.alias("sequence_id"), "offset", "done")
         rest = placed.filter("NOT done")
-        if level and nodes == 1 or rest.isEmpty():
+        starts = rest.filter("offset = 0").agg(F.count("*"), F.count(F.when(half_empty, 1))).first()   # one row per bin
+        if nodes == 1 or starts[1] <= 1:
+            out.append(part.drop("done"))
             break
-        nodes, level = -(-nodes // fan_in), level + 1
-        above = rest.withColumn("parent", F.floor(F.col("node") / F.lit(fan_in)).cast("long"))
-        placed = cut(above.groupBy("parent").applyInPandas(partial(_pack_node, limit, full, keep, nodes == 1), schema), "packed")
+        out.append(part.filter("done").drop("done"))
+        nodes, level = -(-starts[0] // (fan_in * keep)), level + 1
+        parent = F.when(half_empty, 0).otherwise(F.pmod(F.xxhash64("node", "bin", F.lit(level)), F.lit(nodes))).cast("long")
+        placed = cut(rest.withColumn("parent", parent).groupBy("parent").applyInPandas(partial(_pack_node, limit, full), schema), "packed")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
