@@ -236,6 +236,28 @@ def test_pages_equal_a_plain_walk(spark):
     assert urlgraph.judge(pages(spark, [])).count() == 0
 
 
+def test_scores_solve_the_linear_system(spark):
+    """A cycle H, M beside a host S with a fifth of its pages blocked, and a hub nine links before ten blocked hosts."""
+    path = [f"p{n}.xx" for n in range(9)]
+    links = {"h.xx": ["m.xx", "s.example.com"], "m.xx": ["h.xx"], **{a: [b] for a, b in zip(path, path[1:])}, path[-1]: [f"b{n}.net" for n in range(10)]}
+    made = [(f"http://{a}", " ".join(f'<a href="http://{b}/">' for b in to)) for a, to in links.items()]
+    made += [(f"http://s.example.com/{'de' if n == 0 else 'en'}/{n}", "") for n in range(5)] + [(f"http://b{n}.net/", "") for n in range(10)]
+    hosts = sorted({split(u)[0] for u, _ in made})
+    at = {h: n for n, h in enumerate(hosts)}
+    link = np.zeros((len(hosts), len(hosts)))
+    for a, to in links.items():
+        for b in to:
+            link[at[a], at[b]] = 1
+    bad = np.array([1.0 if h.endswith(".net") else 0.2 if h == "s.example.com" else 0.0 for h in hosts])
+    back = link / np.maximum(1, link.sum(0))
+    want = np.linalg.solve(np.eye(len(hosts)) - urlgraph.DAMPING * back, (1 - urlgraph.DAMPING) * bad)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urlgraph.host_scores(pages(spark, made)).collect()}
+    print("distrust of h, m, p0:", *(got[h][1] for h in ("h.xx", "m.xx", "p0.xx")), "solved:", *(want[at[h]] for h in ("h.xx", "m.xx", "p0.xx")))
+    assert set(got) == set(hosts) and all(abs(got[h][1] - want[at[h]]) < 1e-5 and got[h][0] == 0 for h in hosts)
+    verdicts = {r["host"]: r["verdict"] for r in urlgraph.judge(pages(spark, made)).collect()}
+    assert verdicts["h.xx"] == verdicts["p0.xx"] == "block"
+
+
 def test_registered_queries_agree_with_their_sql(spark):
     db = duckdb.connect()
     for name in ("embeddings", "conversations"):

@@ -19,7 +19,8 @@ from wayfleet.llm.common import cut
 # Fixed rules of the query: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-DAMPING, ROUNDS = 0.85, 8
+DAMPING, ROUNDS = 0.85, 8    # rounds after which the change is looked at, again and again
+TOLERANCE = 1e-6             # change of all hosts together in a round at which the scores are final
 THRESHOLD = 0.5 * (1 - DAMPING)   # what a host of its own keeps if half of its pages are blocked
 LINK = r"""(?i)\bhref\s{0,8}=\s{0,8}["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -66,8 +67,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING,
-                rounds: int = ROUNDS) -> DataFrame:
-    """``(host, trust, distrust)`` for every host that has a page or is linked to."""
+                rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``(host, trust, distrust)`` for every host that has a page or is linked to.
+
+    Rounds go on until all scores together change by no more than ``tolerance``, which every ``rounds``
+    rounds are asked for. What is still to come is then at most ``damping / (1 - damping)`` times as much, for
+    any host, however many link to it: a round passes on no more than ``damping`` of a change.
+    """
     share = lambda verdict: F.avg(F.when(F.col("by_rule") == verdict, 1.0).otherwise(0.0))
     own = (ruled(pages, rules).filter("host <> ''").groupBy("host")
            .agg(share("allow").alias("good"), share("block").alias("bad")))
@@ -77,15 +83,22 @@ def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     ranks = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
     if edges.isEmpty():   # nothing spreads
         return ranks
-    for _ in range(rounds):
-        onward = edges.join(ranks, edges["src"] == ranks["host"]).select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("trust"), F.lit(0.0).alias("distrust"))
-        backward = edges.join(ranks, edges["dst"] == ranks["host"]).select(
-            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust"))
-        came = onward.unionByName(backward).groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
-        mixed = lambda seed, part: F.col(seed) * (1 - damping) + F.coalesce(part, F.lit(0.0)) * damping
-        ranks = cut(seeds.join(came, "host", "left").select("host", mixed("good", F.col("t")).alias("trust"),
-                                                            mixed("bad", F.col("d")).alias("distrust")), "host_ranks")
+    zero, moved = F.lit(0.0), None
+    while moved is None or moved > tolerance:
+        for _ in range(rounds):
+            onward = edges.join(ranks, edges["src"] == ranks["host"]).select(
+                F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), zero.alias("d"), zero.alias("was_t"), zero.alias("was_d"))
+            backward = edges.join(ranks, edges["dst"] == ranks["host"]).select(
+                F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("back")).alias("d"), zero.alias("was_t"), zero.alias("was_d"))
+            before = ranks.select("host", zero.alias("t"), zero.alias("d"), F.col("trust").alias("was_t"), F.col("distrust").alias("was_d"))
+            sums = [F.sum(c).alias(c) for c in ("t", "d", "was_t", "was_d")]
+            came = onward.unionByName(backward).unionByName(before).groupBy("host").agg(*sums)
+            mixed = lambda seed, part: F.col(seed) * (1 - damping) + F.col(part) * damping
+            stepped = cut(seeds.join(came, "host").select("host", mixed("good", "t").alias("trust"), mixed("bad", "d").alias("distrust"),
+                                                          "was_t", "was_d"), "host_ranks")
+            ranks = stepped.select("host", "trust", "distrust")
+        change = F.abs(F.col("trust") - F.col("was_t")) + F.abs(F.col("distrust") - F.col("was_d"))
+        moved = stepped.agg(F.sum(change)).first()[0] or 0.0
     return ranks
 
 
