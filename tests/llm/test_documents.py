@@ -340,6 +340,26 @@ def test_quality_separates_the_labels(spark, given):
     assert quality.keep_good(given, model).count() == quality.score(given, model).filter("keep").count()
 
 
+def test_every_sure_unlabelled_document_teaches(spark, monkeypatch):
+    """Of 12,000 unlabelled documents that a view is sure of, all teach the other, at no more weight than labels have."""
+    good, bad = "plain words that say something of use", "zzqq zzqq zzqq zzqq zzqq"
+    known = [(i, bad if i % 2 else good, "en", "b" if i % 2 else "a", 1) for i in range(200)]
+    loose = [(i, bad if i % 2 else good, "en", "b" if i % 2 else "a", 1) for i in range(1000, 13_000)]
+    df = spark.createDataFrame(known + loose, SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i, *_ in known], "doc_id long, quality int, toxic int")
+    fitted, seen = quality._fitted, []
+
+    def counted(rows, view):
+        r = rows.selectExpr("count(*) AS n", "sum(weight) AS w").first()
+        seen.append((r["n"], r["w"]))
+        return fitted(rows, view)
+
+    monkeypatch.setattr(quality, "_fitted", counted)
+    quality.train(df, labels, rounds=1)
+    print("rows fitted on", seen)
+    assert all(n == seen[0][0] + 12_000 and w <= 1.3 * seen[0][1] + 1e-6 for n, w in seen[2:])
+
+
 def test_quality_without_labels_has_the_prior(spark, docs):
     labels = lambda made: spark.createDataFrame(made, "doc_id long, quality int, toxic int")
     assert {r["score"] > 0.99 for r in quality.score(docs, quality.train(docs, labels([]))).collect()} == {True}

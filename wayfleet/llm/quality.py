@@ -2,8 +2,8 @@
 
 One view sees the text: the frequencies of its byte pairs, hashed, and how well it compresses. The
 other sees the page metadata: source, language, length and layout. Each is a logistic regression
-fitted on labelled documents. In every round each view labels the documents of an unlabelled pool
-that it is sure of, and those pseudo-labels, at a lower weight, teach the other view. At the end both
+fitted on labelled documents. In every round each view labels all unlabelled documents that it is sure
+of, and those pseudo-labels, which together weigh less than the labels, teach the other view. At the end both
 views are calibrated on labelled documents that were not used for fitting, and their evidence is
 added up to score every document.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from wayfleet.llm.common import cut, text_or_empty
 
-LABELLED, POOL = 8_000, 8_000    # bounds of the two samples that the views are fitted on
-ROUNDS, SURE, WEIGHT = 2, 0.95, 0.3
+LABELLED = 8_000    # bound of the labelled sample that the views are fitted on
+ROUNDS, SURE, WEIGHT = 2, 0.95, 0.3   # a pseudo-label's weight, and of all together for each labelled document at most
 THRESHOLD = 0.5
 PAIRS, SOURCES, LANGS = 256, 32, 16   # buckets for byte pairs, sources and languages
 FEATURES = "doc_id long, text_view array<float>, page_view array<float>"
@@ -132,24 +132,24 @@ def _log_odds(rows: DataFrame, view: str, model: View):
     return F.aggregate(products, F.lit(model.intercept), lambda acc, x: acc + x)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``labelled`` documents with a label and about ``pool`` without, both by hash of doc_id.
+def _chances(rows: DataFrame, views: dict[str, View]) -> DataFrame:
+    return rows.withColumns({f"by_{view}": 1 / (1 + F.exp(-_log_odds(rows, view, model))) for view, model in views.items()})
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit on at most ``labelled`` documents with a label, by hash of doc_id, and on all rows without one.
 
     Labels that are null or neither 0 nor 1 are left out; of several for a document the majority counts, 1 at
-    a tie. Without documents of both labels there are no views and the prior alone is left (1 if
-    there is no label at all).
+    a tie. A labelled document counts once, an unlabelled one as often as it occurs. Without documents of both
+    labels there are no views and the prior alone is left (1 if there is no label at all).
     """
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
                    .filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label")))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(labelled)
-    narrow = _narrow(docs)
-    one_each = lambda df: df.dropDuplicates(["doc_id"])
-    count = narrow.select("doc_id").count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(min(1.0, pool / max(1, count)) * (1 << 20))
-    taught = one_each(narrow.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))   # at most ``labelled`` ids
-    loose = one_each(narrow.filter(part).join(known.select("doc_id"), "doc_id", "left_anti"))
-    features = cut(taught.unionByName(loose).mapInArrow(_feature_batches, FEATURES), "features")
-    rows = features.join(F.broadcast(picked), "doc_id", "left").withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(5)) == 0)
+    features = cut(_narrow(docs).mapInArrow(_feature_batches, FEATURES).join(known, "doc_id", "left"), "features")
+    free = features.filter("label IS NULL")
+    rows = (features.drop("label").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])   # at most ``labelled`` ids
+                    .withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(5)) == 0))
     rows = cut(rows, "views")
     mean = rows.agg(F.avg("label")).first()[0]
     classes = rows.filter("label IS NOT NULL").groupBy("label", "test").count().collect()
@@ -157,16 +157,20 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if len({r["label"] for r in classes if not r["test"]}) < 2:
         return Model(None, None, prior)
     train_rows = rows.filter("label IS NOT NULL AND NOT test").withColumn("weight", F.lit(1.0))
-    free = rows.filter("label IS NULL")
+    most = WEIGHT * sum(r["count"] for r in classes if not r["test"])
     views = {v: _fitted(train_rows, v) for v in ("text_view", "page_view")}
     for _ in range(rounds):
+        judged = _chances(free, views)
+        sure = {v: (F.col(f"by_{v}") >= SURE) | (F.col(f"by_{v}") <= 1 - SURE) for v in views}
+        found = judged.agg(*[F.count(F.when(sure[v], 1)).alias(v) for v in views]).first()
         taught_by = {}
-        for view, model in views.items():
-            chance = 1 / (1 + F.exp(-_log_odds(free, view, model)))
-            sure = free.withColumn("chance", chance).filter((F.col("chance") >= SURE) | (F.col("chance") <= 1 - SURE))
-            taught_by[view] = sure.withColumns({"label": (F.col("chance") >= 0.5).cast("double"), "weight": F.lit(WEIGHT)}).drop("chance")
-        views = {"text_view": _fitted(train_rows.unionByName(taught_by["page_view"]), "text_view"),
-                 "page_view": _fitted(train_rows.unionByName(taught_by["text_view"]), "page_view")}
+        for view in views:
+            weight = min(WEIGHT, most / max(1, found[view]))
+            taught_by[view] = _chances(free, {view: views[view]}).filter(sure[view]).select(
+                "text_view", "page_view", (F.col(f"by_{view}") >= 0.5).cast("double").alias("label"), F.lit(weight).alias("weight"))
+        learned = train_rows.select("text_view", "page_view", "label", "weight")
+        views = {"text_view": _fitted(learned.unionByName(taught_by["page_view"]), "text_view"),
+                 "page_view": _fitted(learned.unionByName(taught_by["text_view"]), "page_view")}
     test = rows.filter("label IS NOT NULL AND test").select("label", "text_view", "page_view").toPandas()   # part of the bounded sample
     if test["label"].nunique() < 2:
         return Model(views["text_view"], views["page_view"], prior)
