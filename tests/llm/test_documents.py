@@ -320,6 +320,16 @@ def test_languages_are_learned_from_what_is_not_held_out(spark, given):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_rare_language_is_learned_among_many_rows(spark):
+    said = lambda ids, lang, text: spark.createDataFrame([(i, text, lang) for i in ids], "doc_id long, text string, lang string")
+    rare = [i for i in range(100_000, 100_040) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    many = spark.range(80_000).selectExpr("id AS doc_id", "'the house is green' AS text", "'en' AS lang")
+    model = langid.fit(many.unionByName(said(rare, "xx", "zuqo vexi wyka")))
+    column = model.probabilities[:-1, model.languages.index("xx")]
+    print("largest over smallest probability of the rare language", column.max() / column.min())
+    assert model.predict(["zuqo vexi wyka", "the house"])[0] == ["xx", "en"] and column.max() > 2 * column.min()
+
+
 def test_language_of_awkward_rows(spark, docs, given):
     model = langid.fit(given)
     got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from wayfleet.llm.common import cut, text_or_empty
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-TRAIN_ROWS = 20_000   # bound of the labelled sample that the model is fitted on
 ROUNDS = 3
 PART = 40             # letters of a word that are scored together
 FLOOR = 1e-6          # probability of a letter that is no piece, in every language
@@ -224,24 +223,20 @@ def _expect_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator
                                      names=["lang", "piece", "expected"])
 
 
-def fit(docs: DataFrame, path: str = VOCABULARY, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
     """A model of every language among the non-null ``lang`` of rows that are not held out.
 
-    It is fitted on a sample of about ``rows`` of those, by hash of doc_id, with their whole texts. No
-    labelled row gives a model without languages.
+    It is fitted on the words of all those rows. No labelled row gives a model without languages.
     """
     labelled = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), text_or_empty(docs).alias("text"))
     labelled = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    per_language = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    languages = sorted(per_language)
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     unknown = len(vocabulary(path))
     model = Model(languages, np.full((unknown + 1, len(languages)), 1 / unknown), path)
     model.probabilities[unknown] = FLOOR
     if not languages:
         return model
-    share = rows / sum(per_language.values())
-    sample = labelled if share >= 1 else labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = sample.select("lang", "text").mapInArrow(partial(_count_batches, languages), "lang string, word string, n long")
+    counts = labelled.select("lang", "text").mapInArrow(partial(_count_batches, languages), "lang string, word string, n long")
     stored = cut(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
         expected = (stored.mapInArrow(partial(_expect_batches, model), "lang int, piece int, expected double")
