@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfleet.llm import bpe, chat, collocation, langid, packing, permutation, pii, quality, simhash, topk, urlgraph
+from wayfleet.llm import bpe, chat, collocation, langid, minmaxhash, packing, permutation, pii, prefixtrie, quality, simhash, topk, urlgraph
 from wayfleet.llm.common import table
 
 
@@ -51,10 +51,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmaxhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1,
     "op2_exact_top_k": op2,
@@ -66,8 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8,
     "op9_url_filters": op9,
     "op10_simhash_near_duplicates": op10,
+    "op11_minmax_near_duplicates": op11,
     "op12_collocations": op12,
+    "op13_prefix_trie": op13,
 }
 
 ORACLES: dict[str, str] = {"op2_exact_top_k": topk.ORACLE, "op5_chat_formatting": chat.ORACLE,
-                           "op12_collocations": collocation.ORACLE}
+                           "op11_minmax_near_duplicates": minmaxhash.ORACLE, "op12_collocations": collocation.ORACLE,
+                           "op13_prefix_trie": prefixtrie.ORACLE}
