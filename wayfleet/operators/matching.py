@@ -3,16 +3,16 @@
 The network is indexed by square cells at a few sizes. A cell holds every item that comes within the
 level's radius of it, so a position finds its candidates with one equi-join on its cell. A result is
 final when the best distance (plus the ambiguity margin) is inside that radius: nothing outside the
-cell's list can matter then. Positions that are not settled try the next, coarser level. What is
-left, far from everything, compares itself with the blocks of the whole network and measures the
-items of those that can matter, so the answer is always that of an exhaustive search. The
+cell's list can matter then. Positions that are not settled try the next, coarser level. The
 candidates sit in an array next to the position: no rows are multiplied and positions never shuffle
-while the index is small enough to broadcast.
+while the index is small enough to broadcast. What is left, far from everything, searches a hierarchical
+index of the whole network (``spatial.BallTree``) from its roots down, each different place once, so the
+answer is always that of an exhaustive search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from wayfleet.functions.geo import (MPH_PER_KMH, MPS_PER_MPH, along_sql, haversine_km, haversine_sql,
                                     segment_position_sql)
 from wayfleet.operators.scale import cut, lookup_join, may_broadcast, require
+from wayfleet.operators.spatial import BallTree
 from wayfleet.sources.network import Network
 
 # The results depend on these defaults.
@@ -30,7 +31,7 @@ LEVELS = ((0.002, 0.1), (0.064, 3.2))
 SEGMENT_COLUMNS = ("route", "polyline_idx", "segment_idx", "lat1", "lon1", "lat2", "lon2")
 KM_PER_DEGREE = 111.0
 TIE_DECIMALS = 9
-BLOCKS_PER_SIDE = 32
+NEAR_CELL = 0.01           # degrees; a position in one cell with a point of an item is within 1.6 km of it
 CELL_LAT_LIMIT = 70.0
 CELL_LON_LIMIT = 170.0
 MATCHED = ("dist_to_route", "closest_lat", "closest_lon", "route", "polyline_idx", "segment_idx")
@@ -66,46 +67,27 @@ def cell_index(items: DataFrame, levels: Sequence[tuple[float, float]] = LEVELS)
     return cells.groupBy("cell").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def block_list(items: DataFrame, per_side: int = BLOCKS_PER_SIDE) -> DataFrame:
-    """The whole network as one row: ``blocks`` with a centre, a radius that covers them, and their items.
+def near_cells(items: DataFrame, size: float) -> DataFrame:
+    """``(_cell, _near)``: the cells that hold a point of an item, points being at most a cell apart on it."""
+    steps = F.expr(f"CAST(ceil(greatest(abs(lat2 - lat1), abs(lon2 - lon1)) / {size}D) AS INT)")
+    points = (items.select("lat1", "lon1", "lat2", "lon2", steps.alias("n")).withColumn("i", F.expr("explode(sequence(0, n))"))
+                   .selectExpr("lat1 + (lat2 - lat1) * i / greatest(n, 1) AS lat", "lon1 + (lon2 - lon1) * i / greatest(n, 1) AS lon"))
+    return points.select(F.expr(_cell_key(0, f"floor(lon / {size}D)", f"floor(lat / {size}D)")).alias("_cell"), F.lit(True).alias("_near")).distinct()
 
-    The distance to any item of a block differs from that to its centre by at most the radius, which
-    lets a far position skip every block that cannot hold its nearest item.
-    """
-    edge = items.agg(F.min("lat1"), F.max("lat1"), F.min("lon1"), F.max("lon1")).first()
-    low_lat, high_lat, low_lon, high_lon = (v or 0.0 for v in edge)
-    step = lambda low, high: max((high - low) / per_side, 1e-6)
-    placed = items.select(
-        F.struct(*items.columns).alias("item"), "lat1", "lon1", "lat2", "lon2",
-        F.expr(f"floor((lat1 - {low_lat}D) / {step(low_lat, high_lat)}D)").alias("by"),
-        F.expr(f"floor((lon1 - {low_lon}D) / {step(low_lon, high_lon)}D)").alias("bx"))
-    centred = placed.join(placed.groupBy("by", "bx").agg(F.avg("lat1").alias("lat"), F.avg("lon1").alias("lon")), ["by", "bx"])
-    reach = F.expr(f"greatest({haversine_sql('lat', 'lon', 'lat1', 'lon1')}, {haversine_sql('lat', 'lon', 'lat2', 'lon2')}) "
-                   f"+ {KM_PER_DEGREE + 1}D * (abs(lat2 - lat1) + abs(lon2 - lon1)) / 2 + 0.001D")
-    blocks = centred.groupBy("by", "bx").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.max(reach).alias("radius"),
-                                             F.collect_list("item").alias("items"))
-    return blocks.agg(F.collect_list(F.struct("lat", "lon", "radius", "items")).alias("blocks")).withColumn("_cell", F.lit(0).cast("long"))
-
-
-def _worth_measuring(lat: str, lon: str, margin_km: float) -> str:
-    """Items of the blocks that may hold the nearest one, or one within the margin of it."""
-    far = f"transform(blocks, b -> struct({haversine_sql(lat, lon, 'b.lat', 'b.lon')} AS km, b.radius, b.items))"
-    bounded = f"transform(array({far}), f -> struct(f, array_min(transform(f, b -> b.km + b.radius)) AS most))"
-    return (f"element_at(transform({bounded}, z -> flatten(transform("
-            f"filter(z.f, b -> b.km - b.radius <= z.most + {margin_km}D), b -> b.items))), 1)")
-
-
-def _stored_index(network: Network, kind: str, levels: tuple) -> tuple[DataFrame, DataFrame, bool]:
-    """The network's cells and blocks, and the checked answer to whether they may be broadcast."""
-    key = (kind, levels)
-    if key not in network.tables:
-        items = network.segments.select(*SEGMENT_COLUMNS) if kind == "segments" else _stop_items(network.stops)
-        # A margin beyond every level leaves none; then blocks alone serve.
+
+def _stored_index(network: Network, kind: str, levels: tuple, sieve: float | None) -> tuple[DataFrame | None, DataFrame | None, BallTree, bool]:
+    """The network's cells, near cells and tree, and the checked answer to whether the cells may be broadcast."""
+    items = network.segments.select(*SEGMENT_COLUMNS) if kind == "segments" else _stop_items(network.stops)
+    if (kind, levels) not in network.tables:
+        # A margin beyond every level leaves none; then the tree alone serves.
         cells = cut(cell_index(items, levels), "cells").withColumnRenamed("cell", "_cell") if levels else None
-        blocks = cut(block_list(items), "blocks")
-        small = network.small and (cells is None or may_broadcast(cells)) and may_broadcast(blocks)
-        network.tables[key] = cells, blocks, small
-    return network.tables[key]
+        near = cut(near_cells(items, sieve), "near_cells") if sieve else None
+        small = network.small and all(t is None or may_broadcast(t) for t in (cells, near))
+        network.tables[kind, levels] = cells, near, small
+    if kind not in network.tables:
+        network.tables[kind] = BallTree(items, network.small)
+    cells, near, small = network.tables[kind, levels]
+    return cells, near, network.tables[kind], small
 
 
 def _with_hits(df: DataFrame, network: Network, kind: str, lat: str, lon: str, margin_km: float, wanted: Column,
@@ -116,24 +98,36 @@ def _with_hits(df: DataFrame, network: Network, kind: str, lat: str, lon: str, m
     """
     if within_km is None:
         levels = tuple((s, r) for s, r in LEVELS if r > 2 * margin_km)
+        sieve = min([NEAR_CELL, *((r - margin_km) / KM_PER_DEGREE / 1.6 for _, r in levels[-1:])]) if levels else None
     else:
-        levels = ((max(0.002, within_km / KM_PER_DEGREE), within_km * 1.01),)
-    cells, blocks, small = _stored_index(network, kind, levels)
-    measure = (_measure_segments if kind == "segments" else _measure_points)(lat, lon)
+        levels, sieve = ((max(0.002, within_km / KM_PER_DEGREE), within_km * 1.01),), None
+    cells, near, tree, small = _stored_index(network, kind, levels, sieve)
+    measure = (_measure_segments if kind == "segments" else _measure_points)
     inside = f"(abs({lat}) <= {CELL_LAT_LIMIT} AND abs({lon}) <= {CELL_LON_LIMIT})"
-    df = df.withColumn("_open", wanted & F.expr(f"{lat} IS NOT NULL AND {lon} IS NOT NULL"))
+    df = df.withColumn("_open", wanted & F.expr(f"{lat} IS NOT NULL AND {lon} IS NOT NULL AND NOT isnan({lat}) AND NOT isnan({lon})"))
+    cell = lambda no, size: F.expr(f"CASE WHEN _open AND {inside} THEN {_cell_key(no, f'floor({lon} / {size}D)', f'floor({lat} / {size}D)')} END")
+    by_cell, far = df, df
+    if sieve:  # most positions are near the network: they are not looked up a second time
+        far = lookup_join(far.withColumn("_cell", cell(0, sieve)), near, ["_cell"], small=small).filter("_open AND _near IS NULL").drop("_cell", "_near")
+    if within_km is not None:
+        far = far.filter(f"_open AND NOT {inside}")
+    by_cell, far = (_by_cells(part, cells, cell, levels, measure(lat, lon), inside, margin_km, within_km, small) for part in (by_cell, far))
+    far = far.filter("_open").withColumns({"_lat": F.col(lat), "_lon": F.col(lon)})
+    found = tree.nearest(far.select("_lat", "_lon").distinct(), margin_km, measure)
+    far = lookup_join(far.drop("_hits"), found, ["_lat", "_lon"], small=False).withColumnRenamed("_found", "_hits")
+    return by_cell.filter("NOT _open").unionByName(far.drop("_lat", "_lon")).drop("_open")
+
+
+def _by_cells(df: DataFrame, cells: DataFrame | None, cell: Callable[[int, float], Column], levels: tuple, measure: Column, inside: str,
+              margin_km: float, within_km: float | None, small: bool) -> DataFrame:
+    """Add ``_hits`` from the cell levels; ``_open`` stays set where they don't settle the position."""
     for no, (size, radius) in enumerate(levels):
-        cell = _cell_key(no, f"floor({lon} / {size}D)", f"floor({lat} / {size}D)")
-        df = lookup_join(df.withColumn("_cell", F.expr(f"CASE WHEN _open AND {inside} THEN {cell} END")), cells,
-                         ["_cell"], small=small)
+        df = lookup_join(df.withColumn("_cell", cell(no, size)), cells, ["_cell"], small=small)
         got = F.when(F.col("_open"), measure)
         df = df.withColumn("_hits", got if no == 0 else got.otherwise(F.col("_hits"))).drop("_cell", "items")
         settled = inside if within_km is not None else f"coalesce(array_min(_hits).km + {margin_km}D <= {radius}D, false)"
         df = df.withColumn("_open", F.expr(f"_open AND NOT {settled}"))
-    df = lookup_join(df.withColumn("_cell", F.expr("CASE WHEN _open THEN 0L END")), blocks, ["_cell"], small=small)
-    df = df.withColumn("items", F.expr(f"CASE WHEN _open THEN {_worth_measuring(lat, lon, margin_km)} END")).drop("blocks", "_cell")
-    rest = F.when(F.col("_open"), measure)
-    return df.withColumn("_hits", rest.otherwise(F.col("_hits")) if levels else rest).drop("_open", "items")
+    return df if levels else df.withColumn("_hits", F.lit(None))
 
 
 def _measure_segments(lat: str, lon: str, items: str = "items") -> Column:
