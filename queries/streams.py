@@ -12,7 +12,7 @@ from queries.oracle import sql
 from queries.registry import SLICE, query, stage
 from wayfleet.operators import stops
 from wayfleet.operators.scale import cut
-from wayfleet.streaming import jobs
+from wayfleet.streaming import jobs, state
 
 
 def finish(started):
@@ -114,3 +114,21 @@ def _(spark, sf):
     replay(spark, sf, lambda pings: jobs.incremental_enrich(pings, net, out, cp, None, on_batch=predict), 2)
     etas = spark.read.parquet(f"{out}/etas").select("batch", "vehicle_id", F.size("etas").alias("n_stops"))
     return etas.groupBy("batch").agg(F.count("*").alias("n_vehicles"), F.sum("n_stops").alias("n_stop_times"))
+
+
+STATE_DELAY = 20.0
+
+
+@query("h2_h7_stateful_trips", sql("live", f"""
+SELECT vehicle_id, ping_id, segment_no, route, polyline_idx, segment_idx, stop_name FROM live
+WHERE t_us <= (SELECT max(t_us) FROM pings) // 1000 * 1000 - {int((STATE_DELAY + state.CONTEXT_ROWS * 15.0) * 1e6)}"""), "polyline_idx segment_idx")
+def _(spark, sf):
+    """Trips with the off-route rule from keyed state: what the last watermark lets leave."""
+    files, out, cp, net = scratch(spark, "matched"), scratch(spark, "stateful"), scratch(spark, "cp"), fx.network(spark, sf)
+
+    def start(pings):
+        finish(state.match_stream(pings, net, files, f"{cp}/match", None))
+        return state.stateful_enrich(state.read_matched(spark, files), net, out, f"{cp}/trips", None, STATE_DELAY)
+
+    replay(spark, sf, start)
+    return spark.read.parquet(out).select("vehicle_id", "ping_id", "segment_no", "route", "polyline_idx", "segment_idx", "stop_name")

@@ -111,11 +111,14 @@ def _with_hits(df: DataFrame, network: Network, kind: str, lat: str, lon: str, m
         far = lookup_join(far.withColumn("_cell", cell(0, sieve)), near, ["_cell"], small=small).filter("_open AND _near IS NULL").drop("_cell", "_near")
     if within_km is not None:
         far = far.filter(f"_open AND NOT {inside}")
-    by_cell, far = (_by_cells(part, cells, cell, levels, measure(lat, lon), inside, margin_km, within_km, small) for part in (by_cell, far))
-    far = far.filter("_open").withColumns({"_lat": F.col(lat), "_lon": F.col(lon)})
+    settle = lambda part: _by_cells(part, cells, cell, levels, measure(lat, lon), inside, margin_km, within_km, small)
+    near_rows = settle(by_cell)
+    if far.isEmpty():  # asked before the plan of the search is laid out, which is as long as all the rest
+        return near_rows.drop("_open")
+    far = settle(far).filter("_open").withColumns({"_lat": F.col(lat), "_lon": F.col(lon)})
     found = tree.nearest(far.select("_lat", "_lon").distinct(), margin_km, measure)
     far = lookup_join(far.drop("_hits"), found, ["_lat", "_lon"], small=False).withColumnRenamed("_found", "_hits")
-    return by_cell.filter("NOT _open").unionByName(far.drop("_lat", "_lon")).drop("_open")
+    return near_rows.filter("NOT _open").unionByName(far.drop("_lat", "_lon")).drop("_open")
 
 
 def _by_cells(df: DataFrame, cells: DataFrame | None, cell: Callable[[int, float], Column], levels: tuple, measure: Column, inside: str,
