@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import fixture as fx
-from queries.forecasts import trained
+from queries.forecasts import ETAS, GIVEN, PROJECTED, RECENT, given, trained
 from queries.ingest import scratch
 from queries.live import SERVICE_DAY
 from queries.oracle import sql
@@ -13,6 +13,7 @@ from queries.registry import SLICE, query, stage
 from wayfleet.operators import stops
 from wayfleet.operators.scale import cut
 from wayfleet.streaming import jobs, state
+from wayfleet.streaming.log import BucketLog
 
 
 def finish(started):
@@ -87,7 +88,7 @@ def _(spark, sf):
 def _(spark, sf):
     out, cp, net = scratch(spark, "enriched"), scratch(spark, "cp"), fx.network(spark, sf)
     replay(spark, sf, lambda pings: jobs.incremental_enrich(pings, net, out, cp, None, late_after=60.0))
-    return jobs.newest(spark, f"{out}/rows", ["vehicle_id", "t_us"]).select(
+    return BucketLog(f"{out}/rows").newest(spark).select(
         "vehicle_id", "ping_id", "segment_no", "route", "polyline_idx", "segment_idx", "stop_name")
 
 
@@ -132,3 +133,44 @@ def _(spark, sf):
 
     replay(spark, sf, start)
     return spark.read.parquet(out).select("vehicle_id", "ping_id", "segment_no", "route", "polyline_idx", "segment_idx", "stop_name")
+
+
+TICK_TIMES = """
+SELECT vehicle_id, stop_name, round(arg_max(stop_us, (stop_ord, stop_us)) / 1e6, 3) AS stop_s FROM projected, span
+WHERE stop_us IS NOT NULL AND (SELECT max(t_us) FROM pings p WHERE p.vehicle_id = projected.vehicle_id) >= lo + wide GROUP BY vehicle_id, stop_name"""
+
+
+@query("h8_stop_times_of_last_tick", sql("live segments stops travel", TICK_TIMES, recent=RECENT, given=GIVEN, etas=ETAS, projected=PROJECTED,
+                                         span="SELECT min(t_us) AS lo, (max(t_us) - min(t_us)) // 3 * 2 + 2 AS wide FROM pings"))
+def _(spark, sf):
+    """Stop times per vehicle of the last of three ticks, from the buckets of its day in a compacted log."""
+    net, out, cp = fx.network(spark, sf), scratch(spark, "ticks"), scratch(spark, "cp")
+    travel = cut(stops.polyline_travel_times(stage(spark, sf, "l3"), slice_seconds=SLICE), "travel")
+    predict = jobs.write_predictions(out, f"{out}/rows", given(spark, sf), travel, net, order=(1, 0, 0))
+    newest = stage(spark, sf, "pings").agg(F.max("t_us")).first()[0]
+
+    def tick(done, batch_id):
+        predict(done, batch_id)
+        BucketLog(f"{out}/rows").compact(spark, newest)
+
+    replay(spark, sf, lambda pings: jobs.incremental_enrich(pings, net, out, cp, None, late_after=60.0, on_batch=tick), 3)
+    etas = spark.read.parquet(f"{out}/etas").filter("batch = 2")
+    return etas.select("vehicle_id", F.explode("etas").alias("stop_name", "at")).select(
+        "vehicle_id", "stop_name", F.round(F.unix_micros("at") / F.lit(1e6), 3).alias("stop_s"))
+
+
+@query("h2_bucket_log", sql("pings", """
+SELECT vehicle_id, t_us // 60000000 AS minute, count(*) AS n, max(ping_id) AS last_ping FROM (SELECT vehicle_id, t_us, max(ping_id) AS ping_id FROM pings GROUP BY ALL) u
+WHERE t_us >= (SELECT (min(t_us) + max(t_us)) // 2 FROM pings) GROUP BY ALL"""))
+def _(spark, sf):
+    """Half of the time span read from a log of one-minute buckets that was written twice over, compacted and cut."""
+    rows = stage(spark, sf, "pings")
+    first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    middle, log = (first + last) // 2, BucketLog(scratch(spark, "bucket-log"), seconds=60)
+    for batch, part in enumerate([rows.withColumn("ping_id", F.lit(-1).cast("long")), rows.filter("ping_id % 2 = 0"), rows.filter("ping_id % 2 = 1")]):
+        log.append(part, batch)
+    log.append(rows.filter("ping_id % 2 = 1"), 2)
+    log.compact(spark, last)
+    log.expire(spark, middle)
+    return log.newest(spark, middle).groupBy("vehicle_id", F.floor(F.col("t_us") / 60_000_000).alias("minute")).agg(
+        F.count("*").alias("n"), F.max("ping_id").alias("last_ping"))

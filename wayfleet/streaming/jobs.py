@@ -14,10 +14,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wayfleet.functions.clock import CAMPUS_TZ, DAY_START_SECONDS
 from wayfleet.operators import forecast, matching, stops, upkeep
-from wayfleet.operators.scale import cut
+from wayfleet.operators.scale import cut, lookup_join
 from wayfleet.operators.trips import ping_frame
 from wayfleet.plans import enrich
 from wayfleet.sources.network import Network
+from wayfleet.streaming.log import BucketLog
 
 # The results depend on these defaults.
 CADENCE = "5 seconds"
@@ -139,15 +140,17 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
 def incremental_enrich(pings: DataFrame, network: Network, path: str, checkpoint: str, cadence: str | None = CADENCE,
                        max_gap: float = enrich.TRIP_GAP_SECONDS, max_dist: float = enrich.TRIP_DIST_KM,
                        late_after: float = LATE_AFTER_SECONDS, on_batch: Callable | None = None) -> StreamingQuery:
-    """Keep ``path/rows`` enriched (read it with ``newest``); ``path/tail`` and ``path/late`` go with it.
+    """Keep ``path/rows``, a ``BucketLog``, enriched; ``path/tail`` and ``path/late`` go with it.
 
-    Every folder is written under its batch number, so a repeated batch replaces its own output.
+    Everything is written under its batch number, so a repeated batch replaces its own output.
     """
+    rows = BucketLog(f"{path}/rows")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tail = spark.read.parquet(f"{path}/tail/{batch_id - 1}") if batch_id else None
         done, kept, late = enrich_batch(tail, batch, network, max_gap, max_dist, late_after, f"{path}/work")
-        done.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        rows.append(done, batch_id)
         late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
         kept.write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
         if on_batch:
@@ -167,11 +170,18 @@ def predictions(enriched: DataFrame, models: DataFrame, travel_times: DataFrame,
     return upkeep.eta_documents(times, at), forecast.forecast_speed(enriched, *order)
 
 
-def last_day(stored: DataFrame, changed: DataFrame, seconds: float = DAY_SECONDS) -> DataFrame:
-    """The stored rows of the vehicles among ``changed``, as far back as ``seconds`` before each one's newest."""
-    touched = changed.groupBy("vehicle_id").agg(F.max("t_us").alias("_newest"))
-    rows = stored.join(touched, "vehicle_id")
-    return rows.filter(F.col("t_us") > F.col("_newest") - F.lit(int(seconds * 1e6))).drop("_newest")
+def last_day(log: BucketLog, changed: DataFrame, seconds: float = DAY_SECONDS) -> DataFrame:
+    """The stored rows of the vehicles among ``changed``, as far back as ``seconds`` before each one's newest.
+
+    Only the buckets of that time are read, and only those vehicles' rows are compared with their older versions.
+    """
+    touched = cut(changed.groupBy("vehicle_id").agg(F.max("t_us").alias("_newest")), "touched")
+    low, high = touched.agg(F.min("_newest"), F.max("_newest")).first()
+    back = int(seconds * 1e6)
+    rows = log.stored(changed.sparkSession, None if low is None else low - back, high)
+    rows = lookup_join(rows, touched, ["vehicle_id"], "inner")
+    rows = rows.filter(F.col("t_us") > F.col("_newest") - F.lit(back)).drop("_newest")
+    return upkeep.keep_last(rows, ["batch"], list(log.key)).drop("bucket", "batch")
 
 
 def write_predictions(path: str, rows: str, models: DataFrame, travel_times: DataFrame, network: Network,
@@ -182,7 +192,7 @@ def write_predictions(path: str, rows: str, models: DataFrame, travel_times: Dat
     batch's own rows, so stop visits and speeds from before the tick count.
     """
     def on_batch(done: DataFrame, batch_id: int) -> None:
-        day = last_day(newest(done.sparkSession, rows, ["vehicle_id", "t_us"]), done)
+        day = last_day(BucketLog(rows), done)
         etas, speeds = predictions(day, models, travel_times, network, F.current_timestamp(), n, order)
         etas.write.mode("overwrite").parquet(f"{path}/etas/batch={batch_id}")
         speeds.write.mode("overwrite").parquet(f"{path}/speeds/batch={batch_id}")
