@@ -19,7 +19,7 @@ what is still apart after that is compared with all chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from wayfleet.operators.scale import lookup_join
 WORDS, PERCENT = 5, 85
 PERMUTATIONS, ROWS = 80, 5
 DIFFERENT = 40             # sketch bits in which linked sets may differ
+FIRST = 4                  # bands that are looked at before the others
 BUCKET = 8192              # different sets that share a band; more of them form one group without a look at their sketches
 GROUP = 1 << 21            # hashes of a group, or of a chunk of it, that are compared in one task
 HOT = 4096                 # copies of a set from which its rows are joined apart
@@ -96,21 +97,39 @@ def _signed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         low, high = extremes(hashes, (np.cumsum(sizes) - sizes)[full])
         keys, bits = np.zeros((len(sets), 2 * PERMUTATIONS // ROWS), np.uint64), np.zeros((len(sets), 3), np.uint64)
         keys[full], bits[full] = bands(low, high), sketches(low, high)
-        stored = [s.tobytes() for s in sets]
         listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in stored], pa.binary()), pa.array(sizes),
-             *(pa.array(bits[:, i].view(np.int64)) for i in range(3)), listed, pa.array(stored, pa.binary())],
-            names=["doc_id", "digest", "n", *SKETCH, "bands", "hashes"])
+            [batch.column("doc_id"), batch.column("text_key"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes),
+             *(pa.array(bits[:, i].view(np.int64)) for i in range(3)), listed],
+            names=["doc_id", "text_key", "digest", "n", *SKETCH, "bands"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = text_or_empty(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, digest, n, sketch, bands, hashes)`` per document; equal sets have equal digests."""
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    made = narrow.mapInArrow(_signed_batches, "doc_id long, digest binary, n long, s0 long, s1 long, s2 long, bands array<long>, hashes binary")
+    """``(row, doc_id, text_key, digest, n, sketch, bands)`` per document; equal sets have equal digests."""
+    made = _texts(docs).mapInArrow(_signed_batches, "doc_id long, text_key binary, digest binary, n long, s0 long, s1 long, s2 long, bands array<long>")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.array(shingle_hashes(t, WORDS), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+        kept = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=[*kept.schema.names, "hashes"])
+
+
+def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the hashes of their sets, made anew from one text of each: only these are ever stored."""
+    found = lookup_join(_texts(docs).select("text", "text_key"), members, ["text_key"], "inner").drop("text_key")
+    columns = [c for c in members.columns if c != "text_key"]
+    once = found.groupBy(*columns).agg(F.any_value("text").alias("text"))
+    return once.mapInArrow(_set_batches, ", ".join(f"{c} long" for c in columns) + ", hashes binary")
+
+
 # -- groups of sets that may be linked --------------------------------------------------------------
 
 def _alike(n: np.ndarray, sketch: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
@@ -120,17 +139,21 @@ def _alike(n: np.ndarray, sketch: np.ndarray, one: int, others: np.ndarray) -> n
     return sized & (np.bitwise_count(sketch[others] ^ sketch[one]).sum(axis=1, dtype=np.int64) <= DIFFERENT)
 
 
-def _bucket_links(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that connect all sets of a bucket that are alike, directly or by others."""
+def _bucket_links(ids: np.ndarray, labels: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect all sets of a bucket that are alike, directly or by others; equal labels are connected already."""
     out, left = [], np.arange(len(ids))
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
+    while len(left):
+        mine = labels[left] == labels[left[0]]
+        front, left = list(left[mine]), left[~mine]
         while front and len(left):
             one = front.pop()
-            hit = _alike(n, sketch, one, left)
-            out += [(ids[one], ids[i]) for i in left[hit]]
-            front += list(left[hit])
-            left = left[~hit]
+            hit = left[_alike(n, sketch, one, left)]
+            if len(hit):
+                new, first = np.unique(labels[hit], return_index=True)
+                out += [(ids[one], ids[i]) for i in hit[first]]
+                joined = np.isin(labels[left], new)
+                front += list(left[joined])
+                left = left[~joined]
     return out
 
 
@@ -146,7 +169,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by band key; the last run of a batch waits for the next one."""
-    names = ["key", "id", "n", *SKETCH]
+    names = ["key", "id", "label", "n", *SKETCH]
     kept = np.zeros((0, len(names)), np.int64)
     for batch in batches:
         rows = np.concatenate([kept, np.stack([batch.column(c).to_numpy() for c in names], axis=1)])
@@ -158,32 +181,46 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _bucket_pairs(rows: np.ndarray, borders: np.ndarray) -> pa.RecordBatch:
-    pairs, sketch = [], rows[:, 3:].astype(np.int64).view(np.uint64)
+    _, ids, labels, n = rows[:, :4].T
+    pairs, sketch = [], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
     sizes = np.diff(borders)
     two = borders[:-1][sizes == 2]     # most buckets that are shared at all
-    a, b = rows[two], rows[two + 1]
     near = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64) <= DIFFERENT
-    near &= 100 * np.minimum(a[:, 2], b[:, 2]) >= PERCENT * np.maximum(a[:, 2], b[:, 2])
-    pairs += list(zip(a[near, 1], b[near, 1]))
+    near &= (100 * np.minimum(n[two], n[two + 1]) >= PERCENT * np.maximum(n[two], n[two + 1])) & (labels[two] != labels[two + 1])
+    pairs += list(zip(ids[two[near]], ids[two[near] + 1]))
     for i in np.flatnonzero(sizes > 2):
         part = slice(borders[i], borders[i + 1])
-        pairs += _bucket_links(rows[part, 1], rows[part, 2], sketch[part])
+        pairs += _bucket_links(ids[part], labels[part], n[part], sketch[part])
     return _edges(list(set(pairs)))
 
 
-def candidates(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``(a, b)``: enough pairs of sets that may be linked to connect all of them."""
-    rows = sets.select("id", "n", *SKETCH, F.explode("bands").alias("key"))
-    crowded = cut(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter(F.col("size") > bucket).select("key", "hub"), "crowded")
+def _band_links(sets: DataFrame, bucket: int) -> DataFrame:
+    """``(a, b)``: pairs of ``sets(id, label, n, sketch, bands)`` that share a band and connect labels that may be linked."""
+    rows = sets.select("id", "label", "n", *SKETCH, F.explode("bands").alias("key"))
+    crowded = cut(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("hub")).filter(F.col("size") > bucket).select("key", "hub"), "crowded")
     stars = None
     if not crowded.isEmpty():
         marked = lookup_join(rows, crowded, ["key"])
-        stars = marked.filter("hub IS NOT NULL AND hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        stars = marked.filter("hub IS NOT NULL AND hub <> label").select(F.col("hub").alias("a"), F.col("label").alias("b")).distinct()
         rows = marked.filter("hub IS NULL").drop("hub")
-    pairs = rows.select("key", "id", "n", *SKETCH).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_batches, "a long, b long")
+    pairs = rows.select("key", "id", "label", "n", *SKETCH).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_batches, "a long, b long")
     return (pairs if stars is None else pairs.unionByName(stars)).distinct()
 
 
+def candidates(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``(a, b)``: enough pairs of sets that may be linked to connect all of them.
+
+    What the first bands connect is one label to the others, so a large group of copies is linked a few
+    times, not once in every band.
+    """
+    lean = sets.select("id", "n", *SKETCH, "bands")
+    first = _band_links(lean.withColumn("label", F.col("id")).withColumn("bands", F.slice("bands", 1, FIRST)), bucket)
+    labels = cut(connected(first).select(F.col("node").alias("id"), F.col("root").alias("label")), "labels")
+    named = lean.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = _band_links(named.withColumn("bands", F.slice("bands", FIRST + 1, 2 * PERMUTATIONS)), bucket)
+    return labels.filter("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(more)
+
+
 # -- confirming links on full sets ------------------------------------------------------------------
 
 class _Block:
@@ -275,16 +312,13 @@ def _block(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def links(sets: DataFrame, hashes: DataFrame, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
-    """``(a, b)``: links between different sets, enough of them to connect all that are connected.
-
-    ``hashes(id, hashes)`` has the full sets.
-    """
+def links(sets: DataFrame, docs: DataFrame, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
+    """``(a, b)``: links between different sets, enough of them to connect all that are connected."""
     groups = connected(candidates(sets, bucket)).withColumnRenamed("node", "id").withColumnRenamed("root", "of")
-    members = cut(groups.join(sets.select("id", "n", *SKETCH), "id"), "members")
+    members = cut(groups.join(sets.select("id", "text_key", "n", *SKETCH), "id"), "members")
     sizes = members.groupBy("of").agg(F.sum("n").alias("weight"), F.min("id").alias("hub_a"), F.max("id").alias("hub_b"))
     large = cut(sizes.filter(F.col("weight") > group).select("of", "hub_a", "hub_b", F.ceil(F.col("weight") / group).cast("int").alias("chunks")), "large_groups")
-    full = cut(lookup_join(members, large, ["of"]).join(hashes, "id"), "full_sets")
+    full = lookup_join(cut(full_sets(docs, members), "full_sets"), large, ["of"])
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     hub = (F.col("id") == F.col("hub_a")) | (F.col("id") == F.col("hub_b"))
     to = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
@@ -319,10 +353,10 @@ def near_duplicates(docs: DataFrame, group: int = GROUP, bucket: int = BUCKET, h
     other columns are not read. Shingles are told apart by 64-bit hashes.
     """
     rows = cut(signed(docs), "signed")
-    same = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("row").alias("id"), F.count("*").alias("copies"),
+    same = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("row").alias("id"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"),
                                                       *[F.any_value(c).alias(c) for c in ("n", *SKETCH, "bands")])
     sets = cut(same, "sets")
-    roots = connected(links(sets, rows.select(F.col("row").alias("id"), "hashes"), group, bucket)).withColumnRenamed("node", "id")
+    roots = connected(links(sets, docs, group, bucket)).withColumnRenamed("node", "id")
     rooted = cut(sets.select("digest", "id", "doc", "copies").join(roots, "id", "left"), "rooted")
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("least"))
     placed = cut(lookup_join(rooted, least, ["root"]).select("digest", "copies", F.coalesce("least", "doc").alias("component_id")), "placed")
