@@ -11,9 +11,10 @@ from queries.enrichment import rounded
 from queries.oracle import hav, sql
 from queries.registry import query, stage
 from wayfleet.operators import upkeep
-from wayfleet.operators.scale import shared_dir
+from wayfleet.operators.scale import cut, shared_dir
 from wayfleet.sources import feeds, network, schedule, stages
 from wayfleet.functions.clock import clock_text
+from wayfleet.sources.days import DayTable
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -356,6 +357,44 @@ def _(spark, sf):
     return upkeep.purge_events_since(fx.geofence_events(spark, sf), F.lit(PURGE_AT).cast("timestamp"), True).select("id")
 
 
+@query("b2_append_unknown_events", sql("", "SELECT id, event_type, vehicle_id, event_us, e % 4 <> 0 AS is_new FROM (" + FIRST.format(key="id") + ") g WHERE e % 4 <> 0 OR e % 8 = 0", conditions=CONDITIONS))
+def _(spark, sf):
+    """Every fourth event is stored before; the payloads come twice. The day table ends up with each event once."""
+    flat = feeds.flatten_geofence_payloads(fence_payloads(spark, sf))
+    table = DayTable(scratch(spark, "events-by-day"), "event_time", "id")
+    e = F.col("id").cast("long")
+    table.write(upkeep.first_per_key(flat.filter(e % 8 == 0), ["id"], ["event_time", "condition_ord"]).withColumn("is_new", F.lit(False)))
+    for _ in range(2):
+        upkeep.append_unknown(table, flat.filter(e % 4 != 0).withColumn("is_new", F.lit(True)), ["event_time", "condition_ord"])
+    return table.rows(spark).select("id", "event_type", "vehicle_id", F.unix_micros("event_time").alias("event_us"), "is_new")
+
+
+@query("a2_p2_day_window", """
+SELECT 'from' AS what, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'
+UNION ALL SELECT 'between', event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'""")
+def _(spark, sf):
+    table = DayTable(scratch(spark, "pings-by-day"), "ts")
+    table.write(fx.events(spark, sf).select("event_id", "ts"))
+    at = lambda text: F.lit(text).cast("timestamp")
+    out = lambda df, what: df.select(F.lit(what).alias("what"), "event_id")
+    return out(table.window(spark, at("2024-01-20 00:00:00")), "from").unionByName(
+        out(table.window(spark, at("2024-01-10 12:00:00"), at("2024-01-12 00:00:00")), "between"))
+
+
+@query("b8_purge_days", sql("geofence_events", f"""
+SELECT id FROM geofence_events WHERE event_time < TIMESTAMP '{PURGE_AT}'
+UNION ALL SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, id DESC) AS rk FROM geofence_events
+                          WHERE event_time >= TIMESTAMP '{PURGE_AT}') x WHERE rk = 1 AND event_type = 'geofenceEntry'"""))
+def _(spark, sf):
+    """The same purge on a day table: the day it cuts into is rewritten, later ones go, earlier ones are not touched."""
+    events, at = fx.geofence_events(spark, sf), F.lit(PURGE_AT).cast("timestamp")
+    table = DayTable(scratch(spark, "purged-by-day"), "event_time")
+    table.write(events)
+    stays = upkeep.purge_events_since(table.window(spark, at), at, True)
+    table.purge_since(spark, at, cut(stays, "kept"))
+    return table.rows(spark).select("id")
+
+
 HISTORY = """
 SELECT CAST(user_id AS VARCHAR) AS vehicle_id, CAST(event_id % 3 AS VARCHAR) AS driver_id, ts AS assigned_at, event_id FROM events WHERE event_type = 'purchase'"""
 INTERVALS = """

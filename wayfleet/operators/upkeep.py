@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import next_from_later, previous_from_earlier, require, time_slice
+from wayfleet.operators.scale import cut, next_from_later, previous_from_earlier, require, time_slice
+from wayfleet.sources.days import DayTable
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -47,6 +48,16 @@ def new_geofence_events(batch: DataFrame, target: DataFrame) -> DataFrame:
     return first_per_key(batch, ["id"], ["event_time", "condition_ord"]).join(target.select("id"), "id", "left_anti")
 
 
+def append_unknown(table: DayTable, batch: DataFrame, order: Sequence[str] = ("event_time",)) -> DataFrame:
+    """Append to a day table the first row of each id that it does not hold; returns the rows it wrote.
+
+    Only days whose Bloom filter may know one of the ids are read.
+    """
+    fresh = cut(table.unknown(first_per_key(batch, [table.id], order)), "fresh")
+    table.write(fresh)
+    return fresh
+
+
 VEHICLE_COLUMNS = ("name", "asset_type", "license_plate", "vin", "maintenance_id", "gateway_model", "gateway_serial")
 
 
