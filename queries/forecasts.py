@@ -8,7 +8,7 @@ from queries import fixture as fx
 from queries.enrichment import rounded
 from queries.oracle import sql
 from queries.registry import SLICE, query, stage
-from wayfleet.operators import forecast, live, stops
+from wayfleet.operators import arrival, forecast, likelihood, live, stops
 from wayfleet.operators.scale import cut
 
 ORDERED = "(PARTITION BY vehicle_id, segment_no ORDER BY t_us, ping_id)"
@@ -284,3 +284,43 @@ def _(spark, sf):
     travel = stops.polyline_travel_times(stage(spark, sf, "l3"), slice_seconds=SLICE)
     out = stops.project_stop_times(latest, stops.last_visit_per_stop(rows), etas, travel, fx.network(spark, sf))
     return out.select("vehicle_id", "route", "stop_ord", "stop_name", "kind", F.round(F.col("stop_us") / F.lit(1e6), 3).alias("stop_s"))
+
+
+@query("m1_likelihood_forecast")
+def _(spark, sf):
+    return rounded(likelihood.forecast_speed(stage(spark, sf, "live")), ["speed_kmh"], 2)
+
+
+@query("m1_likelihood_simple_orders", sql("live", """
+SELECT vehicle_id, round(greatest(0, avg(v)), 4) AS by_mean, round(greatest(0, arg_min(v, age)), 4) AS by_last
+FROM (SELECT vehicle_id, coalesce(speed_kmh, 0) AS v, row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us DESC, ping_id DESC) AS age FROM live) x
+WHERE age <= 200 GROUP BY vehicle_id HAVING count(*) >= 5"""))
+def _(spark, sf):
+    """Two orders whose best forecast is known: the mean without any lag, the last value of a random walk."""
+    rows = stage(spark, sf, "live")
+    made = lambda order, name: likelihood.forecast_speed(rows, *order).select("vehicle_id", F.col("speed_kmh").alias(name))
+    return rounded(made((0, 0, 0), "by_mean").join(made((0, 1, 0), "by_last"), "vehicle_id"), ["by_mean", "by_last"])
+
+
+@query("m2_forecast_methods")
+def _(spark, sf):
+    """Errors of likelihood and two-stage regression on each vehicle's last speed."""
+    return rounded(likelihood.compare_methods(stage(spark, sf, "live")), ["rmse", "mae"], 2)
+
+
+def arrival_parts(spark, sf):
+    return cut(arrival.three_parts(stage(spark, sf, "l4")), "parts")
+
+
+@query("m6_random_search")
+def _(spark, sf):
+    _, trials = arrival.search(arrival_parts(spark, sf), arrival.draw(3, 42, windows=(2, 4), hidden=(0, 16)), SLICE)
+    return rounded(trials.drop("ridge"), ["rmse", "mae"], 2)
+
+
+@query("m4_nonlinear_eta")
+def _(spark, sf):
+    """The chosen model on the trips that neither training nor search has seen."""
+    parts = arrival_parts(spark, sf)
+    model, _ = arrival.search(parts, arrival.draw(2, 42, windows=(2, 4), hidden=(16,)), SLICE)
+    return rounded(arrival.test_errors(model, parts, SLICE).select("window", "hidden", "rmse", "mae", "n"), ["rmse", "mae"], 2)
