@@ -38,6 +38,7 @@ CHUNK = 1 << 22           # bytes of text that are split into words at a time
 LOCAL_WORDS = 1 << 20     # different words that a task numbers before it hands on its counts
 LOCAL_COUNTS = 1 << 21    # counts that a task keeps before it merges them
 OUT_ROWS = 1 << 16
+TRIES = 8                 # rounds of random places, and places of a round, that a node's children are tried at
 EMPTY, EDGE = 0, 1        # numbers of the empty word and of a border between pieces
 SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +160,8 @@ class Trie:
 
 
 def build(langs: list[str], phrases: list[bytes]) -> Trie:
-    """Lay out ``phrases``, all of as many words, first fit; frequent words get small codes."""
+    """Lay out ``phrases``, all of as many words: nodes of one child go to the first free slot, the others,
+    those of most children first, to one of some random places, or behind all if none of those fits."""
     split = [p.split(b" ") for p in phrases]
     codes = {w: i + 1 for i, (w, _) in enumerate(Counter(w for p in split for w in p).most_common())}
     names = {lang: len(codes) + 1 + i for i, lang in enumerate(sorted(set(langs)))}
@@ -173,29 +175,33 @@ def build(langs: list[str], phrases: list[bytes]) -> Trie:
                 children.append({})
         last.append(node)
     widest = len(codes) + len(names) + 1
-    used = np.zeros(4 * widest + 4 * len(children), bool)
-    used[:widest] = True                       # so that no base is negative; state 0 is the root
-    base, check = np.zeros(len(used), np.int64), np.full(len(used), -1, np.int64)
-    state, free, level = {0: 0}, widest, [0]
+    top = widest + 2 * len(children)           # places below it are tried first; slots below ``widest`` stay free of bases
+    used, base, check = np.zeros(2 * top + widest, bool), np.zeros(2 * top + widest, np.int64), np.full(2 * top + widest, -1, np.int64)
+    used[:widest] = True
+    state, free, level, rng = {0: 0}, widest, [0], np.random.default_rng(0)
     while level:
         level.sort(key=lambda n: -len(children[n]))
         for node in level:
             if not children[node]:
                 continue
             want = np.array(sorted(children[node]))
-            while used[free]:
-                free += 1
-            place = free
-            while True:
-                if place + widest + 256 >= len(used):
-                    more = len(used)
-                    used, base, check = np.r_[used, np.zeros(more, bool)], np.r_[base, np.zeros(more, np.int64)], np.r_[check, np.full(more, -1)]
-                slots = place + np.flatnonzero(~used[place:place + 256])
-                fits = ~used[slots[:, None] + (want - want[0])[None]].any(axis=1)
-                if fits.any():
-                    begin = slots[fits.argmax()] - want[0]
-                    break
-                place += 256
+            if len(want) == 1:                 # any free slot will do
+                while used[free]:
+                    free += 1
+                begin = free - want[0]
+            else:
+                for _ in range(TRIES):
+                    begins = rng.integers(widest, top, TRIES) - want[0]
+                    fits = ~used[begins[:, None] + want].any(axis=1)
+                    if fits.any():
+                        begin = begins[fits.argmax()]
+                        break
+                else:
+                    begin = top - want[0]
+                    top += int(want[-1] - want[0]) + 1
+            if max(begin + want[-1], top) + widest >= len(used):
+                more = len(used)
+                used, base, check = np.r_[used, np.zeros(more, bool)], np.r_[base, np.zeros(more, np.int64)], np.r_[check, np.full(more, -1)]
             own = state[node]
             base[own] = begin
             used[begin + want] = True
@@ -248,7 +254,8 @@ def _merged(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count_extended(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the candidates that extend the trie's phrases by a word."""
+    """Counts of the candidates that extend the trie's phrases by a word: the phrase's number and the word's
+    code as one key; a word that is in none of the trie's phrases is spelled out."""
     trie, table = shared.value
     words, codes = Words(), np.zeros(0, np.int64)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -256,11 +263,12 @@ def _count_extended(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Ite
     def flush():
         if kept:
             keys, counts = _merged(kept)
-            seen = pa.array(words.seen, pa.binary())
+            code = codes[keys & 0xFFFFFFFF]
+            spelled = pa.array(words.seen, pa.binary()).take(pa.array(keys & 0xFFFFFFFF, mask=code > 0)).cast(pa.string())
+            keys = keys >> 32 << 32 | code
             for i in range(0, len(keys), OUT_ROWS):
-                phrase, word = pa.array(keys[i:i + OUT_ROWS] >> 32), pa.array(keys[i:i + OUT_ROWS] & 0xFFFFFFFF)
-                joined = pc.binary_join_element_wise(trie.phrases.take(phrase), seen.take(word), b" ")
-                yield from _out(trie.langs.take(phrase), joined, counts[i:i + OUT_ROWS])
+                part = slice(i, i + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), spelled[part], pa.array(counts[part])], names=["key", "word", "n"])
 
     for lang, data in _chunks(batches):
         ids = words.number(data)
@@ -284,6 +292,17 @@ def _count_extended(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Ite
     yield from flush()
 
 
+def _spell(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted candidates as phrases again."""
+    trie, _ = shared.value
+    by_code = pa.array([b"", *trie.codes], pa.binary())
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        phrase, code = pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)
+        word = pc.coalesce(batch.column("word").cast(pa.binary()), by_code.take(code))
+        yield from _out(trie.langs.take(phrase), pc.binary_join_element_wise(trie.phrases.take(phrase), word, b" "), batch.column("n").to_numpy())
+
+
 def extended(texts: DataFrame, frequent: DataFrame, least: int, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
     """The frequent phrases that are a word longer than those of ``frequent``, with their counts."""
     context = texts.sparkSession.sparkContext
@@ -295,8 +314,8 @@ def extended(texts: DataFrame, frequent: DataFrame, least: int, trie_phrases: in
         if not len(held):
             continue
         shared = context.broadcast((build(list(held["lang"]), [p.encode() for p in held["phrase"]]), table))
-        counts = texts.mapInArrow(partial(_count_extended, shared), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        found.append(cut(counts.filter(F.col("n") >= least), "phrases"))
+        counts = texts.mapInArrow(partial(_count_extended, shared), "key long, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+        found.append(cut(counts.filter(F.col("n") >= least).mapInArrow(partial(_spell, shared), COUNTS), "phrases"))
         shared.unpersist()
     out = found[0] if found else frequent.limit(0)
     for more in found[1:]:
