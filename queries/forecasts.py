@@ -299,7 +299,7 @@ def _(spark, sf):
     """Two orders whose best forecast is known: the mean without any lag, the last value of a random walk."""
     rows = stage(spark, sf, "live")
     made = lambda order, name: likelihood.forecast_speed(rows, *order).select("vehicle_id", F.col("speed_kmh").alias(name))
-    return rounded(made((0, 0, 0), "by_mean").join(made((0, 1, 0), "by_last"), "vehicle_id"), ["by_mean", "by_last"])
+    return rounded(made((0, 0, 0), "by_mean").join(made((0, 1, 0), "by_last"), "vehicle_id"), ["by_mean", "by_last"], 4)
 
 
 @query("m2_forecast_methods")

@@ -9,6 +9,7 @@ from queries.enrichment import rounded
 from queries.ingest import HISTORY, INTERVALS, intervals
 from queries.oracle import sql
 from queries.registry import query, stage
+from wayfleet.operators.asof import asof_join
 from wayfleet.operators import live, matching
 
 DAY, NOW = "2024-01-20 05:00:00", "2024-01-28 12:00:00"
@@ -240,3 +241,18 @@ def _(spark, sf):
     t = live.daily_tracks(daytime_pings(spark, sf), fx.geofence_events(spark, sf), start_seconds=4 * 3600)
     return (t.groupBy("vehicle_id", F.unix_micros("service_day").alias("service_day_us"))
              .agg(F.sum(F.size("points")).alias("n_points")))
+
+
+HOT = "CASE WHEN user_id % 2 = 0 THEN 'hot' ELSE CAST(user_id AS {str}) END AS vehicle_id"
+
+
+@query("j16_asof_driver", f"""
+SELECT p.vehicle_id, p.event_id, CAST((SELECT arg_max(a.event_id, (a.t_us, a.event_id)) FROM a WHERE a.vehicle_id = p.vehicle_id AND a.t_us <= p.t_us) AS DOUBLE) AS assignment_id
+FROM (SELECT {HOT.format(str='VARCHAR')}, event_id, epoch_us(ts) AS t_us FROM events) p""".replace("FROM a WHERE",
+    f"FROM (SELECT {HOT.format(str='VARCHAR')}, event_id, epoch_us(ts) AS t_us FROM events WHERE event_type = 'purchase') a WHERE"))
+def _(spark, sf):
+    """The assignment in force at every event, where one vehicle has half of them; slices of six hours."""
+    rows = fx.events(spark, sf).selectExpr(HOT.format(str="STRING"), "event_id", "unix_micros(ts) AS t_us", "event_type")
+    assigned = rows.filter("event_type = 'purchase'").withColumn("assignment_id", F.col("event_id").cast("double"))
+    found = asof_join(rows.drop("event_type"), assigned, ["vehicle_id"], ["assignment_id"], tie=["event_id"], slice_seconds=6 * 3600)
+    return found.select("vehicle_id", "event_id", "assignment_id")

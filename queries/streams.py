@@ -174,3 +174,19 @@ def _(spark, sf):
     log.expire(spark, middle)
     return log.newest(spark, middle).groupBy("vehicle_id", F.floor(F.col("t_us") / 60_000_000).alias("minute")).agg(
         F.count("*").alias("n"), F.max("ping_id").alias("last_ping"))
+
+
+@query("j11_live_view_stream", sql("pings geofence_events", """
+SELECT p.vehicle_id, p.t_us, p.ping_id, epoch_us(e.event_time) AS event_us
+FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us DESC, ping_id DESC) AS rk FROM pings) p
+JOIN (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, id DESC) AS rk FROM geofence_events) e ON e.vehicle_id = p.vehicle_id
+WHERE p.rk = 1 AND e.rk = 1 AND e.event_type = 'geofenceEntry'"""))
+def _(spark, sf):
+    """Where the vehicles inside are, kept up from the stream of events and that of pings, the newest pings first."""
+    out, cp = scratch(spark, "live-view"), scratch(spark, "cp")
+    kind = F.when(F.col("event_type") == "signup", "geofenceEntry").otherwise("geofenceExit")
+    events = event_stream(spark, sf).filter(F.col("event_type").isin("signup", "error")).select(
+        F.col("user_id").cast("string").alias("vehicle_id"), kind.alias("event_type"), F.col("ts").alias("event_time"), F.col("event_id").cast("string").alias("id"))
+    replay(spark, sf, lambda pings: jobs.versions_to_table(jobs.live_view(pings, events), out, cp, None), newest_first=True)
+    return jobs.newest(spark, out, ["vehicle_id"]).filter("inside AND timestamp IS NOT NULL").select(
+        "vehicle_id", F.unix_micros("timestamp").alias("t_us"), "ping_id", F.unix_micros("event_time").alias("event_us"))

@@ -63,6 +63,19 @@ def latest_positions(pings: DataFrame) -> DataFrame:
                  .select("vehicle_id", "timestamp", "l.*"))
 
 
+def live_view(pings: DataFrame, events: DataFrame) -> DataFrame:
+    """Per vehicle its last geofence event and its last position, as both streams bring them, in any order.
+
+    ``events(vehicle_id, event_time, event_type, id)``. One row of state per vehicle serves both sides, so neither
+    waits for the other; a vehicle that only one stream knows has nulls from the other.
+    """
+    place, event = F.struct("timestamp", "ping_id", "latitude", "longitude"), F.struct("event_time", F.col("id").alias("event_id"), "event_type")
+    both = (pings.select("vehicle_id", place.alias("place"))
+                 .unionByName(events.select("vehicle_id", event.alias("event")), allowMissingColumns=True))
+    last = both.groupBy("vehicle_id").agg(F.max("place").alias("p"), F.max("event").alias("e"))
+    return last.select("vehicle_id", "p.*", "e.event_time", "e.event_id", (F.col("e.event_type") == "geofenceEntry").alias("inside"))
+
+
 def gap_trips(pings: DataFrame, max_gap: float = 15.0, delay: str = "10 minutes") -> DataFrame:
     """Trips cut by time gaps alone, one row each, sent out when the watermark has passed their end."""
     session = F.session_window("timestamp", f"{int(max_gap * 1000)} milliseconds")
