@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from queries import fixture as fx
 from queries.enrichment import rounded
 from queries.oracle import sql
-from queries.registry import query, stage
-from wayfleet.operators import profile
+from queries.registry import ORACLES, SLICE, query, stage
+from wayfleet.operators import accounting, profile
 
 SPREAD = ["mean", "std", "min", "max", "p25", "p50", "p75"]
 
@@ -71,6 +71,14 @@ def _(spark, sf):
     return rounded(profile.stage_accounting(stage(spark, sf, "l3"), stage(spark, sf, "l4")), ["rows_kept_percent", "trips_kept_percent"])
 
 
+@query("g10_observed_accounting", ORACLES["g10_stage_accounting"])
+def _(spark, sf):
+    """The same figures, counted while the rows are trimmed."""
+    counts = accounting.StageCounts()
+    accounting.trim_and_count(stage(spark, sf, "l3"), counts, slice_seconds=SLICE).write.format("noop").mode("overwrite").save()
+    return rounded(counts.between(spark, "stops", "trimmed"), ["rows_kept_percent", "trips_kept_percent"])
+
+
 @query("g11_polyline_profile", sql("l2", """
 SELECT route, polyline_idx, count(*) AS n_rows, count(DISTINCT vehicle_id) AS n_vehicles, round(avg(speed_kmh), 4) AS mean_kmh, round(stddev_samp(speed_kmh), 4) AS std_kmh
 FROM l2 WHERE route IS NOT NULL AND polyline_idx IS NOT NULL GROUP BY route, polyline_idx"""))

@@ -10,7 +10,7 @@ from queries.ingest import scratch
 from queries.live import SERVICE_DAY
 from queries.oracle import sql
 from queries.registry import SLICE, query, stage
-from wayfleet.operators import stops
+from wayfleet.operators import accounting, stops
 from wayfleet.operators.scale import cut
 from wayfleet.streaming import jobs, state
 from wayfleet.streaming.log import BucketLog
@@ -190,3 +190,21 @@ def _(spark, sf):
     replay(spark, sf, lambda pings: jobs.versions_to_table(jobs.live_view(pings, events), out, cp, None), newest_first=True)
     return jobs.newest(spark, out, ["vehicle_id"]).filter("inside AND timestamp IS NOT NULL").select(
         "vehicle_id", F.unix_micros("timestamp").alias("t_us"), "ping_id", F.unix_micros("event_time").alias("event_us"))
+
+
+@query("g10_observed_batches", sql("pings", """
+SELECT CAST((t_us - lo) // span AS BIGINT) AS batch, count(*) AS n, count(DISTINCT vehicle_id) > 0 AS any_vehicle, max(t_us) AS newest_us
+FROM pings, (SELECT min(t_us) AS lo, (max(t_us) - min(t_us)) // 3 + 1 AS span FROM pings) b GROUP BY 1"""))
+def _(spark, sf):
+    """What each batch of a stream reported while it ran."""
+    out, cp, told = scratch(spark, "observed"), scratch(spark, "cp"), []
+
+    def start(pings):
+        watched = accounting.observed(pings.select("vehicle_id", "t_us"), "pings", n=F.count(F.lit(1)), any_vehicle=F.bool_or(F.col("vehicle_id").isNotNull()), newest_us=F.max("t_us"))
+        query = jobs.to_table(watched, out, cp, None)
+        query.awaitTermination()
+        told.extend(accounting.reported(query, "pings"))
+        return query
+
+    replay(spark, sf, start)
+    return spark.createDataFrame([(r["batch"], r["n"], r["any_vehicle"], r["newest_us"]) for r in told], "batch long, n long, any_vehicle boolean, newest_us long")
