@@ -81,3 +81,14 @@ def test_projected_stop_times(spark, net):
     # Leg 2 has no average, so nothing follows it; standing at the departure stop skips one leg.
     assert got == [("at_start", 0, "visited", 5), ("at_start", 1, "next", 10_000_000), ("at_start", 2, "later", 40_000_000),
                    ("at_stop", 1, "visited", 7), ("at_stop", 2, "next", 20_000_000)]
+
+
+@pytest.mark.parametrize("width", [9, 3600])
+def test_trim_and_eta_in_one_go_equal_both_steps(spark, width):
+    rng = random.Random(width)
+    rows = [(f"v{v}", s, int((s * 500 + i * 4 + rng.randint(0, 3)) * 1e6), i, rng.choice(["S", None, None, None, None]))
+            for v in range(5) for s in range(1, 5) for i in range(rng.randint(1, 15))]
+    df = spark.createDataFrame(rows, "vehicle_id string, segment_no long, t_us long, ping_id long, stop_name string")
+    two = stops.eta_to_next_stop(stops.trim_after_last_stop(df, slice_seconds=width), slice_seconds=width)
+    one = stops.trim_and_eta(df, slice_seconds=width)
+    assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))

@@ -64,6 +64,25 @@ def eta_to_next_stop(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int
         "_slice", "_inside", "_beyond")
 
 
+def trim_and_eta(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """``eta_to_next_stop`` of ``trim_after_last_stop`` from one summary per slice and one join.
+
+    What is trimmed comes after the last stop, so the next stops are the same before and after.
+    """
+    require(df, *by, *ORDER, "stop_name")
+    at, sliced = F.struct(*ORDER), df.withColumn("_slice", time_slice(slice_seconds))
+    stop = F.col("stop_name").isNotNull()
+    per_slice = sliced.groupBy(*by, "_slice").agg(F.max(F.when(stop, at)).alias("_stop"), F.min(F.when(stop, F.col("t_us"))).alias("_stop_us"))
+    trip = Window.partitionBy(*by)
+    later = trip.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summary = per_slice.select(*by, "_slice", F.max("_stop").over(trip).alias("_last"),
+                               F.last("_stop_us", ignorenulls=True).over(later).alias("_beyond")).filter("_last IS NOT NULL")
+    kept = sliced.join(summary, [*by, "_slice"]).filter(at <= F.col("_last"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.col("t_us").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    next_us = F.coalesce(F.min(F.when(stop, F.col("t_us"))).over(inside), F.col("_beyond"))
+    return kept.withColumn("eta_seconds", (next_us - F.col("t_us")) / F.lit(1e6)).drop("_slice", "_last", "_beyond")
+
+
 def stop_pairs(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS,
                distinct_stops: bool = False) -> DataFrame:
     """Each at-stop row with the seconds to the next at-stop row of its trip (positive ones only)."""

@@ -73,7 +73,7 @@ def find_stops(trips_df: DataFrame, network: Network, max_gap: float = STOPS_GAP
 
 
 def add_eta(stops_df: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    return stops.eta_to_next_stop(stops.trim_after_last_stop(stops_df, slice_seconds=slice_seconds), slice_seconds=slice_seconds)
+    return stops.trim_and_eta(stops_df, slice_seconds=slice_seconds)
 
 
 def segment_job(pings: DataFrame, network: Network, **options) -> DataFrame:
