@@ -18,6 +18,10 @@ from tokenizers import Tokenizer
 CHUNK = 1 << 16        # characters after which a long text is cut at the next safe place
 MEMO_WORDS = 1 << 20   # words whose ids a worker remembers before it starts anew
 
+# Marks that may join an ASCII letter into one character, which is not the same one for both cases.
+JOINING = re.compile(r"[\u0300-\u036f]")
+KNOWN_LETTERS = 0x530  # code points below are letters or not in every version of Unicode alike
+
 # A space after a visible character and before another one: every match of the pattern that covers
 # such a space starts with it, because only runs of white space have a space inside.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -51,11 +55,17 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(others)}
 
 
+def _letters(text: str) -> bool:
+    """Whether ``text`` is letters only, and stays so when it gets lower case."""
+    return text.isalpha() and ord(max(text)) < KNOWN_LETTERS and text.lower().isalpha()
+
+
 class WordIds(dict):
     """Ids of a white-space separated word as little-endian 32-bit bytes, remembered up to a bound.
 
     Punctuation after a letter starts a token of its own, so a word and its closing punctuation are
-    looked up apart. A word of letters only is one token for the model, which it is handed in the
+    looked up apart; not where lower case ends the word in a mark, which the punctuation would join.
+    A word of letters only is one token for the model, which it is handed in the
     spelling that the tokenizer's own normaliser gives it; any other word goes through the whole tokenizer.
     """
 
@@ -64,12 +74,16 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special_ids = added
+        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        # Texts are parted at special tokens before words are made; in a word their spelling is ordinary text.
         self.tokenizer.encode_special_tokens = True
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(self.CLOSING)
         text = core.decode()
-        if len(core) < len(word) and text and text[-1].isalpha():
+        if len(core) < len(word) and text and _letters(text[-1]):
             ids = self[core] + self[word[len(core):]]
         else:
             ids = b"".join([i.to_bytes(4, "little") for i in self.encode(word.decode())])
@@ -80,11 +94,10 @@ class WordIds(dict):
         return ids
 
     def encode(self, word: str) -> list[int]:
-        if word.isalpha() and len(word) <= 64:
+        if len(word) <= 64 and _letters(word):
             lower = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
-            if lower.isalpha():
-                spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(byte_letters())
-                return [token.id for token in self.tokenizer.model.tokenize(spelled)]
+            spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(byte_letters())
+            return [token.id for token in self.tokenizer.model.tokenize(spelled)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
 
@@ -94,7 +107,15 @@ def word_bpe(path: str) -> WordIds:
 
 
 def word_ids(text: str, path: str) -> bytes:
-    """Ids of ``text``. Its tokenizer lowers case, drops white space and never joins across it, so
-    words are encoded one by one, most of them from memory."""
-    words = word_bpe(path)
-    return b"".join([words[w] for w in text.encode().lower().split()])
+    """Ids of ``text``. Its tokenizer takes special tokens out first, as they are spelled; it lowers case, drops
+    white space and never joins across either, so words are encoded one by one, most of them from memory."""
+    words, out = word_bpe(path), []
+    for i, part in enumerate(words.special.split(text) if words.special else [text]):
+        if i % 2:
+            out.append(words.special_ids[part])
+            continue
+        data = part.encode()
+        if part.isascii() or not JOINING.search(part):
+            data = data.lower()
+        out += [words[w] for w in data.split()]
+    return b"".join(out)
