@@ -2,10 +2,13 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
+import time
 import zlib
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -166,7 +169,6 @@ def test_packing_keeps_every_token_once(table, request):
     df = request.getfixturevalue(table)
     got = packing.packed(df).toPandas()
     tokenizer = Tokenizer.from_file(packing.VOCABULARY)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in texts(df):
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -179,6 +181,20 @@ def test_packing_keeps_every_token_once(table, request):
     assert got["sequence_id"].nunique() <= 1.02 * got["length"].sum() / 2048 + 1
 
 
+def test_word_ids_are_those_of_the_library():
+    tokenizer, rng = Tokenizer.from_file(packing.VOCABULARY), random.Random(12)
+    marks = ["\u0307", "\u030c", "\u0331", "\u0308", "\u030a", "\u0301"]
+    pools = [list("abtHJTWYIiKz"), marks, list(" \t\n\x0b\x85\xa0\u2003"), list(".,*#&$%!?;:|\"'"), ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'LL", "<|"],
+             list("İıſẞßÅΣςǅŉẖ漢字あ゙ﬁ½²٣"), [chr(c) for c in (*range(0x80, 0x600), *range(0x1E00, 0x2100))]]
+    texts = ["ALİ, a <|endoftext|> b", "ALİ.", "J\u030c,", "", "<|endoftext|>"]
+    for _ in range(4000):
+        mine = rng.sample(pools, rng.randint(1, 4))
+        texts.append("".join(rng.choice(rng.choice(mine)) for _ in range(rng.randint(1, 14))))
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randint(1, 10))) for _ in range(4000)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(tokens.word_ids(text, packing.VOCABULARY), "<u4").tolist() == want.ids, text
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, fills = packing.best_fit(np.array([4, 7, 5, 3, 6]), 10)
     assert fills.tolist() == [10, 10, 5] and bins.tolist() == [1, 0, 2, 0, 1] and offsets.tolist() == [6, 0, 0, 7, 0]
@@ -283,6 +299,36 @@ def test_trusted_contexts_find_other_identifiers(spark):
     assert masked[100] == "xx my card is number <CARD> and so on" and masked[0] == "hello there my card is number <CARD> and so on"
 
 
+def test_rounds_go_on_while_trust_grows(spark):
+    """What the first pattern finds teaches a second one, and what that finds, some rounds later, a third."""
+    code = lambda n: f"9{n:03d}-{n:04d}-777{n:03d}-{n:02d}"
+    said = [f"the card is number {card(i)} and so on" for i in range(40)]
+    said += [t for n in range(20) for t in (f"the card is number {code(n)} and so on", f"digits they read {code(n)} out loud")]
+    said += [t for n in range(30, 50) for t in (f"digits they read {code(n)} out loud", f"plastic of kind {code(n)} was lost")]
+    said += [f"plastic of kind {code(60)} was lost", f"never of any {code(61)} was here"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    spans = [r["spans"] for r in pii.digest(df).orderBy("doc_id").collect()]
+    assert all(s.startswith("card:") for s in spans[:-1]) and spans[-1] == ""
+
+
+def test_many_matches_in_one_text_take_time_that_grows_with_it(spark):
+    text = "10.0.0.1 and 10.2.3.4, " * 10_000
+    began = time.monotonic()
+    row = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_ip"] == 20_000 and row["base_sha256"] == hashlib.sha256(",".join(base_spans(text)["ip"]).encode()).hexdigest()
+    assert time.monotonic() - began < 60
+    sizes = spark.createDataFrame([(n, [3] * n) for n in (0, 1, 255, 256, 257, 1000)], "n int, sizes array<int>")
+    for r in sizes.select("n", pii._running(F.col("sizes")).alias("sums")).collect():
+        assert r["sums"] == [3 * i for i in range(1, r["n"] + 1)]
+
+
+def test_masking_takes_added_spans_only_beside_base_ones(spark):
+    said = [(i, f"my card is number {card(i)} and so on") for i in range(10)]
+    df = spark.createDataFrame([*said, (50, "my card is number +12345678-9012 and so on"), (51, "my card is number 1234-5678-9012-3 and so on")], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    assert masked[50] == "my card is number <PHONE> and so on" and masked[51] == "my card is number <CARD> and so on"
+
+
 def test_masking_leaves_no_base_span(docs):
     kept = {(r["doc_id"], r["text"]) for r in pii.mask(docs).collect()}
     assert (3, None) in kept and (None, "<EMAIL> wrote <PHONE>") in kept and (11, "<CARD>, <IP>, 300.1.1.1") in kept
@@ -309,6 +355,21 @@ def test_forward_pass_sums_all_segmentations():
     got = np.exp(langid.word_scores(words, prob, path))
     for w, scores in zip(words, got):
         assert scores == pytest.approx([total(langid.START + w, 0, c) for c in (0, 1)], rel=1e-9)
+    long_words = ["tion" * 50, "schön漢" * 30, "x" * 25, "y" * 24]
+    for w, scores in zip(long_words, langid.word_scores(long_words, prob, path)):
+        for c in (0, 1):
+            sums = [Fraction(1)]
+            for end in range(1, len(w) + 2):
+                parts = [(at, pieces.get((langid.START + w)[at:end], len(pieces) if at == end - 1 else None)) for at in range(max(0, end - 40), end)]
+                sums.append(sum((sums[at] * Fraction(prob[n, c]) for at, n in parts if n is not None), Fraction(0)))
+            assert scores[c] == pytest.approx(math.log(sums[-1].numerator) - math.log(sums[-1].denominator), rel=1e-12)
+    counts, short = rng.random((len(words) + 2, 2)), langid.SHORT
+    both = langid.expected_pieces([*words, "x" * 30, "tionthe" * 9], counts, prob, path)
+    langid.SHORT = 2
+    try:
+        assert langid.expected_pieces([*words, "x" * 30, "tionthe" * 9], counts, prob, path) == pytest.approx(both, rel=1e-9, abs=1e-12)
+    finally:
+        langid.SHORT = short
     expected = langid.expected_pieces(["the"], np.array([[2.0, 0.0]]), prob, path)
     assert expected[:, 1].sum() == 0 and sum(expected[n, 0] * len(p) for p, n in pieces.items()) == pytest.approx(2 * len("▁the"))
 

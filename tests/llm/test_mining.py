@@ -206,6 +206,22 @@ def test_tries_accept_their_phrases_and_no_others():
         assert list(at) == [i for i in range(1998) if (lang, b" ".join(words[i:i + 3])) in set(phrases)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_every_phrase_of_a_crowded_trie_is_found(seed):
+    """Many nodes with many children, so that random places run out and nodes are put behind all others."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60 if seed % 2 else 400)]
+    phrases = sorted({(rng.choice("xyz"), f"{rng.choice(words)} {rng.choice(words[:40])}".encode()) for _ in range(6000)})
+    trie = collocation.build([lang for lang, _ in phrases], [p for _, p in phrases])
+    number = {p: i for i, p in enumerate(phrases)}
+    for lang in "xyz":
+        mine = [p for la, p in phrases if la == lang]
+        codes = np.array([trie.codes[w] for p in mine for w in p.split()])
+        at, found = trie.accepting(lang, codes)
+        got = dict(zip(at.tolist(), found.tolist()))
+        assert all(got[2 * i] == number[lang, p] for i, p in enumerate(mine))
+
+
 def test_collocations_of_awkward_tables(docs):
     assert got_phrases(clashing(docs), least=3) == got_phrases(docs, least=3)
     assert got_phrases(docs.limit(0)) == [] and got_phrases(docs.filter("text IS NULL")) == [] and got_phrases(docs, least=10**6) == []

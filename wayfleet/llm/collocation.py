@@ -178,7 +178,7 @@ def build(langs: list[str], phrases: list[bytes]) -> Trie:
     top = widest + 2 * len(children)           # places below it are tried first; slots below ``widest`` stay free of bases
     used, base, check = np.zeros(2 * top + widest, bool), np.zeros(2 * top + widest, np.int64), np.full(2 * top + widest, -1, np.int64)
     used[:widest] = True
-    state, free, level, rng = {0: 0}, widest, [0], np.random.default_rng(0)
+    state, free, end, level, rng = {0: 0}, widest, widest, [0], np.random.default_rng(0)
     while level:
         level.sort(key=lambda n: -len(children[n]))
         for node in level:
@@ -197,9 +197,10 @@ def build(langs: list[str], phrases: list[bytes]) -> Trie:
                         begin = begins[fits.argmax()]
                         break
                 else:
-                    begin = top - want[0]
-                    top += int(want[-1] - want[0]) + 1
-            if max(begin + want[-1], top) + widest >= len(used):
+                    begin = end - want[0]      # nothing lies from ``end`` on
+                    top = max(top, int(begin + want[-1]) + 1)
+            end = max(end, int(begin + want[-1]) + 1)
+            if max(end, top) + widest >= len(used):
                 more = len(used)
                 used, base, check = np.r_[used, np.zeros(more, bool)], np.r_[base, np.zeros(more, np.int64)], np.r_[check, np.full(more, -1)]
             own = state[node]
