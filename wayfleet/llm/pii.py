@@ -31,7 +31,9 @@ TOKEN = r"(?<!\S)[^\s0-9@+]*+[0-9@+]\S*+"            # a word that might be an i
 ANY = f"(?:{PATTERNS['email']}|{PATTERNS['ip']}|{PATTERNS['card']}|{PATTERNS['phone']}|{TOKEN})"
 TAGS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 
-ROUNDS, TRUST, SUPPORT = 2, 0.8, 3
+TRUST, SUPPORT = 0.8, 3
+GAIN = 1e-3     # rounds end when no trust grows by more
+RUN = 256       # lengths that are added up in one go
 CONTEXT = 80    # code points on either side in which context words are looked for
 
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -62,15 +64,23 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array, runs of ``RUN`` at a time: arrays grow by copying, so a long one is not grown whole."""
+    added = lambda xs, first: F.aggregate(xs, first, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+    none = F.array().cast("array<int>")
+    runs = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda r: added(F.slice(xs, r * RUN + 1, F.lit(RUN)), none))
+    before = lambda sums: added(F.transform(sums, lambda s: F.get(s, F.size(s) - 1)), F.array(F.lit(0)))
+    joined = lambda sums: F.flatten(F.zip_with(sums, F.slice(before(sums), F.lit(1), F.size(sums)), lambda s, at: F.transform(s, lambda e: e + at)))
+    # The arrays are named by a transform over one of them, as what a lambda refers to is worked out anew each time.
+    return F.flatten(F.transform(F.array(sizes), lambda xs: F.when(F.size(xs) == 0, none).otherwise(
+        F.flatten(F.transform(F.array(runs(xs)), joined)))))
+
+
 def _located(text: Column, pattern: str, matches: Column) -> Column:
     """``matches`` with their positions: structs of start, end, text and the gaps on both sides."""
     gaps = F.split(text, pattern, -1)
     before, after = (F.slice(gaps, F.lit(n), F.size(matches)) for n in (1, 2))
-    pairs = F.zip_with(before, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(pairs, first, lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + p["size"]).alias("at"),
-        F.concat(acc["ends"], F.array(acc["at"] + p["gap"] + p["size"])).alias("ends")), lambda acc: acc["ends"])
+    ends = _running(F.zip_with(before, matches, lambda g, m: F.length(g) + F.length(m)))
     return F.transform(F.arrays_zip(matches.alias("m"), ends.alias("e"), before.alias("g"), after.alias("h")),
                        lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("m"),
                                           F.right(x["g"], F.lit(CONTEXT)).alias("left"), F.left(x["h"], F.lit(CONTEXT)).alias("right")))
@@ -126,24 +136,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         F.explode(F.array(F.concat_ws(" ", far, near, F.lit("_")), F.concat_ws(" ", near, F.lit("_"), after))).alias("pattern"))
 
 
-def discovered(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+def discovered(docs: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """``(row, added)``: per document, by ``row_key``, the spans that trusted patterns add.
 
     A pattern's trust is the sum of its instances' over one more than their number; it extracts only
     with ``support`` trusted instances or more. An instance's trust is one less the chance that all its
-    extracting patterns err. Edges are counted once per pattern and instance before they are joined.
+    extracting patterns err. Trust never shrinks; rounds go on until none grows by over ``GAIN``. Edges are
+    counted once per pattern and instance before they are joined.
     """
     seen = cut(occurrences(docs), "occurrences")
     edges = cut(seen.groupBy("kind", "pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("trust")), "edges")
-    state = edges
-    for _ in range(rounds):
+    state, gain = edges, 1.0
+    while gain > GAIN:
         patterns = state.groupBy("kind", "pattern").agg((F.sum("trust") / (F.count("*") + 1)).alias("confidence"),
                                                         F.sum((F.col("trust") >= trust).cast("int")).alias("trusted"))
         patterns = cut(patterns.filter(F.col("trusted") >= support).select("kind", "pattern", "confidence"), "patterns")
         doubt = F.exp(F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0)))))
         instances = (edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - doubt).alias("reached")))
-        state = cut(edges.join(instances, ["kind", "instance"], "left")
-                         .select("kind", "pattern", "instance", F.greatest("trust", F.coalesce("reached", F.lit(0.0))).alias("trust")), "edges")
+        known = state.join(instances, ["kind", "instance"], "left")
+        grown = F.greatest("trust", F.coalesce("reached", F.lit(0.0)))
+        state = cut(known.select("kind", "pattern", "instance", grown.alias("trust"), (grown - F.col("trust")).alias("gain")), "edges")
+        gain = state.agg(F.max("gain")).first()[0] or 0.0
     good = state.groupBy("kind", "instance").agg(F.max("trust").alias("trust")).filter(F.col("trust") >= trust).select("kind", "instance")
     new = seen.filter("NOT seed").join(patterns.filter(F.col("confidence") >= trust), ["kind", "pattern"]).join(good, ["kind", "instance"])
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
@@ -199,14 +212,15 @@ def _masked(text: Column, kind: str, pattern: str) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with a tag in place of every identifier; a null text stays null, other columns as they are.
 
-    Added spans are taken out first, where they were found, from the last to the first, so that the
-    positions before them still hold.
+    Added spans are those of ``find``. They are taken out first, where they were found, from the last to the
+    first, so that the positions before them still hold.
     """
-    row, found = unused(docs, "row"), unused(docs, "found")
+    row, found, base, searched = (unused(docs, name) for name in ("row", "found", "base", "searched"))
     keyed = docs.withColumn(row, row_key(docs["doc_id"], text_or_empty(docs)))
     joined = keyed.join(discovered(docs).select(F.col("row").alias(row), F.col("added").alias(found)), row, "left")
     tags = F.array(*[F.lit(TAGS[k]) for k in KINDS])
-    by_place = F.array_sort(F.transform(_apart(F.col(found), F.array().cast(SPAN)),
+    joined = base_spans(joined.withColumn(searched, F.when(F.col(found).isNotNull(), F.col("text"))), searched, base)
+    by_place = F.array_sort(F.transform(_apart(F.col(found), F.col(base)),
                                         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     out = F.when(F.col(found).isNull(), F.col("text")).otherwise(
         F.aggregate(F.reverse(by_place), F.col("text"), lambda acc, s: F.concat(
