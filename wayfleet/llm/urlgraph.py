@@ -22,7 +22,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DAMPING, ROUNDS = 0.85, 8    # rounds after which the change is looked at, again and again
 TOLERANCE = 1e-6             # change of all hosts together in a round at which the scores are final
 THRESHOLD = 0.5 * (1 - DAMPING)   # what a host of its own keeps if half of its pages are blocked
-LINK = r"""(?i)\bhref\s{0,8}=\s{0,8}["']?(?:https?:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?i)\bhref\s*+=\s*+["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
 def lower_ascii(text: Column) -> Column:
