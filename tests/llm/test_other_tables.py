@@ -202,7 +202,7 @@ def linked():
     link = lambda *hosts: " ".join(f'<a HREF = "//{h}/x">' if n % 2 else f"<a href='https://{h}'>" for n, h in enumerate(hosts))
     return [("http://Good.example.net/en/1", link("a.example.com", "b.example.com", "b.example.com")), ("https://bad.net/x", link("a.example.com")),
             ("http://c.example.com/en/", link("BAD.net", "bad.net", "d.example.com")), ("http://d.example.com", link("c.example.com", "d.example.com")),
-            ("http://a.example.com/de/1", None), ("http://a.example.com/en", "<a href='/local'>"), ("http://b.example.com?x#y", ""), ("http://xnet/a", ""),
+            ("http://a.example.com/de/1", None), ("http://a.example.com/en", "<a href='/local'>"), ("http://b.example.com?x#y", ""), ("http://xnet/a", ""), ("http://wide.example.com/", "<a href          =\n\t            'http://b.net/'>"),
             ("http://net", ""), ("http://net/", ""), ("http://org/fr/a?b", ""), ("http://org/fr", ""), ("no scheme", link("bad.net")), (None, link("a.example.com")),
             ("://x.net/a", ""), ("http://x.net#/", ""), ("a://b://c.net/x", ""), ("http://e.example.com/é", ""), ("http://e.example.com/é", "")]
 
