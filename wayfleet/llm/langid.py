@@ -34,7 +34,7 @@ ROUNDS = 3
 SHORT = 24            # letters up to which the product of a word's piece probabilities is a normal number
 FLOOR = 1e-6          # probability of a letter that is no piece, in every language
 SMOOTH = 0.05         # added to each expected count
-MEMO_TOKENS = 1 << 19 # tokens whose scores a worker remembers
+MEMO_TOKENS = 1 << 17 # tokens whose scores a worker remembers, also while it works on other stages
 CHUNK = 1 << 21       # characters of text that are scored at a time
 LOCAL_TOKENS = 1 << 20  # tokens that a task counts before it hands on its counts
 SLOTS = 20            # bits of a hash that say whether any piece may have it
