@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, lookup_join, prefix_sums, require
+from wayfleet.operators.scale import (SLICE_SECONDS, Hot, by_size, cut, drop_halo, hot_groups, hot_sizes, lookup_join, may_broadcast,
+                                      prefix_sums, require)
 from wayfleet.operators.trips import ORDER, TRIP, numbered
 
 # The results depend on these defaults.
@@ -78,18 +79,24 @@ def training_sequences(df: DataFrame, n: int = SEQUENCE_LENGTH, features: Sequen
                        rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Rows i … i+n-1 of a group as one flat feature list, with row i+n's ``target``."""
     require(df, *by, *ORDER, target)
-    blocks = with_row_halo(numbered(clean_features(df, features), by, slice_seconds), n, rows_per_slice)
-    before = Window.partitionBy(*by, "_block").orderBy("pos").rowsBetween(-n, -1)
-    seq = blocks.withColumn("_s", F.collect_list(F.array(*features)).over(before))
-    return (drop_halo(seq.filter(F.size("_s") == n)).withColumn("sequence", F.flatten("_s"))
-            .withColumnRenamed(target, "target").drop("_s", "_block", "pos"))
+    df = clean_features(df, features)
+    hot = hot_groups(df, by)
+
+    def looking_back(rows: DataFrame, *block: str) -> DataFrame:
+        before = Window.partitionBy(*by, *block).orderBy("pos").rowsBetween(-n, -1)
+        return rows.withColumn("_s", F.collect_list(F.array(*features)).over(before)).filter(F.size("_s") == n)
+
+    seq = by_size(numbered(df, by, slice_seconds, hot), by, looking_back,
+                  lambda rows: drop_halo(looking_back(with_row_halo(rows, n, rows_per_slice), "_block")).drop("_block"), hot)
+    return seq.withColumn("sequence", F.flatten("_s")).withColumnRenamed(target, "target").drop("_s", "pos")
 
 
 def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Sequence[str] = TRIP) -> DataFrame:
     """Add ``is_test``: whole trips, in hash order, until they hold at least ``floor(ratio * rows)`` rows.
 
-    At least one trip is in the test part. The running size over all trips is taken within 4096 hash
-    ranges on top of the sizes of the earlier ranges.
+    At least one trip is in the test part. The running size over many trips is taken within 4096 hash
+    ranges on top of the sizes of the earlier ranges. What was chosen goes back to the rows by a shuffle on the
+    trip, salted for hot trips only, unless there are few trips.
     """
     if not 0 <= test_ratio <= 1:
         raise ValueError("test_ratio must be between 0 and 1")
@@ -99,8 +106,12 @@ def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Se
     total = sizes.groupBy("_all").agg(F.floor(F.sum("_n") * F.lit(test_ratio)).alias("_target"))
     running = prefix_sums(sizes, ["_all"], "_range", ["_hash", *by], {"_upto": F.col("_n")}).join(F.broadcast(total), "_all")
     before = F.col("_upto") - F.col("_n")
-    chosen = running.select(*by, ((before < F.col("_target")) | (before == 0)).alias("is_test"))
-    return lookup_join(df, chosen, by, "inner")
+    chosen = cut(running.select(*by, ((before < F.col("_target")) | (before == 0)).alias("is_test")), "chosen")
+    if may_broadcast(chosen):
+        return lookup_join(df, chosen, by, "inner", small=True)
+    hot = hot_sizes(sizes, by)
+    return by_size(df, by, lambda rows: rows.join(chosen.hint("merge"), list(by)),
+                   lambda rows: lookup_join(rows, hot.join(chosen, by, "left_semi"), by, "inner", small=False), hot)
 
 
 def scaler(sequences: DataFrame, n_features: int) -> DataFrame:
@@ -164,40 +175,55 @@ def one_step_forecast(values: np.ndarray, p: int, d: int, q: int) -> float | Non
     return forecast + float(back) + (0.0 if d else float(first))
 
 
+def recent_values(df: DataFrame, value: str = "speed_kmh", history: int = HISTORY) -> DataFrame:
+    """``(vehicle_id, values)``: at most the last ``history`` values of each vehicle in time order, NULL counting as 0."""
+    rows = last_rows(df, history).select("vehicle_id", "_rank", F.coalesce(value, F.lit(0.0)).alias("value"))
+    ordered = F.sort_array(F.collect_list(F.struct(-F.col("_rank"), "value")))
+    return rows.groupBy("vehicle_id").agg(F.transform(ordered, lambda r: r["value"]).alias("values"))
+
+
+def regression_forecasts(series: DataFrame, order: tuple[int, int, int]) -> DataFrame:
+    """``(vehicle_id, forecast)`` by ``one_step_forecast`` for every row with an array of ``values``."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [one_step_forecast(np.asarray(v, float), *order) for v in batch["values"]]
+            yield pd.DataFrame({"vehicle_id": batch["vehicle_id"], "forecast": pd.Series(made, dtype=object)})
+
+    key = series.schema["vehicle_id"].dataType.simpleString()
+    return series.select("vehicle_id", "values").mapInPandas(work, f"vehicle_id {key}, forecast double")
+
+
 def forecast_speed(df: DataFrame, p: int = 3, d: int = 0, q: int = 2) -> DataFrame:
     """Next speed per vehicle from at most its last 200 values (NULL counts as 0), never below 0.
 
     Vehicles with fewer than five rows are left out; the speed is NULL where the order needs more rows
-    than there are. A group has at most 200 rows.
+    than there are. A vehicle is one row of at most 200 values.
     """
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < MIN_FORECAST_ROWS:
-            return rows[["vehicle_id", "speed_kmh"]].iloc[:0]
-        y = rows.sort_values("_rank", ascending=False)["speed_kmh"].fillna(0.0).to_numpy(dtype=float)
-        made = one_step_forecast(y, p, d, q)
-        return pd.DataFrame({"vehicle_id": [rows["vehicle_id"].iloc[0]],
-                             "speed_kmh": pd.Series([None if made is None else max(0.0, made)], dtype=float)})
-
-    rows = last_rows(df, HISTORY).select("vehicle_id", "speed_kmh", "_rank")
-    speeds = rows.groupBy("vehicle_id").applyInPandas(fit, "vehicle_id string, speed_kmh double")
+    series = recent_values(df).filter(F.size("values") >= MIN_FORECAST_ROWS)
+    made = regression_forecasts(series, (p, d, q))
+    speeds = made.select("vehicle_id", F.when(F.col("forecast").isNotNull(), F.greatest(F.lit(0.0), "forecast")).alias("speed_kmh"))
     return speeds.join(next_timestamp(df).select("vehicle_id", "next_us"), "vehicle_id")
 
 
-def numbered_values(df: DataFrame, value: str, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Known values of each trip with their position."""
+def numbered_values(df: DataFrame, value: str, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, Hot]:
+    """Known values of each trip with their position; and the hot trips, for which the rows are stored."""
     known = df.filter(F.col(value).isNotNull()).select(*by, *ORDER, F.col(value).alias("y"))
-    return numbered(known, by, slice_seconds)
+    hot = hot_groups(known, by)
+    placed = numbered(known, by, slice_seconds, hot)
+    return (placed if hot.keys is None else cut(placed, "numbered")), hot
+
 
+def _with_lags(df: DataFrame, by: Sequence[str], columns: dict[str, int], rows_per_slice: int, hot: Hot) -> DataFrame:
+    """Add ``<column>_1 … <column>_n``, and the ``_block`` of each row of a hot trip."""
+    def lagged(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by, "_block").orderBy("pos")
+        return drop_halo(rows.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for c, n in columns.items() for k in range(1, n + 1)}))
 
-def _with_lags(df: DataFrame, by: Sequence[str], columns: dict[str, int], rows_per_slice: int) -> DataFrame:
-    """Add ``<column>_1 … <column>_n``."""
-    blocks = with_row_halo(df, max(columns.values()), rows_per_slice)
-    w = Window.partitionBy(*by, "_block").orderBy("pos")
-    lags = {f"{c}_{k}": F.lag(c, k).over(w) for c, n in columns.items() for k in range(1, n + 1)}
-    return drop_halo(blocks.withColumns(lags))
+    return by_size(df, by, lambda rows: lagged(rows.withColumns({"_block": F.lit(0).cast("long"), "_home": F.lit(True)})),
+                   lambda rows: lagged(with_row_halo(rows, max(columns.values()), rows_per_slice)), hot)
 
 
-def _expanding_moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
+def _expanding_moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, hot: Hot) -> DataFrame:
     """``_xtx`` and ``_xty``: sums of products over the trip's earlier complete rows."""
     usable = F.lit(True)
     for c in [*xs, y]:
@@ -213,7 +239,7 @@ def _expanding_moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: s
             right = F.lit(1.0) if b == "_one" else F.col(b)
             cell[(i, j)] = f"_s_{len(cell)}"
             terms[cell[(i, j)]] = F.when(usable, left * right).otherwise(0.0)
-    summed = prefix_sums(df, by, "_block", ["pos"], terms)
+    summed = prefix_sums(df, by, "_block", ["pos"], terms, hot)
     upto = lambda i, j: F.col(cell[(min(i, j), max(i, j))]) - terms[cell[(min(i, j), max(i, j))]]
     k = len(names)
     return summed.withColumns({
@@ -239,10 +265,10 @@ def _predictions(choices: Sequence[Sequence[int]], k: int):
     return solve
 
 
-def _order_forecasts(base: DataFrame, order: tuple[int, int, int], min_len: int, by: list[str], rows_per_slice: int) -> DataFrame:
+def _order_forecasts(base: DataFrame, order: tuple[int, int, int], min_len: int, by: list[str], rows_per_slice: int, hot: Hot) -> DataFrame:
     """Forecasts of one order from ``base`` (position and value), fitted on all earlier rows that have this order's lags."""
     p, d, q = order
-    lagged = lambda df, columns: _with_lags(df, by, columns, rows_per_slice)
+    lagged = lambda df, columns: _with_lags(df, by, columns, rows_per_slice, hot)
     rows = lagged(base, {"value": d}).drop("_block") if d else base
     past = list(enumerate(difference_weights(d)))[1:]
     z = sum((F.col(f"value_{k}") * w for k, w in past), F.col("value"))
@@ -252,11 +278,11 @@ def _order_forecasts(base: DataFrame, order: tuple[int, int, int], min_len: int,
     if q:
         long = max(p, q) + 2
         xs = [f"z_{k}" for k in range(1, long + 1)]
-        fitted = _expanding_moments(lagged(rows, {"z": long}), by, xs, "z").withColumn(
+        fitted = _expanding_moments(lagged(rows, {"z": long}), by, xs, "z", hot).withColumn(
             "_p", _predictions([list(range(long + 1))], long + 1)("_xtx", "_xty", F.array(F.lit(1.0), *xs)))
         rows = cut(fitted.select(*kept, (F.col("z") - F.col("_p")[0]).alias("e")), "shocks")
     xs = [f"z_{k}" for k in range(1, p + 1)] + [f"e_{k}" for k in range(1, q + 1)]
-    solved = _expanding_moments(lagged(rows, {c: n for c, n in (("z", p), ("e", q)) if n}), by, xs, "z").withColumn(
+    solved = _expanding_moments(lagged(rows, {c: n for c, n in (("z", p), ("e", q)) if n}), by, xs, "z", hot).withColumn(
         "_p", _predictions([list(range(len(xs) + 1))], len(xs) + 1)("_xtx", "_xty", F.array(F.lit(1.0), *xs)))
     return solved.filter(F.col("pos") >= min_len).select(
         *by, *ORDER, "pos", (F.col("value") + F.col("first")).alias("actual"), F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"),
@@ -274,11 +300,12 @@ def expanding_forecasts(df: DataFrame, orders: Sequence[tuple[int, int, int]], m
     values counted from the trip's first, so that large ones do not cancel.
     """
     by = list(by)
-    numbered = cut(numbered_values(df, value, by, slice_seconds), "numbered")
-    first = numbered.filter("pos = 0").select(*by, F.col("y").alias("first"))
-    centred = lookup_join(numbered, first, by).withColumn("value", F.col("y") - F.col("first"))
+    numbered, hot = numbered_values(df, value, by, slice_seconds)
+    first = lambda rows: rows.filter("pos = 0").select(*by, F.col("y").alias("first"))
+    centred = by_size(numbered, by, lambda rows: rows.withColumn("first", F.first("y").over(Window.partitionBy(*by).orderBy("pos"))),
+                      lambda rows: lookup_join(rows, first(rows), by), hot).withColumn("value", F.col("y") - F.col("first"))
     base = cut(centred.select(*by, *ORDER, "pos", "value", "first"), "centred")
-    made = [_order_forecasts(base, tuple(o), min_len, by, rows_per_slice) for o in orders]
+    made = [_order_forecasts(base, tuple(o), min_len, by, rows_per_slice, hot) for o in orders]
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
@@ -292,11 +319,12 @@ def expanding_ar1(df: DataFrame, min_len: int, value: str = "speed_kmh", by: Seq
     Where the earlier values do not vary, the slope is 0 and the forecast their mean.
     """
     by = list(by)
-    rows = _with_lags(cut(numbered_values(df, value, by, slice_seconds), "numbered"), by, {"y": 1}, rows_per_slice)
+    numbered, hot = numbered_values(df, value, by, slice_seconds)
+    rows = _with_lags(numbered, by, {"y": 1}, rows_per_slice, hot)
     x, y, pair = F.col("y_1"), F.col("y"), F.col("y_1").isNotNull()
     part = {"n": F.when(pair, 1.0), "sx": x, "sy": F.when(pair, y), "sxx": x * x, "sxy": x * y}
     part = {k: F.coalesce(v, F.lit(0.0)) for k, v in part.items()}
-    s = prefix_sums(rows, by, "_block", ["pos"], {f"_{k}": v for k, v in part.items()})
+    s = prefix_sums(rows, by, "_block", ["pos"], {f"_{k}": v for k, v in part.items()}, hot)
     s = s.withColumns({f"_{k}": F.col(f"_{k}") - v for k, v in part.items()})
     spread = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
     varies = spread > 1e-6 * F.col("_n") * F.col("_n")

@@ -1,10 +1,11 @@
 """Shared tools that keep the operators safe on large and skewed inputs.
 
-A vehicle, trip or stop may hold a large share of all rows, so nothing here sorts a whole group in
-one task. Time-ordered work is cut into slices, ``(group, slice)`` being the shuffle key, and what
-must cross a slice border travels either as copied border rows (``with_halo``, when the reach is
+A vehicle, trip or stop may hold a large share of all rows, so no group of more than ``HOT_ROWS`` rows
+is sorted in one task. Its time-ordered work is cut into slices, ``(group, slice)`` being the shuffle key,
+and what must cross a slice border travels either as copied border rows (``with_halo``, when the reach is
 bounded in time) or as one summary row per slice (``prefix_sums``, ``next_from_later`` and
-``previous_from_earlier``, when it is not).
+``previous_from_earlier``, when it is not). Groups up to that size, most often all of them, are counted
+first and handled whole: one shuffle, no copies, no summaries.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +26,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 RANGES = 128
 BLOCK_ROWS = 4096
+HOT_ROWS = 100_000        # a group of more rows is cut into slices
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -86,7 +89,8 @@ def lookup_join(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "
 
     The dimension is broadcast when its stored size allows it (``small`` carries a check that was
     already made). Otherwise both sides shuffle on the key plus a salt, so one hot key, or the rows
-    without any key, spread over many tasks.
+    without any key, spread over many tasks. The hint keeps Spark from broadcasting the salted copies, whose
+    number its statistics don't know: they would pass through the driver.
     """
     if small is None:
         dim = cut(dim, "dim")
@@ -94,7 +98,41 @@ def lookup_join(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "
     if small:
         return df.join(F.broadcast(dim), list(keys), how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", _salt(df)).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return df.withColumn("_salt", _salt(df)).join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+@dataclass(frozen=True)
+class Hot:
+    """``keys`` of the groups with more than ``HOT_ROWS`` rows, None if there are none."""
+
+    keys: DataFrame | None = None
+
+    def join(self, df: DataFrame, group: Sequence[str], how: str) -> DataFrame:
+        """``df`` with the keys, of which there are at most one per ``HOT_ROWS`` rows; null keys are equal."""
+        keys, same = self.keys.withColumnsRenamed({c: f"_h_{c}" for c in group}), F.lit(True)
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+        return df.join(F.broadcast(keys), same, how)
+
+
+def hot_groups(df: DataFrame, group: Sequence[str], folder: str | None = None) -> Hot:
+    """Counts the rows per group, on the map side first; ``folder`` as for ``cut``."""
+    return hot_sizes(df.groupBy(*group).agg(F.count("*").alias("_n")), group, folder)
+
+
+def hot_sizes(sizes: DataFrame, group: Sequence[str], folder: str | None = None) -> Hot:
+    """The same from groups that were counted, ``_n`` rows each."""
+    keys = cut(sizes.filter(F.col("_n") > HOT_ROWS).select(*group), "hot", folder)
+    return Hot(None if keys.isEmpty() else keys)
+
+
+def by_size(df: DataFrame, group: Sequence[str], whole: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame],
+            hot: Hot | None = None) -> DataFrame:
+    """``sliced(rows)`` of the hot groups and ``whole(rows)`` of the others; without ``hot`` they are counted."""
+    hot = hot or hot_groups(df, group)
+    if hot.keys is None:
+        return whole(df)
+    return whole(hot.join(df, group, "left_anti")).unionByName(sliced(hot.join(df, group, "left_semi")))
 
 
 def time_slice(seconds: int = SLICE_SECONDS, us: str = "t_us") -> Column:
@@ -113,16 +151,36 @@ def with_halo(df: DataFrame, before: float, after: float, seconds: int = SLICE_S
               .withColumn("_home", F.col("_slice") == time_slice(seconds)))
 
 
+def with_halo_if_hot(df: DataFrame, before: float, after: float, seconds: int, group: Sequence[str], hot: Hot) -> DataFrame:
+    """As ``with_halo`` for the rows of hot groups; every other group is one slice, without copies."""
+    df = df.filter(F.col("t_us").isNotNull())
+    if hot.keys is None:
+        return df.withColumns({"_slice": F.lit(0).cast("long"), "_home": F.lit(True)})
+    return with_halo(hot.join(df, group, "left_semi"), before, after, seconds).unionByName(
+        hot.join(df, group, "left_anti").withColumns({"_slice": F.lit(0).cast("long"), "_home": F.lit(True)}))
+
+
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter("_home").drop("_home")
 
 
 def prefix_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[str],
-                sums: dict[str, Column]) -> DataFrame:
+                sums: dict[str, Column], hot: Hot | None = None) -> DataFrame:
     """Running sums (current row included) over ``group`` in ``(slice_col, *order)`` order.
 
-    Only one row per slice is ever sorted per group; the rows themselves are sorted per slice.
+    Of a hot group only one row per slice is ever sorted; the rows themselves are sorted per slice. Rows
+    without a group or a slice are left out.
     """
+    return by_size(df, group, lambda rows: _whole_sums(rows, group, slice_col, order, sums),
+                   lambda rows: _sliced_sums(rows, group, slice_col, order, sums), hot)
+
+
+def _whole_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    upto = Window.partitionBy(*group).orderBy(slice_col, *order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.dropna(subset=[*group, slice_col]).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in sums.items()})
+
+
+def _sliced_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     totals = df.groupBy(*group, slice_col).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
     earlier = Window.partitionBy(*group).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, slice_col, *[

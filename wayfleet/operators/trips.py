@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from wayfleet.functions.clock import micros
 from wayfleet.functions.geo import haversine_km, kmh
-from wayfleet.operators.scale import (BLOCK_ROWS, SLICE_SECONDS, drop_halo, over_slices, prefix_sums, require, row_blocks,
-                                      time_slice, with_halo)
+from wayfleet.operators.scale import (BLOCK_ROWS, SLICE_SECONDS, Hot, drop_halo, hot_groups, over_slices, prefix_sums, require,
+                                      row_blocks, time_slice, with_halo_if_hot)
 
 TRIP = ("vehicle_id", "segment_no")
 ORDER = ("t_us", "ping_id")
@@ -52,9 +52,9 @@ def starts_trip(by: Sequence[str], max_gap: float, dist_col: str | None = None,
     return starts
 
 
-def number_trips(df: DataFrame, slice_col: str = "_slice") -> DataFrame:
+def number_trips(df: DataFrame, slice_col: str = "_slice", hot: Hot | None = None) -> DataFrame:
     """``segment_no`` from the ``_starts`` flags: counts 1, 2, … per vehicle."""
-    return prefix_sums(df, ["vehicle_id"], slice_col, ORDER, {"segment_no": F.col("_starts").cast("long")})
+    return prefix_sums(df, ["vehicle_id"], slice_col, ORDER, {"segment_no": F.col("_starts").cast("long")}, hot)
 
 
 def segment_trips(pings: DataFrame, max_gap: float = 15.0, dist_col: str | None = None,
@@ -65,9 +65,10 @@ def segment_trips(pings: DataFrame, max_gap: float = 15.0, dist_col: str | None
     only needs ``max_gap`` seconds of rows from before its start.
     """
     require(pings, "vehicle_id", *ORDER, *([dist_col] if dist_col else []))
-    df = with_halo(pings, max_gap, 0, slice_seconds)
+    hot = hot_groups(pings, ["vehicle_id"])
+    df = with_halo_if_hot(pings, max_gap, 0, slice_seconds, ["vehicle_id"], hot)
     df = drop_halo(df.withColumn("_starts", starts_trip(["vehicle_id", "_slice"], max_gap, dist_col, max_dist)))
-    return number_trips(df).drop("_slice", "_starts")
+    return number_trips(df, hot=hot).drop("_slice", "_starts")
 
 
 def filter_short(df: DataFrame, min_len: int, by: Sequence[str] = TRIP) -> DataFrame:
@@ -133,10 +134,10 @@ def cumulative_distance(df: DataFrame, slice_seconds: int = SLICE_SECONDS) -> Da
     return prefix_sums(sliced, TRIP, "_slice", ORDER, {"trip_km": F.coalesce("distance_km", F.lit(0.0))}).drop("_slice")
 
 
-def numbered(df: DataFrame, by: Sequence[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], slice_seconds: int = SLICE_SECONDS, hot: Hot | None = None) -> DataFrame:
     """Rows of each group with their position ``pos`` 0, 1, 2, … in time order."""
     sliced = df.withColumn("_slice", time_slice(slice_seconds))
-    return prefix_sums(sliced, by, "_slice", ORDER, {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1).drop("_slice")
+    return prefix_sums(sliced, by, "_slice", ORDER, {"pos": F.lit(1)}, hot).withColumn("pos", F.col("pos") - 1).drop("_slice")
 
 
 def distinct_polylines(df: DataFrame) -> DataFrame:
