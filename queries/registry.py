@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries import fixture as fx
-from wayfleet.operators.scale import cut
+from wayfleet.operators.scale import cut, hot_groups
 from wayfleet.plans import enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,10 @@ def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     l2 uses the trip defaults; l2s, l3 and l4 the stop defaults; live keeps one-row trips.
     """
+    def live(matched, net):
+        hot = hot_groups(matched, ["vehicle_id"])
+        return enrich.find_stops(enrich.segment(matched, net, min_len=1, slice_seconds=SLICE, hot=hot), net, 15.0, slice_seconds=SLICE, hot=hot)
+
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stages:
         net = fx.network(spark, sf_dir)
@@ -52,8 +56,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "l2s": lambda: enrich.segment(get("l1"), net, 30.0, 0.005, slice_seconds=SLICE),
             "l3": lambda: enrich.find_stops(get("l2s"), net, slice_seconds=SLICE),
             "l4": lambda: enrich.add_eta(get("l3"), SLICE),
-            "live": lambda: enrich.find_stops(enrich.segment(get("l1"), net, min_len=1, slice_seconds=SLICE), net, 15.0,
-                                              slice_seconds=SLICE),
+            "live": lambda: live(get("l1"), net),
         }[name]
         _stages[key] = cut(make(), name)
     return _stages[key]

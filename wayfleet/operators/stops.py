@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, lookup_join, next_from_later, over_slices, require, time_slice
+from wayfleet.operators.scale import SLICE_SECONDS, by_size, lookup_join, next_from_later, over_slices, require, time_slice
 from wayfleet.operators.trips import BY_BLOCK, ORDER, TRIP, in_blocks
 from wayfleet.sources.network import Network
 
@@ -46,30 +46,61 @@ def repair_missed_stops(df: DataFrame, network: Network, by: Sequence[str] | Non
 def trim_after_last_stop(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Keep each trip up to and including its last stop; trips without a stop go."""
     require(df, *by, *ORDER, "stop_name")
-    at, sliced = F.struct(*ORDER), df.withColumn("_slice", time_slice(slice_seconds))
-    last = over_slices(sliced, by, "_slice", "_last", F.max(F.when(F.col("stop_name").isNotNull(), at)), F.max)
-    return sliced.join(last, [*by, "_slice"]).filter(at <= F.col("_last")).drop("_last", "_slice")
+    at = F.struct(*ORDER)
+    last_stop = F.max(F.when(F.col("stop_name").isNotNull(), at))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.dropna(subset=[*by, "t_us"]).withColumn("_last", last_stop.over(Window.partitionBy(*by)))
+
+    def slices(rows: DataFrame) -> DataFrame:
+        sliced = rows.withColumn("_slice", time_slice(slice_seconds))
+        return sliced.join(over_slices(sliced, by, "_slice", "_last", last_stop, F.max), [*by, "_slice"]).drop("_slice")
+
+    return by_size(df, by, whole, slices).filter(at <= F.col("_last")).drop("_last")
 
 
 def eta_to_next_stop(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """``eta_seconds`` to the first stop row strictly later in the trip; NULL if there is none."""
     require(df, *by, "t_us", "stop_name")
-    sliced = df.withColumn("_slice", time_slice(slice_seconds))
     stop_at = F.when(F.col("stop_name").isNotNull(), F.col("t_us"))
-    inside = (Window.partitionBy(*by, "_slice").orderBy(F.col("t_us").desc())
-              .rangeBetween(Window.unboundedPreceding, -1))
-    beyond = next_from_later(sliced, by, "_slice", F.min(stop_at), "_beyond")
-    joined = sliced.withColumn("_inside", F.min(stop_at).over(inside)).join(beyond, [*by, "_slice"])
-    return joined.withColumn("eta_seconds", (F.coalesce("_inside", "_beyond") - F.col("t_us")) / F.lit(1e6)).drop(
-        "_slice", "_inside", "_beyond")
+    seconds = lambda next_us: (next_us - F.col("t_us")) / F.lit(1e6)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.dropna(subset=[*by, "t_us"]).withColumn("eta_seconds", seconds(F.min(stop_at).over(_after(by))))
+
+    def slices(rows: DataFrame) -> DataFrame:
+        sliced = rows.withColumn("_slice", time_slice(slice_seconds))
+        beyond = next_from_later(sliced, by, "_slice", F.min(stop_at), "_beyond")
+        joined = sliced.withColumn("_inside", F.min(stop_at).over(_after([*by, "_slice"]))).join(beyond, [*by, "_slice"])
+        return joined.withColumn("eta_seconds", seconds(F.coalesce("_inside", "_beyond"))).drop("_slice", "_inside", "_beyond")
+
+    return by_size(df, by, whole, slices)
+
+
+def _after(by: Sequence[str]) -> WindowSpec:
+    """The rows strictly later than each."""
+    return Window.partitionBy(*by).orderBy(F.col("t_us").desc()).rangeBetween(Window.unboundedPreceding, -1)
 
 
 def trim_and_eta(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """``eta_to_next_stop`` of ``trim_after_last_stop`` from one summary per slice and one join.
+    """``eta_to_next_stop`` of ``trim_after_last_stop``, a hot trip's from one summary per slice and one join.
 
     What is trimmed comes after the last stop, so the next stops are the same before and after.
     """
     require(df, *by, *ORDER, "stop_name")
+    at, stop = F.struct(*ORDER), F.col("stop_name").isNotNull()
+
+    def whole(rows: DataFrame) -> DataFrame:
+        trip = Window.partitionBy(*by)
+        next_us = F.min(F.when(stop, F.col("t_us"))).over(_after(by))
+        timed = rows.dropna(subset=[*by, "t_us"]).withColumns({
+            "_last": F.max(F.when(stop, at)).over(trip), "eta_seconds": (next_us - F.col("t_us")) / F.lit(1e6)})
+        return timed.filter(at <= F.col("_last")).drop("_last")
+
+    return by_size(df, by, whole, lambda rows: _trim_slices(rows, by, slice_seconds))
+
+
+def _trim_slices(df: DataFrame, by: Sequence[str], slice_seconds: int) -> DataFrame:
     at, sliced = F.struct(*ORDER), df.withColumn("_slice", time_slice(slice_seconds))
     stop = F.col("stop_name").isNotNull()
     per_slice = sliced.groupBy(*by, "_slice").agg(F.max(F.when(stop, at)).alias("_stop"), F.min(F.when(stop, F.col("t_us"))).alias("_stop_us"))
@@ -78,8 +109,7 @@ def trim_and_eta(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = S
     summary = per_slice.select(*by, "_slice", F.max("_stop").over(trip).alias("_last"),
                                F.last("_stop_us", ignorenulls=True).over(later).alias("_beyond")).filter("_last IS NOT NULL")
     kept = sliced.join(summary, [*by, "_slice"]).filter(at <= F.col("_last"))
-    inside = Window.partitionBy(*by, "_slice").orderBy(F.col("t_us").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    next_us = F.coalesce(F.min(F.when(stop, F.col("t_us"))).over(inside), F.col("_beyond"))
+    next_us = F.coalesce(F.min(F.when(stop, F.col("t_us"))).over(_after([*by, "_slice"])), F.col("_beyond"))
     return kept.withColumn("eta_seconds", (next_us - F.col("t_us")) / F.lit(1e6)).drop("_slice", "_last", "_beyond")
 
 

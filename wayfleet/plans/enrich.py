@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfleet.functions.clock import EPOCH_2025_US
 from wayfleet.operators import matching, stops, trips
-from wayfleet.operators.scale import SLICE_SECONDS, cut, drop_halo, with_halo
+from wayfleet.operators.scale import SLICE_SECONDS, Hot, cut, drop_halo, hot_groups, with_halo, with_halo_if_hot
 from wayfleet.sources.network import Network
 
 # The results depend on these defaults.
@@ -30,22 +30,19 @@ def preprocess(pings: DataFrame, network: Network, threshold: float = matching.A
 
 
 def segment(matched: DataFrame, network: Network, max_gap: float = TRIP_GAP_SECONDS, max_dist: float = TRIP_DIST_KM,
-            min_len: int = MIN_TRIP_ROWS, window: int = VOTE_WINDOW, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+            min_len: int = MIN_TRIP_ROWS, window: int = VOTE_WINDOW, slice_seconds: int = SLICE_SECONDS,
+            hot: Hot | None = None) -> DataFrame:
     """Trips, voted routes, refined matches, distance and speed; short trips dropped.
 
     Rows of a trip are at most ``max_gap`` apart, so ``n`` rows of context lie within ``n * max_gap``
-    seconds. One shuffle on (vehicle, slice) with that much halo serves the boundary flags, the vote,
-    the refinement, the steps and the length filter; trip numbers then take one row per slice.
+    seconds. One shuffle on (vehicle, slice), hot vehicles with that much halo, serves the boundary flags, the
+    vote, the refinement, the steps and the length filter; a hot vehicle's trip numbers then take one row per slice.
     """
     reach = max(window, min_len)
+    hot = hot or hot_groups(matched, ["vehicle_id"])
     starts = trips.starts_trip(BY_SLICE, max_gap, "dist_to_route", max_dist)
-    lean = with_halo(matched.select("vehicle_id", *trips.ORDER, "dist_to_route"), max_gap, 0, slice_seconds)
-    per_slice = (drop_halo(lean.withColumn("_starts", starts)).groupBy(*BY_SLICE)
-                 .agg(F.sum(F.col("_starts").cast("long")).alias("_n")))
-    earlier = Window.partitionBy("vehicle_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_slice.select(*BY_SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-
-    df = with_halo(matched, (reach + 2) * max_gap, (reach + 1) * max_gap, slice_seconds).withColumn("_starts", starts)
+    df = with_halo_if_hot(matched.filter("vehicle_id IS NOT NULL"), (reach + 2) * max_gap, (reach + 1) * max_gap, slice_seconds,
+                          ["vehicle_id"], hot).withColumn("_starts", starts)
     upto = Window.partitionBy(*BY_SLICE).orderBy(*trips.ORDER).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"_trip": F.sum(F.col("_starts").cast("long")).over(upto),
                          "_own": F.sum((F.col("_starts") & F.col("_home")).cast("long")).over(upto)})
@@ -53,23 +50,31 @@ def segment(matched: DataFrame, network: Network, max_gap: float = TRIP_GAP_SECO
     df = matching.match_target_polyline(df, network)
     df = trips.speed(trips.distance_delta(df, BY_TRIP), BY_TRIP)
     df = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*BY_TRIP)))
-    df = drop_halo(df).filter(F.col("_rows") >= min_len).join(before, list(BY_SLICE))
-    return df.withColumn("segment_no", F.col("_before") + F.col("_own")).drop(
-        "_slice", "_starts", "_trip", "_own", "_rows", "_before")
+    df, own = drop_halo(df).filter(F.col("_rows") >= min_len), F.col("_own")
+    if hot.keys is not None:
+        lean = hot.join(matched.select("vehicle_id", *trips.ORDER, "dist_to_route"), ["vehicle_id"], "left_semi")
+        per_slice = (drop_halo(with_halo(lean, max_gap, 0, slice_seconds).withColumn("_starts", starts)).groupBy(*BY_SLICE)
+                     .agg(F.sum(F.col("_starts").cast("long")).alias("_n")))
+        earlier = Window.partitionBy("vehicle_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        before = per_slice.select(*BY_SLICE, F.sum("_n").over(earlier).alias("_before"))
+        df, own = df.join(before, list(BY_SLICE), "left"), F.coalesce("_before", F.lit(0)) + own
+    return df.withColumn("segment_no", own).drop("_slice", "_starts", "_trip", "_own", "_rows", "_before")
 
 
 def find_stops(trips_df: DataFrame, network: Network, max_gap: float = STOPS_GAP_SECONDS,
                threshold: float = matching.AT_STOP_KM, slice_seconds: int = SLICE_SECONDS,
-               rematch: bool = False) -> DataFrame:
+               rematch: bool = False, hot: Hot | None = None) -> DataFrame:
     """Stop names, progress along the polyline, missed stops repaired.
 
     A row that ``segment`` left without a polyline was ambiguous when it was matched, so matching it
-    again cannot place it; ``rematch`` is for rows whose match was lost on some other way.
+    again cannot place it; ``rematch`` is for rows whose match was lost on some other way. ``hot`` may name
+    the hot vehicles of a table that holds these rows.
     """
+    hot = hot or hot_groups(trips_df, ["vehicle_id"])
     df = matching.match_stop(trips_df, network, threshold)
-    df = matching.polyline_progress(df, network, rematch)
-    df = with_halo(df, max_gap, max_gap, slice_seconds)
-    return drop_halo(stops.repair_missed_stops(df, network, (*BY_SLICE, "segment_no"))).drop("_slice")
+    df = with_halo_if_hot(df, max_gap, max_gap, slice_seconds, ["vehicle_id"], hot)
+    df = drop_halo(stops.repair_missed_stops(df, network, (*BY_SLICE, "segment_no"))).drop("_slice")
+    return matching.polyline_progress(df, network, rematch)     # of single rows: it need not be shuffled
 
 
 def add_eta(stops_df: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -83,9 +88,10 @@ def segment_job(pings: DataFrame, network: Network, **options) -> DataFrame:
 
 def stops_job(pings: DataFrame, network: Network, max_gap: float = STOPS_GAP_SECONDS, max_dist: float = STOPS_DIST_KM,
               min_len: int = MIN_TRIP_ROWS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    trips_df = segment_job(pings, network, max_gap=max_gap, max_dist=max_dist, min_len=min_len,
-                           slice_seconds=slice_seconds)
-    return find_stops(trips_df, network, max_gap, slice_seconds=slice_seconds)
+    matched = cut(preprocess(pings, network), "matched")
+    hot = hot_groups(matched, ["vehicle_id"])
+    trips_df = segment(matched, network, max_gap, max_dist, min_len, slice_seconds=slice_seconds, hot=hot)
+    return find_stops(trips_df, network, max_gap, slice_seconds=slice_seconds, hot=hot)
 
 
 def eta_job(pings: DataFrame, network: Network, slice_seconds: int = SLICE_SECONDS, **options) -> DataFrame:

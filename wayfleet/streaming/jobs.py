@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wayfleet.functions.clock import CAMPUS_TZ, DAY_START_SECONDS
 from wayfleet.operators import forecast, matching, stops, upkeep
-from wayfleet.operators.scale import cut, lookup_join
+from wayfleet.operators.scale import cut, hot_groups, lookup_join
 from wayfleet.operators.trips import ping_frame
 from wayfleet.plans import enrich
 from wayfleet.sources.network import Network
@@ -129,7 +129,8 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
         known = tail.join(new.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
         rows = upkeep.merge_keep_last(known.drop("segment_no", "anchor"), new)
     rows = cut(rows, "rows", work)
-    done = enrich.segment(rows, network, max_gap, max_dist, enrich.LIVE_MIN_TRIP_ROWS)
+    hot = hot_groups(rows, ["vehicle_id"], work)
+    done = enrich.segment(rows, network, max_gap, max_dist, enrich.LIVE_MIN_TRIP_ROWS, hot=hot)
     if tail is not None:
         key = ["vehicle_id", "t_us", "ping_id"]
         anchors = known.filter("anchor").select(*key, F.col("segment_no").alias("_no"))
@@ -137,7 +138,7 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
             "vehicle_id", (F.col("_no") - F.col("segment_no")).alias("_base"))
         done = done.join(base, "vehicle_id", "left").withColumn(
             "segment_no", F.col("segment_no") + F.coalesce("_base", F.lit(0))).drop("_base")
-    done = cut(enrich.find_stops(done, network, max_gap), "done", work)
+    done = cut(enrich.find_stops(done, network, max_gap, hot=hot), "done", work)
     since = new.groupBy("vehicle_id").agg(F.min("t_us").alias("_since"))
     changed = done.join(since, "vehicle_id").filter(F.col("t_us") >= F.col("_since") - reach_us).drop("_since")
     horizon = rows.groupBy("vehicle_id").agg((F.max("t_us") - late_us - 2 * reach_us).alias("_from"))
