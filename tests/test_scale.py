@@ -86,3 +86,25 @@ def test_assignment_history_across_slices(spark):
                 last = (v, s, -1, d)
         want.append(last)
     assert got == sorted(want)
+
+
+def test_current_loops_are_looked_up_as_the_lists_are_read(spark):
+    rnd = random.Random(6)
+    lists = {"a": sorted(rnd.sample(range(1, 1440), 40)) + [0], "b": [1439], "c": [0], "d": [600, 300, 900]}
+    aggregated = spark.createDataFrame([(1, r, [(i, "", m, 1) for i, m in enumerate(ms)]) for r, ms in lists.items()],
+                                       "dow int, route string, times array<struct<order int, time string, minute int, n long>>")
+    nows = spark.createDataFrame([(r, 1704672000 + 60 * m) for r in [*lists, "x"] for m in range(0, 1440, 7)], "route string, s long")   # a Monday
+    got = schedule.current_loop(nows.withColumn("now", F.timestamp_seconds("s")), aggregated, tz="UTC")
+    for r in got.collect():
+        ms, m = lists.get(r.route), (r.s - 1704672000) // 60
+        at = None if ms is None else next((i for i, x in enumerate(ms) if x > m), len(ms)) - 1
+        assert (r.loop_idx, r.departure_minute) == (at, None if at is None or at < 0 else ms[at])
+    assert "transform(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scheduled_times_over_a_clock_change(spark):
+    loops = spark.createDataFrame([(1, "a", 1710053940, 60)], "id long, route string, s long, departure_minute int").withColumn("now", F.timestamp_seconds("s"))
+    stops = spark.createDataFrame([("a", i, f"S{i}", i * 45) for i in range(4)], "route string, stop_ord int, stop_name string, offset_min int")
+    got = schedule.scheduled_stop_times(loops, stops).orderBy("stop_ord")
+    # 10 March 2024 in New York: 1:00 and 1:45 in winter time, then 2:30, which there is not, and 3:15 in summer time.
+    assert [r.u for r in got.select(F.unix_seconds("stop_time").alias("u")).collect()] == [1710050400, 1710053100, 1710055800, 1710054900]

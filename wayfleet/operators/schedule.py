@@ -13,6 +13,8 @@ from wayfleet.operators.scale import SALTS, lookup_join, require
 from wayfleet.sources.feeds import pings_window
 from wayfleet.sources.network import Network
 
+MINUTES, MINUTE_US = 24 * 60, 60_000_000
+
 
 def aggregate_schedule(departures: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per weekday and route the sorted departures, 12:00 AM last.
@@ -28,19 +30,32 @@ def aggregate_schedule(departures: DataFrame, calendar: DataFrame) -> DataFrame:
     return per_minute.groupBy("dow", "route").agg(F.array_sort(F.collect_list(entry)).alias("times"))
 
 
+def loops_by_minute(aggregated: DataFrame) -> DataFrame:
+    """Per weekday and route ``_loops``, an entry per minute of the day: place and minute of the most recent departure then.
+
+    The list is gone through in its order up to the first later departure; from the last minute of the day back,
+    that is the least place seen so far.
+    """
+    key = ["dow", "route"]
+    places = aggregated.select(*key, F.posexplode("times").alias("_at", "_t")).select(*key, (F.col("_t.minute") - 1).cast("int").alias("_m"), F.col("_at"))
+    grid = aggregated.select(*key, F.explode(F.sequence(F.lit(0), F.lit(MINUTES - 1))).alias("_m"), F.lit(None).cast("int").alias("_at"))
+    back = Window.partitionBy(*key).orderBy(F.col("_m").desc())
+    later = (places.unionByName(grid).groupBy(*key, "_m").agg(F.min("_at").alias("_at"))
+             .withColumn("_later", F.min("_at").over(back)).filter(F.col("_m").between(0, MINUTES - 1)))
+    later = later.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_m", "_later"))).alias("_later"))
+    place = F.transform("_later", lambda e: F.coalesce(e["_later"], F.size("times")) - 1)
+    return aggregated.join(later, key).withColumn("_place", place).select(*key, F.expr(
+        "transform(_place, p -> struct(p AS loop_idx, CASE WHEN p >= 0 THEN get(times, p).minute END AS departure_minute))").alias("_loops"))
+
+
 def current_loop(nows: DataFrame, aggregated: DataFrame, now: str = "now", tz: str = CAMPUS_TZ) -> DataFrame:
-    """The most recent departure of a route at each ``now``: scan in list order up to the first later one."""
+    """The most recent departure of a route at each ``now``, looked up by its minute of the day."""
     require(nows, now, "route")
     local = F.from_utc_timestamp(F.col(now), tz)
     df = nows.withColumns({"dow": (F.dayofweek(local) - 1).cast("int"),
                            "_minute": F.hour(local) * 60 + F.minute(local)})
-    df = lookup_join(df, aggregated, ["dow", "route"])
-    first_later = F.expr("array_min(transform(sequence(0, size(times) - 1), i -> "
-                         "CASE WHEN times[i].minute > _minute THEN i END))")
-    at = F.coalesce(first_later, F.size("times")) - 1
-    df = df.withColumn("loop_idx", F.when(F.col("times").isNotNull(), at))
-    return df.withColumn("departure_minute", F.expr("CASE WHEN loop_idx >= 0 THEN get(times, loop_idx).minute END")
-                         ).drop("times", "_minute")
+    df = lookup_join(df, loops_by_minute(aggregated), ["dow", "route"]).withColumn("_loop", F.get("_loops", F.col("_minute")))
+    return df.withColumns({c: F.col(f"_loop.{c}") for c in ("loop_idx", "departure_minute")}).drop("_loops", "_loop", "_minute")
 
 
 def scheduled_stop_times(loops: DataFrame, stops: DataFrame, now: str = "now", tz: str = CAMPUS_TZ) -> DataFrame:
@@ -48,12 +63,12 @@ def scheduled_stop_times(loops: DataFrame, stops: DataFrame, now: str = "now", t
     runs = loops.filter(F.col("departure_minute").isNotNull())
     lists = stops.groupBy("route").agg(
         F.array_sort(F.collect_list(F.struct("stop_ord", "stop_name", "offset_min"))).alias("_stops"))
-    df = lookup_join(runs, lists, ["route"], how="inner").withColumn("_s", F.explode("_stops"))
-    midnight = F.date_trunc("day", F.from_utc_timestamp(F.col(now), tz))
-    minutes = F.col("departure_minute") + F.col("_s.offset_min")
-    at = F.to_utc_timestamp(midnight + F.make_interval(mins=minutes), tz)
+    # The departure is found once per row, before the stops are laid out.
+    departs = F.unix_micros(F.date_trunc("day", F.from_utc_timestamp(F.col(now), tz))) + F.col("departure_minute") * F.lit(MINUTE_US).cast("long")
+    df = lookup_join(runs.withColumn("_departs", departs), lists, ["route"], how="inner").withColumn("_s", F.explode("_stops"))
+    at = F.to_utc_timestamp(F.timestamp_micros(F.col("_departs") + F.col("_s.offset_min") * F.lit(MINUTE_US).cast("long")), tz)
     return df.withColumns({"stop_ord": F.col("_s.stop_ord"), "stop_name": F.col("_s.stop_name"),
-                           "stop_time": at}).drop("_s", "_stops")
+                           "stop_time": at}).drop("_s", "_stops", "_departs")
 
 
 def label_stop_visits(pings: DataFrame, network: Network, day_start: Column, threshold: float = AT_STOP_KM) -> DataFrame:
