@@ -9,11 +9,10 @@ comes in. Kept are the rows that have not left, ``reach`` seconds of those befor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -29,15 +28,9 @@ BATCH = ("vehicle_id", "_batch", "segment_no")
 PAYLOAD = ("ping_id long, t_us long, latitude double, longitude double, dist_to_route double, closest_lat double, closest_lon double, "
            "route string, polyline_idx int, segment_idx int")
 COLUMNS = [c.split()[0] for c in PAYLOAD.split(", ")]
-WHOLE = {c.split()[0] for c in PAYLOAD.split(", ") if c.split()[1] in ("int", "long")} | {"segment_no"}
+PING, T_US, DIST, NUMBER = COLUMNS.index("ping_id"), COLUMNS.index("t_us"), COLUMNS.index("dist_to_route"), len(COLUMNS)
 EMITTED = f"vehicle_id string, {PAYLOAD}, segment_no long, _home boolean"
-
-
-def plain(column: str, value: object) -> object:
-    """A cell as Spark's state takes it: whole numbers that pandas holds as floats beside nulls are whole again."""
-    if pd.isna(value):
-        return None
-    return int(value) if column in WHOLE else value.item() if isinstance(value, np.generic) else value
+MADE = Row("vehicle_id", *COLUMNS, "segment_no", "_home")
 
 
 class TripCutter(StatefulProcessor):
@@ -51,55 +44,59 @@ class TripCutter(StatefulProcessor):
         self.rows = handle.getListState("rows", f"{PAYLOAD}, segment_no long")
         self.at = handle.getValueState("at", "t_us long, off boolean, segment_no long, left_us long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([part[COLUMNS] for part in rows], ignore_index=True)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(*(None if v != v else v for v in map(r.__getitem__, COLUMNS)), None) for r in rows]
         yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, None, timerValues.getCurrentWatermarkInMs() * 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _advance(self, key, new: pd.DataFrame | None, watermark: int) -> Iterator[pd.DataFrame]:
-        rows = list(self.rows.get())
-        last = self.at.get() if self.at.exists() else (None, False, 0, -2**62)
-        if new is not None:
-            rows += [(*map(plain, COLUMNS, r), None) for r in new.itertuples(index=False, name=None)]
+    def _advance(self, key, new: list[tuple], watermark: int) -> Iterator[Row]:
+        stored, kept = self.at.get(), list(self.rows.get())
+        last = stored or (None, False, 0, -2**62)
         # A row that is delivered again counts once; of rows of one time the last ping stays, unless one has a number already.
-        held = pd.DataFrame(rows, columns=[*COLUMNS, "segment_no"], dtype=object)
-        held = held.assign(numbered=held["segment_no"].notna()).sort_values(["t_us", "numbered", "ping_id"], kind="stable")
-        held = held.drop_duplicates("t_us", keep="last").drop(columns="numbered")
-        held, last = number(held.reset_index(drop=True), last, watermark, self.gap_us, self.max_dist)
-        t = held["t_us"].to_numpy(np.int64)
-        leaves = (t > last[3]) & (t <= watermark - self.reach_us)
-        if leaves.any():
-            low, high = t[leaves].min() - self.reach_us, t[leaves].max() + self.reach_us
-            yield held[(t >= low) & (t <= high)].assign(vehicle_id=key[0], _home=leaves[(t >= low) & (t <= high)])[
-                ["vehicle_id", *COLUMNS, "segment_no", "_home"]]
-            last = (*last[:3], int(t[leaves].max()))
-        kept = held[t >= last[3] - self.reach_us]
-        self.rows.put([tuple(map(plain, kept.columns, r)) for r in kept.itertuples(index=False, name=None)])
-        if last[0] is not None:
+        order = lambda r: (r[T_US], r[NUMBER] is not None, r[PING] is None, r[PING] or 0)
+        held = list({r[T_US]: r for r in sorted([*kept, *new], key=order)}.values())
+        numbers, last = numbered([(r[T_US], r[DIST], r[NUMBER]) for r in held], last, watermark, self.gap_us, self.max_dist)
+        held = [(*r[:NUMBER], no) for r, no in zip(held, numbers)]
+        leaving = [r[T_US] for r in held if last[3] < r[T_US] <= watermark - self.reach_us]
+        if leaving:
+            low, high, left = leaving[0] - self.reach_us, leaving[-1] + self.reach_us, last[3]
+            for r in held:
+                if low <= r[T_US] <= high:
+                    yield MADE(key[0], *r, left < r[T_US] <= leaving[-1])
+            last = (*last[:3], leaving[-1])
+        stay = [r for r in held if r[T_US] >= last[3] - self.reach_us]
+        if stay != kept:
+            self.rows.put(stay)
+        if last[0] is not None and last != stored:
             self.at.update(last)
-        if (t > last[3]).any():
-            self.handle.registerTimer(int(t.max() + self.reach_us) // 1000 + 1)
+        if held and held[-1][T_US] > last[3]:
+            self.handle.registerTimer((held[-1][T_US] + self.reach_us) // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
+def numbered(held: Iterable[tuple], last: tuple, watermark: int, gap_us: int, max_dist: float) -> tuple[list, tuple]:
+    """Trip numbers of ``(t_us, dist_to_route, number)`` in order of time: those there were, and new ones for the rows that the
+    watermark has passed since ``last`` (time, off the route, number, time left)."""
+    before, was_off, no, left = last
+    since, numbers = before, []
+    for t, dist, number in held:
+        if number is None and t <= watermark and (since is None or t > since):
+            off = dist is not None and dist > max_dist
+            no += before is None or t - before > gap_us or off or was_off
+            number, before, was_off = no, t, off
+        numbers.append(number)
+    return numbers, (before, was_off, no, left)
+
+
 def number(held: pd.DataFrame, last: tuple, watermark: int, gap_us: int, max_dist: float) -> tuple[pd.DataFrame, tuple]:
-    """Trip numbers for the rows that the watermark has passed since ``last`` (time, off the route, number, time left)."""
-    t = held["t_us"].to_numpy(np.int64)
-    final = held["segment_no"].isna().to_numpy() & (t <= watermark)
-    if last[0] is not None:
-        final &= t > last[0]
-    if not final.any():
-        return held, last
-    off = (held["dist_to_route"].astype(float).to_numpy() > max_dist)[final]
-    before_t = np.r_[last[0] if last[0] is not None else -2**62, t[final][:-1]]
-    before_off = np.r_[bool(last[1]), off[:-1]]
-    numbers = last[2] + np.cumsum((t[final] - before_t > gap_us) | off | before_off)
-    held.loc[final, "segment_no"] = numbers
-    return held, (int(t[final][-1]), bool(off[-1]), int(numbers[-1]), last[3])
+    """``numbered`` on a frame."""
+    known = [None if pd.isna(n) else int(n) for n in held["segment_no"]]
+    numbers, last = numbered(zip(held["t_us"].tolist(), held["dist_to_route"], known), last, watermark, gap_us, max_dist)
+    return held.assign(segment_no=pd.Series(numbers, dtype=object)), last
 
 
 def match_stream(pings: DataFrame, network: Network, path: str, checkpoint: str, cadence: str | None = jobs.CADENCE) -> StreamingQuery:
@@ -122,7 +119,7 @@ def cut_trips(matched: DataFrame, delay: float = jobs.LATE_AFTER_SECONDS, max_ga
     """
     timed = matched.withColumn("event_time", F.timestamp_micros("t_us")).withWatermark("event_time", f"{int(delay * 1000)} milliseconds")
     cutter = TripCutter(max_gap, max_dist, CONTEXT_ROWS * max_gap)
-    return timed.groupBy("vehicle_id").transformWithStateInPandas(cutter, EMITTED, "Append", "EventTime")
+    return timed.groupBy("vehicle_id").transformWithState(cutter, EMITTED, "Append", "EventTime")
 
 
 def finish_batch(emitted: DataFrame, network: Network, max_gap: float = enrich.TRIP_GAP_SECONDS) -> DataFrame:
