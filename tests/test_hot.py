@@ -89,6 +89,14 @@ def test_running_sums_leave_out_rows_without_a_group(spark, monkeypatch):
         assert got == {(k, o): sum(i for i in range(o + 1) if k == "a" or i % 9 == 0) for k in "ab" for o in range(60) if k == "a" or o % 9 == 0}
 
 
+def test_running_sums_count_rows_without_a_slice_first(spark, monkeypatch):
+    df = spark.createDataFrame([("a", None if i % 5 == 0 else i // 7, i, 1) for i in range(60)], "k string, s long, o long, v long")
+    for most in (10, 1000):
+        monkeypatch.setattr(scale, "HOT_ROWS", most)
+        got = {r.o: r.run for r in scale.prefix_sums(df, ["k"], "s", ["o"], {"run": F.col("v")}).collect()}
+        assert got == {o: 12 + sum(1 for i in range(o + 1) if i % 5) for o in range(60) if o % 5}
+
+
 def test_salted_copies_are_not_broadcast(spark):
     dim = scale.cut(spark.range(3000).selectExpr("id AS k", "id % 2 = 0 AS even"))
     joined = scale.lookup_join(spark.range(9000).selectExpr("id % 3000 AS k", "id"), dim, ["k"], "inner", small=False)

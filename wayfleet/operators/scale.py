@@ -169,7 +169,7 @@ def prefix_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequ
     """Running sums (current row included) over ``group`` in ``(slice_col, *order)`` order.
 
     Of a hot group only one row per slice is ever sorted; the rows themselves are sorted per slice. Rows
-    without a group or a slice are left out.
+    without a group or a slice are left out; those without a slice count before the others.
     """
     return by_size(df, group, lambda rows: _whole_sums(rows, group, slice_col, order, sums),
                    lambda rows: _sliced_sums(rows, group, slice_col, order, sums), hot)
@@ -177,7 +177,8 @@ def prefix_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequ
 
 def _whole_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     upto = Window.partitionBy(*group).orderBy(slice_col, *order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.dropna(subset=[*group, slice_col]).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in sums.items()})
+    summed = df.dropna(subset=list(group)).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in sums.items()})
+    return summed.dropna(subset=[slice_col])     # but its rows count, as the group's first
 
 
 def _sliced_sums(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
