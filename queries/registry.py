@@ -39,11 +39,13 @@ def query(name: str, sql: str | None = None, nullable: str = ""):
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stage of the enrichment, computed once per session and input folder and stored in between.
 
-    l2 uses the trip defaults; l2s, l3 and l4 the stop defaults; live keeps one-row trips.
+    l2 uses the trip defaults; l2s, l3 and l4 the stop defaults; live keeps one-row trips. l4 goes on from l3 where
+    that is stored already, and is made in one job otherwise.
     """
-    def live(matched, net):
-        hot = hot_groups(matched, ["vehicle_id"])
-        return enrich.find_stops(enrich.segment(matched, net, min_len=1, slice_seconds=SLICE, hot=hot), net, 15.0, slice_seconds=SLICE, hot=hot)
+    stop_options = {"max_gap": 30.0, "max_dist": 0.005, "slice_seconds": SLICE}
+
+    def found(matched, net, stops_gap, **options):
+        return enrich.segment_and_stops(matched, net, hot_groups(matched, ["vehicle_id"]), stops_gap, **options)
 
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stages:
@@ -54,9 +56,10 @@ def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "l1": lambda: enrich.preprocess(get("pings"), net),
             "l2": lambda: enrich.segment(get("l1"), net, slice_seconds=SLICE),
             "l2s": lambda: enrich.segment(get("l1"), net, 30.0, 0.005, slice_seconds=SLICE),
-            "l3": lambda: enrich.find_stops(get("l2s"), net, slice_seconds=SLICE),
-            "l4": lambda: enrich.add_eta(get("l3"), SLICE),
-            "live": lambda: live(get("l1"), net),
+            "l3": lambda: found(get("l1"), net, 30.0, **stop_options),
+            "l4": lambda: (enrich.add_eta(get("l3"), SLICE) if (*key[:2], "l3") in _stages else
+                           enrich.with_eta(get("l1"), net, hot_groups(get("l1"), ["vehicle_id"]), **stop_options)),
+            "live": lambda: found(get("l1"), net, 15.0, min_len=1, slice_seconds=SLICE),
         }[name]
         _stages[key] = cut(make(), name)
     return _stages[key]

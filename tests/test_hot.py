@@ -166,3 +166,28 @@ def test_trips_are_cut_from_plain_rows():
     assert held.value == (50_000_000, False, 4, 40_000_000) and held.timers == [190_001]
     last = list(cutter._advance(("v",), [row(6, 50)], 500_000_000))
     assert [(r["ping_id"], r["segment_no"], r["_home"]) for r in last] == [(1, 1, False), (3, 1, False), (4, 2, False), (5, 3, True), (6, 4, True), (7, 5, True)]
+
+
+def test_from_matches_to_times_in_one_shuffle(pings, net):
+    """The steps one by one give the same rows."""
+    matched, columns = scale.cut(enrich.preprocess(pings, net)), ("ping_id", "segment_no", "stop_name", "eta_seconds", "dist_to_end")
+    once = enrich.with_eta(matched, net, scale.Hot(), 60, max_gap=30.0, max_dist=0.005)
+    l3 = scale.cut(enrich.find_stops(enrich.segment(matched, net, 30.0, 0.005, slice_seconds=60), net, slice_seconds=60))
+    assert rows_of(once, *columns) == rows_of(enrich.add_eta(l3, 60), *columns) and plan(once).count("Exchange hashpartitioning(vehicle_id") == 1
+
+
+def test_hot_vehicles_have_the_same_times(pings, net, monkeypatch):
+    matched, columns = scale.cut(enrich.preprocess(pings, net)), ("ping_id", "segment_no", "stop_name", "eta_seconds")
+    made = lambda: rows_of(enrich.with_eta(matched, net, scale.hot_groups(matched, ["vehicle_id"]), 60, max_gap=30.0, max_dist=0.005), *columns)
+    whole = made()
+    monkeypatch.setattr(scale, "HOT_ROWS", 20)
+    assert whole and made() == whole
+
+
+def test_a_split_does_not_shuffle_the_rows(spark):
+    rows = [(f"v{i % 40}" if i % 41 else None, 1 + i % 2 if i % 43 else None, i) for i in range(900)]
+    out = forecast.split_by_trip(scale.cut(spark.createDataFrame(rows, "vehicle_id string, segment_no long, id long")), 0.3)
+    assert "Exchange" not in plan(out)
+    assert out.count() == sum(v is not None and s is not None for v, s, _ in rows)
+    assert out.select("vehicle_id", "segment_no", "is_test").distinct().count() == out.select("vehicle_id", "segment_no").distinct().count()
+    assert 0.3 * 800 <= out.filter("is_test").count() < 0.3 * 900 + 30

@@ -59,7 +59,7 @@ def cut(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{folder}/{name}" if folder else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

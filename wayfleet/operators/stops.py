@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import SLICE_SECONDS, by_size, lookup_join, next_from_later, over_slices, require, time_slice
+from wayfleet.operators.scale import SLICE_SECONDS, Hot, by_size, lookup_join, next_from_later, over_slices, require, time_slice
 from wayfleet.operators.trips import BY_BLOCK, ORDER, TRIP, in_blocks
 from wayfleet.sources.network import Network
 
@@ -82,10 +82,11 @@ def _after(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(F.col("t_us").desc()).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def trim_and_eta(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def trim_and_eta(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = SLICE_SECONDS, hot: Hot | None = None) -> DataFrame:
     """``eta_to_next_stop`` of ``trim_after_last_stop``, a hot trip's from one summary per slice and one join.
 
-    What is trimmed comes after the last stop, so the next stops are the same before and after.
+    What is trimmed comes after the last stop, so the next stops are the same before and after. ``hot`` names the
+    hot trips where they are known; without it they are counted.
     """
     require(df, *by, *ORDER, "stop_name")
     at, stop = F.struct(*ORDER), F.col("stop_name").isNotNull()
@@ -97,7 +98,7 @@ def trim_and_eta(df: DataFrame, by: Sequence[str] = TRIP, slice_seconds: int = S
             "_last": F.max(F.when(stop, at)).over(trip), "eta_seconds": (next_us - F.col("t_us")) / F.lit(1e6)})
         return timed.filter(at <= F.col("_last")).drop("_last")
 
-    return by_size(df, by, whole, lambda rows: _trim_slices(rows, by, slice_seconds))
+    return by_size(df, by, whole, lambda rows: _trim_slices(rows, by, slice_seconds), hot)
 
 
 def _trim_slices(df: DataFrame, by: Sequence[str], slice_seconds: int) -> DataFrame:

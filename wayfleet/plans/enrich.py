@@ -71,14 +71,35 @@ def find_stops(trips_df: DataFrame, network: Network, max_gap: float = STOPS_GAP
     the hot vehicles of a table that holds these rows.
     """
     hot = hot or hot_groups(trips_df, ["vehicle_id"])
-    df = matching.match_stop(trips_df, network, threshold)
+    return _visits(matching.match_stop(trips_df, network, threshold), network, max_gap, slice_seconds, rematch, hot)
+
+
+def _visits(df: DataFrame, network: Network, max_gap: float, slice_seconds: int, rematch: bool, hot: Hot) -> DataFrame:
     df = with_halo_if_hot(df, max_gap, max_gap, slice_seconds, ["vehicle_id"], hot)
     df = drop_halo(stops.repair_missed_stops(df, network, (*BY_SLICE, "segment_no"))).drop("_slice")
     return matching.polyline_progress(df, network, rematch)     # of single rows: it need not be shuffled
 
 
-def add_eta(stops_df: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    return stops.trim_and_eta(stops_df, slice_seconds=slice_seconds)
+def segment_and_stops(matched: DataFrame, network: Network, hot: Hot, stops_gap: float = STOPS_GAP_SECONDS,
+                      threshold: float = matching.AT_STOP_KM, slice_seconds: int = SLICE_SECONDS, **options) -> DataFrame:
+    """``find_stops`` of ``segment`` in one job, whose only shuffle of the rows is that on the vehicle unless it is hot.
+
+    A position's stop does not depend on its trip, so stops are looked up in the stored ``matched``, unless it has them, and
+    not in the trips, which would have to be cut once more to see whether any position lies far away.
+    """
+    placed = matched if "stop_name" in matched.columns else matching.match_stop(matched, network, threshold)
+    trips_df = segment(placed, network, slice_seconds=slice_seconds, hot=hot, **options)
+    return _visits(trips_df, network, stops_gap, slice_seconds, False, hot)
+
+
+def add_eta(stops_df: DataFrame, slice_seconds: int = SLICE_SECONDS, hot: Hot | None = None) -> DataFrame:
+    return stops.trim_and_eta(stops_df, slice_seconds=slice_seconds, hot=hot)
+
+
+def with_eta(matched: DataFrame, network: Network, hot: Hot, slice_seconds: int = SLICE_SECONDS, **options) -> DataFrame:
+    """``add_eta`` of ``segment_and_stops``, in the same job where no vehicle, and so no trip, is hot."""
+    found = segment_and_stops(matched, network, hot, slice_seconds=slice_seconds, **options)
+    return add_eta(found, slice_seconds, hot) if hot.keys is None else add_eta(cut(found, "stops"), slice_seconds)
 
 
 def segment_job(pings: DataFrame, network: Network, **options) -> DataFrame:
@@ -89,14 +110,15 @@ def segment_job(pings: DataFrame, network: Network, **options) -> DataFrame:
 def stops_job(pings: DataFrame, network: Network, max_gap: float = STOPS_GAP_SECONDS, max_dist: float = STOPS_DIST_KM,
               min_len: int = MIN_TRIP_ROWS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     matched = cut(preprocess(pings, network), "matched")
-    hot = hot_groups(matched, ["vehicle_id"])
-    trips_df = segment(matched, network, max_gap, max_dist, min_len, slice_seconds=slice_seconds, hot=hot)
-    return find_stops(trips_df, network, max_gap, slice_seconds=slice_seconds, hot=hot)
+    return segment_and_stops(matched, network, hot_groups(matched, ["vehicle_id"]), max_gap, slice_seconds=slice_seconds,
+                             max_gap=max_gap, max_dist=max_dist, min_len=min_len)
 
 
-def eta_job(pings: DataFrame, network: Network, slice_seconds: int = SLICE_SECONDS, **options) -> DataFrame:
-    found = stops_job(pings, network, slice_seconds=slice_seconds, **options)
-    return add_eta(cut(found, "stops"), slice_seconds)
+def eta_job(pings: DataFrame, network: Network, slice_seconds: int = SLICE_SECONDS, max_gap: float = STOPS_GAP_SECONDS,
+            max_dist: float = STOPS_DIST_KM, min_len: int = MIN_TRIP_ROWS) -> DataFrame:
+    matched = cut(preprocess(pings, network), "matched")
+    return with_eta(matched, network, hot_groups(matched, ["vehicle_id"]), slice_seconds, stops_gap=max_gap,
+                    max_gap=max_gap, max_dist=max_dist, min_len=min_len)
 
 
 def live_job(pings: DataFrame, network: Network, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
