@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import (SLICE_SECONDS, Hot, by_size, cut, drop_halo, hot_groups, hot_sizes, lookup_join, may_broadcast,
+from wayfleet.operators.scale import (SLICE_SECONDS, Hot, by_size, cut, drop_halo, hot_groups, lookup_join, may_broadcast,  # noqa: F401  (a test sets it)
                                       prefix_sums, require)
 from wayfleet.operators.trips import ORDER, TRIP, numbered
 
@@ -95,8 +95,8 @@ def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Se
     """Add ``is_test``: whole trips, in hash order, until they hold at least ``floor(ratio * rows)`` rows.
 
     At least one trip is in the test part. The running size over many trips is taken within 4096 hash
-    ranges on top of the sizes of the earlier ranges. What was chosen goes back to the rows by a shuffle on the
-    trip, salted for hot trips only, unless there are few trips.
+    ranges on top of the sizes of the earlier ranges. The test part is the trips up to one of them in that
+    order, so only that one goes back to the rows, which are not shuffled.
     """
     if not 0 <= test_ratio <= 1:
         raise ValueError("test_ratio must be between 0 and 1")
@@ -106,12 +106,11 @@ def split_by_trip(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, by: Se
     total = sizes.groupBy("_all").agg(F.floor(F.sum("_n") * F.lit(test_ratio)).alias("_target"))
     running = prefix_sums(sizes, ["_all"], "_range", ["_hash", *by], {"_upto": F.col("_n")}).join(F.broadcast(total), "_all")
     before = F.col("_upto") - F.col("_n")
-    chosen = cut(running.select(*by, ((before < F.col("_target")) | (before == 0)).alias("is_test")), "chosen")
-    if may_broadcast(chosen):
-        return lookup_join(df, chosen, by, "inner", small=True)
-    hot = hot_sizes(sizes, by)
-    return by_size(df, by, lambda rows: rows.join(chosen.hint("merge"), list(by)),
-                   lambda rows: lookup_join(rows, hot.join(chosen, by, "left_semi"), by, "inner", small=False), hot)
+    place = lambda h: F.struct(h.alias("_hash"), *by)
+    chosen = running.filter((before < F.col("_target")) | (before == 0))
+    last = chosen.agg(F.max(place(F.col("_hash"))).alias("_last")).select("_last.*").first()
+    upto = F.struct(F.lit(last["_hash"]).cast("string").alias("_hash"), *[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in by])
+    return df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).withColumn("is_test", place(shuffled) <= upto)
 
 
 def scaler(sequences: DataFrame, n_features: int) -> DataFrame:
@@ -439,10 +438,12 @@ def train_eta(eta_rows: DataFrame, n: int = SEQUENCE_LENGTH, features: Sequence[
     Polylines seen in fewer than two trips get no model.
     """
     rows = eta_rows.filter(F.col("route").isNotNull() & F.col("polyline_idx").isNotNull())
-    enough = rows.groupBy(*MODEL_KEY).agg(F.count_distinct(*TRIP).alias("_t")).filter("_t >= 2").select(*MODEL_KEY)
-    rows = rows.join(enough, MODEL_KEY, "left_semi").dropna(subset=["eta_seconds"])
-    split = cut(split_by_trip(rows, test_ratio, seed), "split")
-    made = cut(training_sequences(split, n, features, by=[*TRIP, *MODEL_KEY], slice_seconds=slice_seconds), "sequences")
+    trip = F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in TRIP)), F.struct(*TRIP))
+    enough = rows.groupBy(*MODEL_KEY).agg(F.min(trip).alias("_a"), F.max(trip).alias("_z")).filter("_a <> _z").select(*MODEL_KEY)
+    needed = [c for c in rows.columns if c in {*TRIP, *ORDER, *MODEL_KEY, *features, "eta_seconds"}]
+    rows = rows.select(*needed).join(enough, MODEL_KEY, "left_semi").dropna(subset=["eta_seconds"])
+    split = split_by_trip(rows, test_ratio, seed)
+    made = cut(training_sequences(split, n, features, by=[*TRIP, *MODEL_KEY], slice_seconds=slice_seconds).drop(*features), "sequences")
     models = fit_polylines(polyline_moments(made.filter(~F.col("is_test"))), n * len(features), ridges)
     return models, made.filter("is_test")
 
