@@ -10,6 +10,7 @@ from queries.oracle import sql
 from queries.registry import SLICE, query, stage
 from wayfleet.operators import arrival, forecast, likelihood, live, stops
 from wayfleet.operators.scale import cut
+from wayfleet.operators.trips import ORDER, TRIP
 
 ORDERED = "(PARTITION BY vehicle_id, segment_no ORDER BY t_us, ping_id)"
 
@@ -213,7 +214,7 @@ def _(spark, sf):
 
 def trained(spark, sf, ridges=(1e-6,)):
     models, test = forecast.train_eta(stage(spark, sf, "l4"), n=4, ridges=ridges, slice_seconds=SLICE)
-    return cut(models, "models"), cut(test, "test")
+    return cut(models, "models"), test
 
 
 @query("m4_m8_train_eta_models")
@@ -309,7 +310,8 @@ def _(spark, sf):
 
 
 def arrival_parts(spark, sf):
-    return cut(arrival.three_parts(stage(spark, sf, "l4")), "parts")
+    rows = stage(spark, sf, "l4").select(*TRIP, *ORDER, *forecast.MODEL_KEY, *forecast.ETA_FEATURES, "eta_seconds")
+    return cut(arrival.three_parts(rows), "parts")
 
 
 @query("m6_random_search")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wayfleet.operators.forecast import (ETA_FEATURES, MODEL_KEY, fit_polylines, forecast_errors, polyline_moments, scaler, score,
                                          split_by_trip, training_sequences)
 from wayfleet.operators.scale import SLICE_SECONDS, cut
-from wayfleet.operators.trips import TRIP
+from wayfleet.operators.trips import ORDER, TRIP
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def lifted(sequences: DataFrame, shape: Shape, mean: Sequence[float], std: Seque
 
 def three_parts(rows: DataFrame, test_ratio: float = 0.2, validation_ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``part``: whole trips are ``test``, ``validation`` or ``train``; validation is a share of what isn't test."""
-    split = cut(split_by_trip(rows, test_ratio, seed), "split")
+    split = split_by_trip(rows, test_ratio, seed)
     rest = split_by_trip(split.filter(~F.col("is_test")).drop("is_test"), validation_ratio, seed + 1)
     rest = rest.withColumn("part", F.when(F.col("is_test"), "validation").otherwise("train")).drop("is_test")
     return rest.unionByName(split.filter("is_test").drop("is_test").withColumn("part", F.lit("test")))
@@ -80,8 +80,10 @@ def three_parts(rows: DataFrame, test_ratio: float = 0.2, validation_ratio: floa
 
 def sequences(rows: DataFrame, shape: Shape, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Training sequences of rows with a polyline and a known time to the stop."""
-    known = rows.dropna(subset=["route", "polyline_idx", "eta_seconds"])
-    return training_sequences(known, shape.window, list(shape.features), by=[*TRIP, *MODEL_KEY], slice_seconds=slice_seconds)
+    by = [*TRIP, *MODEL_KEY]
+    known = rows.select(*[c for c in rows.columns if c in {*by, *ORDER, *shape.features, "eta_seconds", "part"}])
+    known = known.dropna(subset=["route", "polyline_idx", "eta_seconds"])
+    return training_sequences(known, shape.window, list(shape.features), by=by, slice_seconds=slice_seconds).drop(*shape.features)
 
 
 def train(made: DataFrame, shape: Shape) -> Model:
@@ -112,11 +114,11 @@ def draw(trials: int, seed: int, windows: Sequence[int] = (3, 5, 10), features:
 def search(parts: DataFrame, shapes: Sequence[Shape], slice_seconds: int = SLICE_SECONDS) -> tuple[Model, DataFrame]:
     """``(best model, trials)`` from ``three_parts``: fitted on ``train``, chosen by the error on ``validation``.
 
-    Rows of the test part are dropped before anything else. Trials come as ``(trial, window, features, hidden, ridge, rmse, mae, n)``;
+    Rows of the test part are dropped before anything else; ``parts`` is read for every window and choice of features. Trials come as ``(trial, window, features, hidden, ridge, rmse, mae, n)``;
     ties go to the earlier one, and a shape that nothing can be predicted with comes last.
     """
     spark, seen, tried, models = parts.sparkSession, {}, [], []
-    rows = cut(parts.filter(F.col("part") != "test"), "search")
+    rows = parts.filter(F.col("part") != "test")
     for trial, shape in enumerate(shapes):
         looks = shape.window, shape.features
         if looks not in seen:
