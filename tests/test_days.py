@@ -77,3 +77,9 @@ def test_false_positives_cost_reads_but_no_rows(spark, tmp_path):
 def test_an_event_moved_to_another_day_is_still_known(spark, table):
     moved = events(spark, [7]).withColumn("event_time", F.lit("2024-03-01 00:00:00").cast("timestamp"))
     assert ids(table.unknown(moved)) == []
+
+
+def test_what_is_appended_is_stored_apart_once(spark, tmp_path):
+    made = DayTable(str(tmp_path / "appended"), "event_time", "id", bits=1 << 14)
+    assert ids(upkeep.append_unknown(made, events(spark, [1, 2, 2, 30]))) == [1, 2, 30]
+    assert ids(made.write(events(spark, [31]))) == [31] and ids(made.rows(spark)) == [1, 2, 30, 31]

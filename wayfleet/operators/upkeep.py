@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfleet.operators.scale import cut, next_from_later, previous_from_earlier, require, time_slice
+from wayfleet.operators.scale import next_from_later, previous_from_earlier, require, time_slice
 from wayfleet.sources.days import DayTable
 
 
@@ -28,6 +28,11 @@ def keep_last(df: DataFrame, order: Sequence[str], key: Sequence[str] = ("vehicl
               .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns))
 
 
+def keep_last_by(df: DataFrame, group: Sequence[str], order: Sequence[str], key: Sequence[str] = ("vehicle_id", "t_us")) -> DataFrame:
+    """``keep_last`` by a shuffle on ``group``, a part of the key, which later work per group goes on with; not for hot groups."""
+    return keep_last(df.repartition(*group), order, key)
+
+
 def new_pings(batch: DataFrame, target: DataFrame, order: Sequence[str] = ("ping_id",)) -> DataFrame:
     """Rows of a batch to append: one per (vehicle, time), none that the target already has.
 
@@ -53,9 +58,7 @@ def append_unknown(table: DayTable, batch: DataFrame, order: Sequence[str] = ("e
 
     Only days whose Bloom filter may know one of the ids are read.
     """
-    fresh = cut(table.unknown(first_per_key(batch, [table.id], order)), "fresh")
-    table.write(fresh)
-    return fresh
+    return table.write(table.unknown(first_per_key(batch, [table.id], order)))
 
 
 VEHICLE_COLUMNS = ("name", "asset_type", "license_plate", "vin", "maintenance_id", "gateway_model", "gateway_serial")

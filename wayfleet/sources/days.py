@@ -48,12 +48,13 @@ class DayTable:
         except AnalysisException:
             return None
 
-    def write(self, rows: DataFrame) -> None:
-        """Append rows to their days, and their ids to the days' filters."""
+    def write(self, rows: DataFrame) -> DataFrame:
+        """Append rows to their days, and their ids to the days' filters; returns what was written, stored apart."""
         placed = cut(rows.withColumn("service_day", self.day_of(F.col(self.time))), "placed")
         if self.id:
             self._remember(placed)   # before the rows: a filter that knows too much costs a read, one that knows too little a copy
         placed.write.partitionBy("service_day").mode("append").parquet(self.path)
+        return placed.drop("service_day")
 
     def window(self, spark: SparkSession, since: Column, until: Column | None = None, inclusive: bool = True) -> DataFrame | None:
         """Rows from ``since`` on, constants both, up to ``until`` (exclusive); only the days in between are read."""
