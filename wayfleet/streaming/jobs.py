@@ -6,7 +6,7 @@ or the rows of the last minutes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wayfleet.functions.clock import CAMPUS_TZ, DAY_START_SECONDS
 from wayfleet.operators import forecast, matching, stops, upkeep
-from wayfleet.operators.scale import cut, hot_groups, lookup_join
+from wayfleet.operators.scale import Hot, by_size, cut, hot_groups, lookup_join, may_broadcast
 from wayfleet.operators.trips import ping_frame
 from wayfleet.plans import enrich
 from wayfleet.sources.network import Network
@@ -116,41 +116,52 @@ def enrich_batch(tail: DataFrame | None, new: DataFrame, network: Network, max_g
     have changed are returned. Rows more than ``late_after`` behind the vehicle's newest one come back
     as late instead of vanishing.
     """
-    new = matching.match_route(ping_frame(new), network).select(*TAIL)
+    new = matching.match_route(ping_frame(new), network).select(*TAIL).withColumns({"_new": F.lit(1), "_no": F.lit(None).cast("long")})
     late_us, reach_us = int(late_after * 1e6), int((enrich.VOTE_WINDOW + 2) * max_gap * 1e6)
-    if tail is None:
-        late, rows = new.limit(0), upkeep.keep_last(new, ["ping_id"])
-    else:
+    if tail is not None:
         seen = tail.groupBy("vehicle_id").agg(F.max("t_us").alias("_seen"))
-        marked = cut(new.join(seen, "vehicle_id", "left").withColumn(
-            "_late", F.coalesce(F.col("t_us") < F.col("_seen") - late_us, F.lit(False))), "marked", work)
-        late = marked.filter("_late").drop("_late", "_seen")
-        new = marked.filter(~F.col("_late")).drop("_late", "_seen")
-        known = tail.join(new.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
-        rows = upkeep.merge_keep_last(known.drop("segment_no", "anchor"), new)
-    rows = cut(rows, "rows", work)
-    hot = hot_groups(rows, ["vehicle_id"], work)
-    done = enrich.segment(rows, network, max_gap, max_dist, enrich.LIVE_MIN_TRIP_ROWS, hot=hot)
+        new = new.join(seen, "vehicle_id", "left").withColumn(
+            "_late", F.coalesce(F.col("t_us") < F.col("_seen") - late_us, F.lit(False))).drop("_seen")
+    else:
+        new = new.withColumn("_late", F.lit(False))
+    marked = cut(new, "marked", work)
+    late, rows = marked.filter("_late").select(*TAIL), matching.match_stop(marked.filter(~F.col("_late")).drop("_late"), network)
     if tail is not None:
-        key = ["vehicle_id", "t_us", "ping_id"]
-        anchors = known.filter("anchor").select(*key, F.col("segment_no").alias("_no"))
-        base = anchors.join(done.select(*key, "segment_no"), key).select(
-            "vehicle_id", (F.col("_no") - F.col("segment_no")).alias("_base"))
-        done = done.join(base, "vehicle_id", "left").withColumn(
-            "segment_no", F.col("segment_no") + F.coalesce("_base", F.lit(0))).drop("_base")
-    done = cut(enrich.find_stops(done, network, max_gap, hot=hot), "done", work)
-    since = new.groupBy("vehicle_id").agg(F.min("t_us").alias("_since"))
-    changed = done.join(since, "vehicle_id").filter(F.col("t_us") >= F.col("_since") - reach_us).drop("_since")
-    horizon = rows.groupBy("vehicle_id").agg((F.max("t_us") - late_us - 2 * reach_us).alias("_from"))
-    numbered = rows.join(done.select("vehicle_id", "t_us", "ping_id", "segment_no"), ["vehicle_id", "t_us", "ping_id"]).join(horizon, "vehicle_id")
-    recent = numbered.filter(F.col("t_us") >= F.col("_from")).drop("_from").withColumn("anchor", F.lit(False))
-    older = numbered.filter(F.col("t_us") < F.col("_from")).drop("_from")
-    kept = recent.unionByName(upkeep.keep_last(older, ["t_us", "ping_id"], ["vehicle_id"]).withColumn("anchor", F.lit(True)))
+        touched = rows.select("vehicle_id").distinct()
+        known = matching.match_stop(tail, network).join(touched, "vehicle_id", "left_semi").withColumns({
+            "_new": F.lit(0), "_no": F.expr("CASE WHEN anchor THEN segment_no END")})
+        rows = known.drop("segment_no", "anchor").unionByName(rows)
+    hot, order = hot_groups(rows, ["vehicle_id"], work), ["_new", "ping_id"]
+    rows = by_size(rows.withColumn("_raw", F.struct(*matching.MATCHED)), ["vehicle_id"],
+                   lambda r: upkeep.keep_last_by(r, ["vehicle_id"], order), lambda r: upkeep.keep_last(r, order), hot)
+    rows = rows if hot.keys is None else cut(rows, "rows", work)
+    done = enrich.segment_and_stops(rows, network, hot, max_gap, max_gap=max_gap, max_dist=max_dist, min_len=enrich.LIVE_MIN_TRIP_ROWS)
+    done = done if hot.keys is None else cut(done, "found", work)
+    # What changed and what the next batch needs is marked per vehicle in the same job; the tail has the matches from before the vote.
+    done = _per_vehicle(done, hot, _newest=F.max("t_us"), _since=F.min(F.when(F.col("_new") == 1, F.col("t_us"))),
+                        _base=F.max(F.col("_no") - F.col("segment_no")))
+    at, known_id, since = F.struct("t_us", "ping_id"), F.col("ping_id").isNotNull(), F.col("_newest") - late_us - 2 * reach_us
+    done = _per_vehicle(done, hot, _anchor=F.max(F.when((F.col("t_us") < since) & known_id, at)))
+    done = done.withColumns({"segment_no": F.col("segment_no") + F.coalesce("_base", F.lit(0)), "_changed": F.col("t_us") >= F.col("_since") - reach_us,
+                             "anchor": F.coalesce(at == F.col("_anchor"), F.lit(False))})
+    done = done.withColumn("_raw", F.when(F.col("anchor") | ((F.col("t_us") >= since) & known_id), F.col("_raw")))
+    done = cut(done.drop("_new", "_no", "_newest", "_since", "_base", "_anchor"), "done", work)
+    changed = done.filter("_changed").drop("_changed", "_raw", "anchor")
+    kept = done.filter("_raw IS NOT NULL").select(*[c for c in TAIL if c not in matching.MATCHED], "_raw.*", "segment_no", "anchor")
     if tail is not None:
-        kept = kept.unionByName(tail.join(new.select("vehicle_id").distinct(), "vehicle_id", "left_anti"))
+        kept = kept.unionByName(tail.join(touched, "vehicle_id", "left_anti"))
     return changed, kept, late
 
 
+def _per_vehicle(df: DataFrame, hot: Hot, **values: Column) -> DataFrame:
+    """Add aggregates per vehicle: where the rows are, or of hot vehicles joined back from one row each."""
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(rows.groupBy("vehicle_id").agg(*[v.alias(n) for n, v in values.items()])), "vehicle_id")
+
+    return by_size(df, ["vehicle_id"], lambda rows: rows.withColumns({n: v.over(Window.partitionBy("vehicle_id")) for n, v in values.items()}),
+                   joined, hot)
+
+
 def incremental_enrich(pings: DataFrame, network: Network, path: str, checkpoint: str, cadence: str | None = CADENCE,
                        max_gap: float = enrich.TRIP_GAP_SECONDS, max_dist: float = enrich.TRIP_DIST_KM,
                        late_after: float = LATE_AFTER_SECONDS, on_batch: Callable | None = None) -> StreamingQuery:
@@ -184,18 +195,27 @@ def predictions(enriched: DataFrame, models: DataFrame, travel_times: DataFrame,
     return upkeep.eta_documents(times, at), forecast.forecast_speed(enriched, *order)
 
 
-def last_day(log: BucketLog, changed: DataFrame, seconds: float = DAY_SECONDS) -> DataFrame:
+def last_day(log: BucketLog, changed: DataFrame, seconds: float = DAY_SECONDS, columns: Sequence[str] | None = None) -> DataFrame:
     """The stored rows of the vehicles among ``changed``, as far back as ``seconds`` before each one's newest.
 
-    Only the buckets of that time are read, and only those vehicles' rows are compared with their older versions.
+    Only the buckets of that time are read, of ``columns`` if they are named, and only those vehicles' rows are compared
+    with their older versions: in one shuffle on the vehicle, unless it is hot.
     """
     touched = cut(changed.groupBy("vehicle_id").agg(F.max("t_us").alias("_newest")), "touched")
     low, high = touched.agg(F.min("_newest"), F.max("_newest")).first()
     back = int(seconds * 1e6)
-    rows = log.stored(changed.sparkSession, None if low is None else low - back, high)
-    rows = lookup_join(rows, touched, ["vehicle_id"], "inner")
-    rows = rows.filter(F.col("t_us") > F.col("_newest") - F.lit(back)).drop("_newest")
-    return upkeep.keep_last(rows, ["batch"], list(log.key)).drop("bucket", "batch")
+    rows = log.stored(changed.sparkSession, None if low is None else low - back, high).drop("bucket")
+    if columns is not None:
+        rows = rows.select(*[c for c in rows.columns if c in {*log.key, *columns, "batch"}])
+    small = may_broadcast(touched)
+    near = lambda r: r.filter(F.col("t_us") > F.col("_newest") - F.lit(back)).drop("_newest")
+    whole = lambda r: upkeep.keep_last_by(near(r.join(F.broadcast(touched) if small else touched.hint("merge"), "vehicle_id")), ["vehicle_id"], ["batch"], log.key)
+    sliced = lambda r: upkeep.keep_last(near(lookup_join(r, touched, ["vehicle_id"], "inner", small=small)), ["batch"], list(log.key))
+    return by_size(rows, ["vehicle_id"], whole, sliced).drop("batch")
+
+
+# What predictions look at.
+PREDICT_FROM = ("vehicle_id", "ping_id", "t_us", "route", "polyline_idx", "stop_name", *forecast.ETA_FEATURES)
 
 
 def write_predictions(path: str, rows: str, models: DataFrame, travel_times: DataFrame, network: Network,
@@ -203,10 +223,10 @@ def write_predictions(path: str, rows: str, models: DataFrame, travel_times: Dat
     """``on_batch`` for ``incremental_enrich``: append both kinds of predictions per tick.
 
     They are made from the day that is stored in ``rows`` for the vehicles of the batch, not from the
-    batch's own rows, so stop visits and speeds from before the tick count.
+    batch's own rows, so stop visits and speeds from before the tick count. That day is stored once for both.
     """
     def on_batch(done: DataFrame, batch_id: int) -> None:
-        day = last_day(BucketLog(rows), done)
+        day = cut(last_day(BucketLog(rows), done, columns=PREDICT_FROM), "day", f"{path}/work")
         etas, speeds = predictions(day, models, travel_times, network, F.current_timestamp(), n, order)
         etas.write.mode("overwrite").parquet(f"{path}/etas/batch={batch_id}")
         speeds.write.mode("overwrite").parquet(f"{path}/speeds/batch={batch_id}")
