@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queries import fixture as fx
-from wayfleet.operators import upkeep
+from wayfleet.operators import scale, upkeep
 from wayfleet.operators.scale import cut
 from wayfleet.plans import enrich
 from wayfleet.streaming import jobs
@@ -67,3 +67,27 @@ def test_a_first_batch_delivered_twice_counts_once(spark, pings, whole):
     done, tail, _ = jobs.enrich_batch(None, narrow.union(narrow), fx.network(spark, SF), late_after=10_000.0)
     assert rows(done) == whole
     assert tail.count() == tail.select("vehicle_id", "t_us").distinct().count()
+
+
+def ticks(pings, net):
+    tail, out = None, []
+    for no in range(2):
+        batch = pings.filter(F.expr("(t_us - 1704067200000000) DIV 360000000") == no).select("vehicle_id", "ping_id", "t_us", "latitude", "longitude")
+        done, tail, _ = jobs.enrich_batch(tail, batch, net, late_after=30.0)
+        tail, done = cut(tail), cut(done)
+        out.append((rows(done), sorted(map(tuple, tail.select("ping_id", "segment_no", "anchor", "route", "polyline_idx", F.round("dist_to_route", 9)).collect()), key=str)))
+    return out
+
+
+def test_a_batch_is_cut_into_trips_once_and_hot_vehicles_give_the_same(spark, pings, monkeypatch):
+    net, stored = fx.network(spark, SF), {}
+
+    def kept(df, name="cut", folder=None):
+        stored[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name, folder)
+
+    monkeypatch.setattr(jobs, "cut", kept)
+    whole = ticks(pings, net)
+    assert stored["done"].count("Exchange hashpartitioning(vehicle_id") <= 2    # of the rows, and of the vehicles they belong to
+    monkeypatch.setattr(scale, "HOT_ROWS", 20)
+    assert ticks(pings, net) == whole
